@@ -161,6 +161,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
     return base.mapInArrow(run, ", ".join([*fields, "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"]))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows and columns of docs whose text holds no window of an item."""
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_bytes, n)]
+    at = docs.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = automaton(shared[0].value, n) if len(shared) == 1 else None
+        for batch in it:
+            texts = text_bytes(batch.column(at))
+            ok = np.ones(len(texts), bool)
+            for one in shared:
+                machine = only or automaton(one.value, n)
+                ok &= np.fromiter((not scan(t, machine)[1] for t in texts), bool, len(texts))
+            yield batch.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hits(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

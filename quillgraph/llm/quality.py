@@ -70,14 +70,14 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     return [n_words, chars, symbols, dups, repeats]
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """Every row with the five counts instead of `text`; the text leaves the plan here, before any shuffle.
+def document_features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """Every row with the five counts; without keep_text the text leaves the plan here, before any shuffle.
 
     Null and empty texts count 0 in all five. Columns with the counts' names are replaced.
     """
     base = docs.drop(*FEATURES)
     at = base.columns.index("text")
-    kept = [i for i in range(len(base.columns)) if i != at]
+    kept = [i for i in range(len(base.columns)) if keep_text or i != at]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -86,7 +86,7 @@ def document_features(docs: DataFrame) -> DataFrame:
             columns = [np.concatenate(x) if found else np.empty(0, np.int64) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(c, pa.int64()) for c in columns)], names=[*(batch.schema.names[i] for i in kept), *FEATURES])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != "text"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if keep_text or f.name != "text"]
     return base.mapInArrow(run, ", ".join([*fields, *(f"{c} long" for c in FEATURES)]))
 
 
@@ -126,6 +126,15 @@ def judge(docs: DataFrame, bad_host: float = 0.5, min_words: int = 10, repeat_pe
     return joined.select("doc_id", "source", *FEATURES, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
+def keep(docs: DataFrame, bad_host: float = 0.5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+    """The rows and columns of docs that judge() would keep; hosts are judged in a pass of their own, without texts in a shuffle."""
+    rule = failed(min_words, repeat_percent)
+    hosts = host_verdicts(document_features(docs.select("source", "text")).withColumn("base_failed", rule), bad_host)
+    bad = hosts.filter(~F.col("host_kept")).select(F.col("source").alias("_source"))
+    passed = document_features(docs, keep_text=True).filter(~rule).select(*docs.columns)
+    return passed.join(bad, passed["source"].eqNullSafe(bad["_source"]), "left_anti")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return found.select("doc_id", *FEATURES, "base_failed", "kept")
