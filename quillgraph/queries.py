@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import testbed as T
@@ -14,7 +14,8 @@ from quillgraph.operators import citations as C
 from quillgraph.operators import community, compare, ipc, metrics, network, publish, resolve, sampling, subgraph, temporal
 from quillgraph.plans import views
 from quillgraph.plans.options import ViewOptions
-from quillgraph.sources import extraction
+from quillgraph.sinks import catalog, store
+from quillgraph.sources import extraction, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -714,3 +715,63 @@ def _(spark, d):
 def _(spark, d):
     docs = T.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("patent_id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
     return extraction.extract(docs, extraction.keyword_extractor(["tion", "ment", "ung", "ción"])).select("patent_id", "keywords", F.size("relations").alias("n_relations"))
+
+
+# ---------------------------------------------------------------- stores and lists
+
+
+@query("membership_derivation", FACTS + ", p as (select patent_id from pat where patent_id % 2 = 0) select 'membership' as fact, count(*) as n from mc join p using (patent_id) where concept < 'm' union all select 'ownership', count(*) from own join p using (patent_id) where applicant % 3 = 0")
+def _(spark, d):
+    e = views.structural_edges(T.membership(spark, d), T.ownership(spark, d))
+    ids = lambda df, c, kind: df.select(F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("id")).distinct()
+    p = ids(T.patents(spark, d).filter(F.col("patent_id") % 2 == 0), "patent_id", "patent")
+    c = ids(T.membership(spark, d).filter(F.col("concept") < "m"), "concept", "concept")
+    a = ids(T.ownership(spark, d).filter(F.col("applicant") % 3 == 0), "applicant", "applicant")
+    m, o = store.membership_from_edges(e, p, c, a)
+    return m.select(F.lit("membership").alias("fact")).union(o.select(F.lit("ownership"))).groupBy("fact").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("history_list", "select cast(o_orderkey as varchar) as analysis_id, o_orderstatus as status from orders order by o_orderdate desc, cast(o_orderkey as varchar) limit 200")
+def _(spark, d):
+    o = T.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("analysis_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return catalog.history(o, most=500).select("analysis_id", "status")
+
+
+@query("community_composition", FACTS + "select cast(ascii(concept) % 7 as integer) as community_id, count(*) as n from freq group by 1")
+def _(spark, d):
+    return subgraph.community_composition(_fixed_communities(spark, d))
+
+
+@query("subgraph_metrics", FACTS + ", c as (select min(a) as id from pairs) select count(*) as direct_edges, count(distinct case when a = c.id then b else a end) as direct_neighbours from pairs join c on c.id in (a, b)")
+def _(spark, d):
+    p = network.cooccurrence(T.membership(spark, d))
+    return subgraph.metrics(p.select(F.col("a").alias("from"), F.col("b").alias("to"), "jaccard", "support"), p.agg(F.min("a")).first()[0])
+
+
+@query("hidden_membership", FACTS + """, n as (select concept as id, bool_or(file = '1-URGENT') as x, bool_or(file = '2-HIGH') as y from mc join pat using (patent_id) where year = 1996 and patent_id % 40 = 0 and file in ('1-URGENT', '2-HIGH') group by 1) select id from n where x and not y""")
+def _(spark, d):
+    p = T.patents(spark, d).filter((F.col("year") == 1996) & (F.col("patent_id") % 40 == 0))
+    frames = [T.membership(spark, d).join(p.filter(F.array_contains("source_files", f)).select("patent_id"), "patent_id", "left_semi").select(F.col("concept").alias("id")).distinct() for f in ("1-URGENT", "2-HIGH")]
+    members = compare.membership(compare.tagged(frames), 2)
+    none = spark.createDataFrame([], "id string, `from` string, `to` string")
+    return compare.hidden(members, none, members.limit(0), ["a"])[0]
+
+
+@query("file_summaries", "select o_orderpriority as file, count(*) as rows, count(*) as with_year, 0 as with_ipc from orders group by 1")
+def _(spark, d):
+    o = T.read(spark, d, "orders").select(F.col("o_orderpriority").alias("file"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"))
+    return xlsx.file_summaries(o)
+
+
+@query("batch_numbers", "select count(*) as patents, cast(5 as bigint) as largest from orders")
+def _(spark, d):
+    p = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("patent_id"))
+    sizes = extraction.batch_ids(p).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("patents"), F.max("n").alias("largest"))
+
+
+@query("number_groups", "select p_partkey, case when p_size % 2 = 0 then 2 else 1 end as n from part")
+def _(spark, d):
+    """A numbered column group with blanks and repeats, as spreadsheets have it."""
+    c = F.create_map(F.lit("申請人2"), F.col("p_name"), F.lit("申請人1"), F.when(F.col("p_size") % 2 == 0, "x").otherwise(F.col("p_name")), F.lit("申請人10"), F.lit(" "))
+    return T.read(spark, d, "part").withColumn("cells", c).select("p_partkey", F.size(xlsx._group("申請人")).alias("n"))

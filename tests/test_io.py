@@ -109,3 +109,37 @@ def test_progress_and_stream(spark, tmp_path):
     stream = progress.stream_memberships(spark.readStream.schema("patent_id string, keywords array<string>").parquet(str(src)))
     progress.ingest(stream, str(out), str(tmp_path / "cp")).awaitTermination()
     assert network.concept_frequency(spark.read.parquet(str(out)).select("patent_id", "concept")).orderBy("concept").collect() == [("a", 2), ("b", 1)]
+
+
+def test_catalog(spark, tmp_path):
+    from quillgraph.sinks import catalog
+
+    t = catalog.synonyms(spark, str(tmp_path / "syn"))
+    assert t.read().count() == 0
+    catalog.upsert_group(t, "1", "行動支付", ["QR"])
+    catalog.upsert_group(t, "2", "人工智慧", ["AI"])
+    catalog.upsert_group(t, "1", "行動支付", ["QR", "掃碼"])
+    with pytest.raises(ValueError):
+        catalog.upsert_group(t, "3", "行動支付", [])
+    catalog.snapshot_synonyms(t, str(tmp_path / "snap"))
+    t.delete(["2"])
+    assert [(r.id, r.aliases) for r in t.read().collect()] == [("1", ["QR", "掃碼"])]
+    catalog.restore_synonyms(t, str(tmp_path / "snap"))
+    assert t.read().count() == 2
+    a = catalog.analyses(spark, str(tmp_path / "an"))
+    rows = spark.sql("select 'x' as analysis_id, 'o' as owner, 'running' as status, timestamp'2024-01-01' as created_at union all select 'y', 'o', 'running', timestamp'2024-02-01'")
+    a.insert_if_absent(rows)
+    a.insert_if_absent(rows)
+    catalog.set_status(a, "x", "completed")
+    catalog.set_status(a, "x", "failed", "late")
+    assert [(r.analysis_id, r.status) for r in catalog.history(a.read(), "o").collect()] == [("y", "running"), ("x", "completed")]
+
+
+def test_labels():
+    from quillgraph.plans import labels
+    from quillgraph.plans.options import ViewOptions
+
+    assert labels.scope_label([]) == "all files" and labels.scope_label(["a", "b", "c"]) == "a +2"
+    assert labels.filter_summary(ViewOptions(year_range=(2000, 2001), ipc_filter=("G06Q",))) == "mode=concept; unit=patent; support>=1; years 2000-2001; IPC L3: G06Q"
+    assert labels.upload_label(["a", "b", "c", "d"], 1500) == "a, b, c and 1 more (1,500 rows)" and labels.file_name("a/b", "concept", "csv") == "a-b-concept.csv"
+    assert labels.tooltip({"label": "x", "frequency": 2, "first_year": 2000, "last_year": 2003, "median_year": 2001.5}) == ["x", "patents: 2", "years: 2000-2003", "median year: 2001.5"]
