@@ -757,7 +757,7 @@ def _(spark, d):
     return compare.hidden(members, none, members.limit(0), ["a"])[0]
 
 
-@query("file_summaries", "select o_orderpriority as file, count(*) as rows, count(*) as with_year, 0 as with_ipc from orders group by 1")
+@query("file_summaries", "select o_orderpriority as file, count(*) as rows, count(*) as with_year, cast(0 as bigint) as with_ipc from orders group by 1")
 def _(spark, d):
     o = T.read(spark, d, "orders").select(F.col("o_orderpriority").alias("file"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"))
     return xlsx.file_summaries(o)
