@@ -78,12 +78,14 @@ class BlindTrie:
 def sort(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings by (group, string), and each one's common prefix with the one before it; -1 where a group starts."""
     n = len(strings)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     size = np.fromiter(map(len, strings), np.int64, n)
     order = np.argsort(group, kind="stable")
     g = group[order]
-    label = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]])) if n else np.empty(0, np.int64)
-    lcp = np.where(np.concatenate([[True], label[1:] != label[:-1]]), -1, 0) if n else np.empty(0, np.int64)
-    head = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), np.uint8).reshape(n, shallow) if n else np.empty((0, shallow), np.uint8)
+    label = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
+    lcp = np.where(np.concatenate([[True], label[1:] != label[:-1]]), -1, 0)
+    head = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), np.uint8).reshape(n, shallow)
     words = head.view(">u8").astype(np.uint64).reshape(n, shallow // 8)
     for k in range(shallow // 8):
         starts = np.concatenate([[True], label[1:] != label[:-1], [True]])
@@ -109,7 +111,7 @@ def sort(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW) -> tup
             lcp[j] = depth[differs]
             new[j] = 1
         label = label + np.cumsum(new)
-    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if n else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
     for a, b in zip(starts, np.concatenate([starts[1:], [n]]), strict=True):
         if b - a > 1:
             own = order[a:b].tolist()

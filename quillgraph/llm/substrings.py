@@ -81,7 +81,8 @@ def _block(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)]))
     low, high, at = s[first], s[np.concatenate([first[1:] - 1, [len(s) - 1]])], at[first]
     digest = mix(run_hash(sums, low, high + LENGTH) + mix((at - low).astype(U)) + hashes[at])
-    return hashes[at], digest, at, low, high
+    # smallest hashes are chosen, so they lie at the low end; mixed again they spread evenly over the parts
+    return mix(hashes[at] + U(1)), digest, at, low, high
 
 
 def anchors(texts: list[bytes]) -> tuple[Anchors, np.ndarray]:
