@@ -91,6 +91,16 @@ class EliasFano:
         word = np.searchsorted(self._zeros, h.astype(np.uint32), side="right") - 1
         return word * 64 + _select_in_word(~self.high[word], h - self._zeros[word])
 
+    def _ones_from(self, bit: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Length of the run of ones that starts at each bit, before the h-th zero."""
+        word, off = bit >> 6, bit & 63
+        x = ~(self.high[word] >> off.astype(U))
+        n = np.bitwise_count((x & (~x + U(1))) - U(1)).astype(np.int64)
+        far = np.flatnonzero(n >= 64 - off)  # up to the word's end: the zero is in a later one
+        if len(far):
+            n[far] = self._select0(h[far]) - bit[far]
+        return n
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i."""
         i = i.astype(np.int64)
@@ -104,8 +114,9 @@ class EliasFano:
         h = keys >> U(self.l)
         inside = h <= U(self.top)
         h = np.where(inside, h, U(0)).astype(np.int64)
-        lo = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
-        end = self._select0(h) - h
+        bit = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1, 0)
+        lo = bit - h
+        end = lo + self._ones_from(bit, h)
         want = keys & U((1 << self.l) - 1)
         hi = end.copy()
         open_ = np.flatnonzero(lo < hi)
@@ -121,17 +132,18 @@ class EliasFano:
 
 
 class Level:
-    """One level of a trie's shard: which parents have children here, where each parent's run starts, and the children.
+    """One level of a trie's shard: which parents have children here, where each parent's run of children starts, and the children.
 
-    Children of a run follow on the last value of the run before, so that all children form one
-    monotone sequence; a child is found by search for its successor inside its parent's run.
+    A child is kept as rank(parent) * width + child, so that all children form one monotone sequence
+    in which it is found by one search for its successor; the pointers give its place in the run.
     """
 
-    ARRAYS = 3 * EliasFano.ARRAYS
+    ARRAYS = 3 * EliasFano.ARRAYS + 1
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
         k = EliasFano.ARRAYS
         self.parents, self.pointers, self.children = (EliasFano(*arrays[j * k : j * k + k]) for j in range(3))
+        self.width = arrays[3 * k][0]
 
     @classmethod
     def of(cls, parent: np.ndarray, child: np.ndarray) -> list[np.ndarray]:
@@ -139,21 +151,28 @@ class Level:
         n = len(parent)
         first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if n else np.empty(0, np.int64)
         pointers = np.concatenate([first, [n]])
-        last = np.zeros(len(first) + 1, U)
-        if n:
-            last[1:] = np.cumsum(child[pointers[1:] - 1].astype(U) + U(1), dtype=U)
-        values = child.astype(U) + np.repeat(last[:-1], np.diff(pointers))
-        return [a for s in (EliasFano.of(parent[first]), EliasFano.of(pointers), EliasFano.of(values)) for a in s.arrays]
-
-    def find(self, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the parent, place of the child, place of the child in its run); -1 where there is none."""
-        at = self.parents.find(parent)
-        place, rel = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
-        ok = np.flatnonzero(at >= 0)
-        if len(ok):
-            begin, end = self.pointers.get(at[ok]).astype(np.int64), self.pointers.get(at[ok] + 1).astype(np.int64)
-            base = np.where(begin > 0, self.children.get(np.maximum(begin - 1, 0)) + U(1), U(0))
-            found = self.children.find(base + child[ok].astype(U))
-            good = (found >= begin) & (found < end)
-            place[ok[good]], rel[ok[good]] = found[good], (found - begin)[good]
-        return at, place, rel
+        width = int(child.max()) + 1 if n else 1
+        if len(first) * width >= 1 << 63:
+            raise ValueError("a shard of this size needs more shards")
+        values = child.astype(U) + np.repeat(np.arange(len(first), dtype=U) * U(width), np.diff(pointers))
+        return [a for s in (EliasFano.of(parent[first]), EliasFano.of(pointers), EliasFano.of(values)) for a in s.arrays] + [np.array([width], U)]
+
+    def find(self, at: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """Place of the child of the parent of that rank; -1 if there is none or the rank is -1."""
+        ok = (at >= 0) & (child.astype(U) < self.width)
+        if ok.all():
+            return self.children.find(at.astype(U) * self.width + child.astype(U))
+        place = np.full(len(at), -1, np.int64)
+        place[ok] = self.children.find(at[ok].astype(U) * self.width + child[ok].astype(U))
+        return place
+
+    def relative(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Place within the parent's run."""
+        return place - self.pointers.get(at).astype(np.int64)
+
+    def unrolled(self) -> tuple[np.ndarray, np.ndarray]:
+        """All (parent, child) in order."""
+        parents = self.parents.get(np.arange(self.parents.n)).astype(np.int64)
+        size = np.diff(self.pointers.get(np.arange(self.pointers.n)).astype(np.int64))
+        base = np.repeat(np.arange(len(parents), dtype=U) * self.width, size)
+        return np.repeat(parents, size), (self.children.get(np.arange(self.children.n)) - base).astype(np.int64)

@@ -291,40 +291,56 @@ class Trie:
             self.opened[key] = load(mapped(f"{self.model.folder}/pair-logs-{shard}"))[0]
         return self.opened[key]
 
+    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, places in the array) of each shard that occurs."""
+        order = np.argsort(shard.astype(np.uint16) if self.model.parts < 65536 else shard, kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(self.model.parts + 1))
+        for p in range(self.model.parts):
+            if cut[p] < cut[p + 1]:
+                yield p, order[cut[p] : cut[p + 1]]
+
     def bigrams(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(shard, place, place among the successors of v, log10 p(w|v)) of bigrams of known words; place -1 if not seen."""
+        """(shard, rank of v there, place, log10 p(w|v)) of bigrams of known words; place -1 if not seen."""
         key = (v.astype(U) << U(32)) | w.astype(U)
         own, back = np.unique(key, return_inverse=True)
         a, b = (own >> U(32)).astype(np.int64), (own & U(0xFFFFFFFF)).astype(np.int64)
         shard = shard_of(a, b, self.model.parts)
-        place, rel, log = np.full(len(own), -1, np.int64), np.full(len(own), -1, np.int64), np.zeros(len(own), np.float32)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.model.parts + 1))
-        for p in range(self.model.parts):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at) and (found := self.level("pairs", p)):
-                _, place[at], rel[at] = found[0].find(a[at], b[at])
+        rank, place, log = np.full(len(own), -1, np.int64), np.full(len(own), -1, np.int64), np.zeros(len(own), np.float32)
+        for p, at in self._by_shard(shard):
+            if found := self.level("pairs", p):
+                rank[at] = found[0].parents.find(a[at])
+                place[at] = found[0].find(rank[at], b[at])
                 seen = at[place[at] >= 0]
                 log[seen] = self.probabilities(p)[place[seen]] * np.float32(-STEP)
-        return shard[back], place[back], rel[back], log[back]
+        return shard[back], rank[back], place[back], log[back]
 
-    def trigrams(self, shard: np.ndarray, context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(seen, log10 p, log10 of the context's back-off) for contexts by their place and children by their relative number."""
-        seen, log, back = np.zeros(len(shard), bool), np.zeros(len(shard), np.float32), np.zeros(len(shard), np.float32)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.model.parts + 1))
-        for p in range(self.model.parts):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at) and (found := self.level("triples", p)):
-                level, (logs, backs) = found
-                known = child[at] >= 0
-                parent, place, _ = level.find(context[at], np.maximum(child[at], 0))
-                has = parent >= 0
-                back[at[has]] = backs[parent[has]] * np.float32(-BACK_STEP)
-                hit = (place >= 0) & known
-                seen[at[hit]] = True
-                log[at[hit]] = logs[place[hit]] * np.float32(-STEP)
-        return seen, log, back
+    def relative(self, shard: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Number of a seen bigram's last word among the successors of its first, over all shards."""
+        out = np.empty(len(shard), np.int64)
+        for p, at in self._by_shard(shard):
+            out[at] = self.level("pairs", p)[0].relative(rank[at], place[at]) * self.model.parts + p
+        return out
+
+    def contexts(self, shard: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, log10 of the back-off) of pairs, by shard and place, as contexts of trigrams; rank -1 for none."""
+        rank, back = np.full(len(shard), -1, np.int64), np.zeros(len(shard), np.float32)
+        for p, at in self._by_shard(shard):
+            if found := self.level("triples", p):
+                rank[at] = found[0].parents.find(pair[at])
+                has = at[rank[at] >= 0]
+                back[has] = found[1][1][rank[has]] * np.float32(-BACK_STEP)
+        return rank, back
+
+    def trigrams(self, shard: np.ndarray, rank: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(seen, log10 p) of trigrams by the rank of their context and the relative number of their last word."""
+        seen, log = np.zeros(len(shard), bool), np.zeros(len(shard), np.float32)
+        for p, at in self._by_shard(shard):
+            level, (logs, _) = self.level("triples", p)
+            place = level.find(rank[at], child[at])
+            hit = at[place >= 0]
+            seen[hit] = True
+            log[hit] = logs[place[place >= 0]] * np.float32(-STEP)
+        return seen, log
 
     def log_back_off(self, v: np.ndarray) -> np.ndarray:
         """log10 of the mass that words after v leave to unigrams; 0 for a word without successors."""
@@ -340,7 +356,7 @@ def write_bigram_logs(spark: SparkSession, model: Model) -> None:
         if not (found := trie.level("pairs", shard)):
             return
         level = found[0]
-        parent, child = unrolled(level)
+        parent, child = level.unrolled()
         c2 = unpack(get_file(f"{model.folder}/counted-{shard}"))[0]
         words = trie.words
         n = words.counts(parent)
@@ -350,16 +366,6 @@ def write_bigram_logs(spark: SparkSession, model: Model) -> None:
     on_shards(spark, model, work)
 
 
-def unrolled(level: Level) -> tuple[np.ndarray, np.ndarray]:
-    """All (parent, child) of a level in order."""
-    parents = level.parents.get(np.arange(level.parents.n)).astype(np.int64)
-    pointers = level.pointers.get(np.arange(level.pointers.n)).astype(np.int64)
-    values = level.children.get(np.arange(level.children.n)).astype(np.int64)
-    base = np.where(pointers[:-1] > 0, values[np.maximum(pointers[:-1] - 1, 0)] + 1, 0)
-    size = np.diff(pointers)
-    return np.repeat(parents, size), values - np.repeat(base, size)
-
-
 def write_trigrams(spark: SparkSession, model: Model) -> None:
     d = model.discounts[2]
 
@@ -369,15 +375,15 @@ def write_trigrams(spark: SparkSession, model: Model) -> None:
             return
         c2, index, w, c = unpack(data)
         trie = Trie(model)
-        _, middle = unrolled(trie.level("pairs", shard)[0])
-        other, place, rel, log = trie.bigrams(middle[index], w.astype(np.int64))
+        _, middle = trie.level("pairs", shard)[0].unrolled()
+        other, rank, place, log = trie.bigrams(middle[index], w.astype(np.int64))
         if len(place) and place.min() < 0:
             raise RuntimeError("a trigram's end is no bigram")
         own, first = np.unique(index, return_index=True)
         share = np.add.reduceat(c - d, first) / c2[own] if len(own) else np.empty(0)
         back = np.maximum(1 - share, 1e-5)
         p = (c - d) / c2[index] + np.repeat(back, np.diff(np.concatenate([first, [len(index)]]))) * 10.0 ** log.astype(np.float64)
-        child = rel * model.parts + other
+        child = trie.relative(other, rank, place)
         order = np.lexsort((child, index))
         put_file(f"{model.folder}/triples-{shard}", dump(*Level.of(index[order], child[order]), quantised(np.log10(np.minimum(p, 1.0)))[order], quantised(np.log10(back), BACK_STEP)))
 
@@ -424,19 +430,24 @@ def token_logs(trie: Trie, ids: np.ndarray, counts: np.ndarray, n: np.ndarray) -
     first[second[(second < len(ids)) & (n[n > 0] > 1)]] = 1
     two = np.flatnonzero(first >= 1)
     v, w = ids[two - 1], ids[two]
-    shard, place, rel = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
+    shard, rank, place = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
     known = (v >= 0) & (w >= 0)
     at = two[known]
-    shard[at], place[at], rel[at], found = trie.bigrams(v[known], w[known])
-    pair = log.copy()
-    pair[two] += trie.log_back_off(v)
+    shard[at], rank[at], place[at], found = trie.bigrams(v[known], w[known])
     hit = place[at] >= 0
-    pair[at[hit]] = found[hit]
-    out = pair.copy()
+    out = log.copy()
+    out[at[hit]] = found[hit]
+    rest = np.ones(len(two), bool)
+    rest[np.flatnonzero(known)[hit]] = False
+    out[two[rest]] += trie.log_back_off(v[rest])
     three = np.flatnonzero((first >= 2) & (np.concatenate([[-1], place[:-1]]) >= 0))
-    child = np.where(place[three] >= 0, rel[three] * trie.model.parts + shard[three], -1)
-    seen, logs, back = trie.trigrams(shard[three - 1], place[three - 1], child)
-    out[three] = np.where(seen, logs, pair[three] + back)
+    context, back = trie.contexts(shard[three - 1], place[three - 1])
+    has = np.flatnonzero(context >= 0)
+    out[three[has]] += back[has]
+    whole = has[place[three[has]] >= 0]
+    t = three[whole]
+    seen, logs = trie.trigrams(shard[t - 1], context[whole], trie.relative(shard[t], rank[t], place[t]))
+    out[t[seen]] = logs[seen]
     return out
 
 
