@@ -12,11 +12,13 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the Python side looks at in one go.
 CHUNK = 1 << 20
@@ -58,6 +60,38 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Hosts up to which a table with one row for each is broadcast, and the tasks that share a host beyond that.
+BROADCAST_HOSTS, HOST_SALTS = 1000, 32
+
+
+def join_hosts(docs: DataFrame, host: str, hosts: DataFrame, how: str) -> DataFrame:
+    """docs joined (left or left_anti, null-safe) with a table that has one row for a host, `_host`.
+
+    The host table is made first, so its size is known: a small one is broadcast and texts stay
+    where they are; a large one is repeated for each salt, so that no host's documents meet in one task.
+    """
+    hosts = written(hosts, "hosts")
+    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        return docs.join(F.broadcast(hosts), docs[host].eqNullSafe(hosts["_host"]), how)
+    salted = docs.withColumn("_salt", F.pmod(F.xxhash64(*docs.columns), F.lit(HOST_SALTS)))
+    spread = hosts.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+    return salted.join(spread, salted[host].eqNullSafe(spread["_host"]) & (salted["_salt"] == spread["_of"]), how).drop("_salt", "_of")
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None = None, size: int = 8 << 20) -> Iterator[None]:
+    """Batches to Python of at most so many rows and bytes, for the actions inside."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def parts_of(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -104,7 +138,7 @@ def mapped(uri: str) -> np.ndarray:
 
     store, path = open_fs(uri)
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.empty(0, np.uint8)
+        return np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, np.uint8)
     with store.open_input_stream(path) as f:
         return np.frombuffer(f.read(), np.uint8)
 

@@ -2,10 +2,10 @@
 
 Documents with equal shingle sets become one representative first, so exact copies cost one row
 each and no pair. Representatives that share a band are candidates. A bucket is not expanded into
-pairs: its members are first compared with the bucket's smallest only; buckets whose members are
-then still in different components go on in rounds in which each member proposes its most alike
-members of other components, until no untested candidate is left. Every candidate passes the
-signature estimate and then an exact comparison of full shingle sets.
+pairs: its members are first compared with the bucket's smallest only (signature estimate, then the
+words' full sets). Where members are then still in different components, alike ones are gathered in
+clusters, and a cluster's components are compared on full sets, in blocks of bounded size. All that
+these steps return is links that join components, fewer than there are members.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import slices, table, text_bytes, written
-from quillgraph.llm.components import components
+from quillgraph.llm.common import arrow_batches, slices, table, text_bytes, written
+from quillgraph.operators.components import components
 from quillgraph.llm.scan import mix, windows, words
 
 BANDS = 32
 ROWS = 5
 #: A pair goes on to the exact comparison if its signatures agree in (threshold - MARGIN) of all places: five standard deviations.
 MARGIN = 0.16
-#: Proposals of a member in each round; None: all.
-ROUNDS = (4, 16, 128, None)
+#: Members of a bucket, and of a cluster, that one chunk holds; a task compares two chunks.
+BUCKET_ROWS, CLUSTER_ROWS = 10_000, 1_000
 #: Pairs of texts that a worker gets at a time.
 PAIR_ROWS = 256
 
@@ -150,39 +150,115 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
 
 
-def _proposals(open_buckets: DataFrame, least: float, most: int | None) -> DataFrame:
-    """From rows (key, doc_id, component, signature): pairs across components that are alike, up to `most` for each member.
+def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows in blocks (key, i, j): a key's rows are dealt to chunks of about `size`, and each pair of chunks is a block.
 
-    Members of the bucket's largest component only answer: every pair across components has another
-    member that proposes. Signatures are compared in blocks of bounded size.
+    A block has two chunks at most, whatever the key's size, and every pair of a key's rows meets in a block.
     """
+    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_c"))
+    dealt = rows.join(counts, key).withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.col("_c")).cast("int"))
+    return dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("i", F.least("_k", "_x")).withColumn("j", F.greatest("_k", "_x")).drop("_c", "_x")
+
+
+class _Forest:
+    """Joins labels; link() tells whether two were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def link(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _spanning(ids: np.ndarray, comp: np.ndarray, hits) -> pa.Table:
+    """Links (u, v) that join components, out of pairs of places; at most one link fewer than there are components."""
+    forest, us, vs = _Forest(), [], []
+    for x, y in hits:
+        if forest.link(int(comp[x]), int(comp[y])):
+            us.append(int(ids[x]))
+            vs.append(int(ids[y]))
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def _alike_components(rest: DataFrame, least: float) -> DataFrame:
+    """From rows (key, doc_id, component, signature): links that join the components of alike members of a bucket."""
 
     def run(_: tuple, group: pa.Table) -> pa.Table:
         ids, comp = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        names, sizes = np.unique(comp, return_counts=True)
-        asking = np.flatnonzero(comp != names[np.argmax(sizes)])
         step = max(1, (16 << 20) // max(1, sig.size))
-        us, vs = [], []
-        for a in range(0, len(asking), step):
-            rows = asking[a : a + step]
-            agree = (sig[rows][:, None, :] == sig[None, :, :]).mean(axis=2, dtype=np.float32)
-            agree[comp[rows][:, None] == comp[None, :]] = 0
-            agree[agree < least] = 0
-            if most is not None and agree.shape[1] > most:
-                top = np.argpartition(-agree, most - 1, axis=1)[:, :most]
-                i = np.repeat(np.arange(len(rows)), most)
-                j = top.reshape(-1)
-                ok = agree[i, j] > 0
-                i, j = i[ok], j[ok]
-            else:
-                i, j = np.nonzero(agree)
-            us.append(np.minimum(ids[rows][i], ids[j]))
-            vs.append(np.maximum(ids[rows][i], ids[j]))
-        empty = np.empty(0, np.int64)
-        return pa.table({"u": pa.array(np.concatenate([empty, *us]), pa.int64()), "v": pa.array(np.concatenate([empty, *vs]), pa.int64())})
-
-    return open_buckets.groupBy("key").applyInArrow(run, "u long, v long").distinct()
+
+        def hits() -> Iterator[tuple[int, int]]:
+            for a in range(0, len(ids), step):
+                apart = comp[a : a + step, None] != comp[None, a:]
+                agree = (sig[a : a + step, None, :] == sig[None, a:, :]).mean(axis=2, dtype=np.float32)
+                x, y = np.nonzero(apart & (agree >= least))
+                yield from zip((x + a).tolist(), (y + a).tolist(), strict=True)
+
+        return _spanning(ids, comp, hits())
+
+    return _blocked(rest, "key", BUCKET_ROWS).groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
+def _sets_of(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, shingles): sorted 64-bit hashes of the full set, packed."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            own = text_bytes(batch.column(1))
+            found = [x.tobytes() for a, b in slices(len(own), lambda i: len(own[i])) for x in shingle_sets(own[a:b], n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    return texts.select("doc_id", "bytes").mapInArrow(run, "doc_id long, shingles binary")
+
+
+def intersections(sets: list[np.ndarray], columns: int = 1024) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, sizes of the intersections of up to 256 sets with all sets), by products of 0/1 matrices over shared shingles."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    ok = count[code] > 1
+    row, code = row[ok], number[code[ok]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    width = int(code[-1]) + 1 if len(code) else 0
+    cut = np.searchsorted(code, np.arange(0, width + columns, columns))
+    for a in range(0, len(sets), 256):
+        both = np.zeros((min(256, len(sets) - a), len(sets)), np.float32)
+        for k in range(len(cut) - 1):
+            m = np.zeros((len(sets), columns), np.float32)
+            m[row[cut[k] : cut[k + 1]], code[cut[k] : cut[k + 1]] - k * columns] = 1
+            both += m[a : a + 256] @ m.T
+        yield a, both
+
+
+def _exact_components(members: DataFrame, percent: int) -> DataFrame:
+    """From rows (cluster, doc_id, component, shingles): links that join components, every pair across components of a cluster compared on full sets."""
+
+    def run(_: tuple, group: pa.Table) -> pa.Table:
+        ids, comp = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+        sets = [np.frombuffer(x, _U) for x in group.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+
+        def hits() -> Iterator[tuple[int, int]]:
+            for a, both in intersections(sets):
+                union = size[a : a + 256, None] + size[None, :] - both
+                x, y = np.nonzero((comp[a : a + 256, None] < comp[None, :]) & (both > 0) & (100 * both >= percent * union))
+                yield from zip((x + a).tolist(), y.tolist(), strict=True)
+
+        return _spanning(ids, comp, hits())
+
+    return _blocked(members, "cluster", CLUSTER_ROWS).groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -196,7 +272,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     least = percent / 100 - MARGIN
     smallest = -(-percent // (100 - percent))  # a set below this size links with equal sets only
-    sets = written(signed_sets(docs, n), "near-sets")
+    with arrow_batches(spark):
+        sets = written(signed_sets(docs, n), "near-sets")
     reps = written(
         sets.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
         "near-reps",
@@ -208,27 +285,22 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     signed = written(reps.join(ids, "doc_id", "left_semi").select("doc_id", "signature").distinct(), "near-signed")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes")).join(ids, "doc_id", "left_semi").distinct(), "near-texts")
 
-    spark_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIR_ROWS))  # a batch of pairs holds two texts a row
-    try:
+    with arrow_batches(spark, PAIR_ROWS):  # a batch of pairs holds two texts a row
         tested = members.filter(F.col("centre") != F.col("doc_id")).select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct()
         tested = written(_alike(tested, signed, least), "near-pairs")
         links = written(_linked(tested, texts, n, percent), "near-links")
         found = components(links)
-        for most in ROUNDS:
-            named = members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("key")
-            rest = written(named.join(open_keys, "key", "left_semi").join(signed, "doc_id"), "near-open")
-            pairs = written(_proposals(rest, least, most).join(tested, ["u", "v"], "left_anti"), "near-proposed")
-            if pairs.isEmpty():
-                if most is None or rest.isEmpty():
-                    break
-                continue
-            more = written(_linked(pairs, texts, n, percent), "near-more")
-            tested = tested.union(pairs)
-            found = components(found.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark_rows)
+        named = members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("key")
+        rest = named.join(open_keys, "key", "left_semi").join(signed, "doc_id")
+        alike = written(_alike_components(rest, least), "near-alike")
+        if not alike.isEmpty():
+            stars = found.select(F.col("component").alias("u"), F.col("node").alias("v"))
+            clusters = components(stars.union(alike)).withColumnRenamed("component", "cluster")
+            touched = clusters.join(alike.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("cluster").distinct()
+            inside = clusters.join(touched, "cluster", "left_semi").join(found, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component"))
+            ready = written(inside.join(_sets_of(texts, n), "doc_id"), "near-clusters")
+            found = components(stars.union(written(_exact_components(ready, percent), "near-more")))
 
     named = reps.select("set_key", F.col("doc_id").alias("rep")).join(found, F.col("rep") == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     done = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
