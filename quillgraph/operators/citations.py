@@ -24,8 +24,9 @@ def split_references(patents: DataFrame) -> DataFrame:
 
 
 def clean(citations: DataFrame) -> DataFrame:
-    """Distinct (from_patent, to_patent) with two ends that differ."""
-    return citations.select("from_patent", "to_patent").filter(F.col("from_patent").isNotNull() & F.col("to_patent").isNotNull() & (F.col("from_patent") != F.col("to_patent"))).distinct()
+    """Distinct (from_patent, to_patent) with both ends."""
+    ok = lambda c: F.coalesce(F.col(c).cast("string") != "", F.lit(False))
+    return citations.select("from_patent", "to_patent").filter(ok("from_patent") & ok("to_patent")).distinct()
 
 
 def projected(citations: DataFrame, membership: DataFrame) -> DataFrame:

@@ -83,6 +83,11 @@ def extract(patents: DataFrame, extractor: Extractor, size: int = BATCH, retries
     return parse_answers(batched, answers)
 
 
+def trend_input(results: DataFrame, ordinal: str = "patent_id", most: int = 15) -> DataFrame:
+    """What a trend report is written from: the first results in order."""
+    return results.orderBy(ordinal).limit(most)
+
+
 def empty(spark) -> DataFrame:
     return spark.createDataFrame([], EXTRACTIONS)
 

@@ -135,6 +135,15 @@ def test_catalog(spark, tmp_path):
     assert [(r.analysis_id, r.status) for r in catalog.history(a.read(), "o").collect()] == [("y", "running"), ("x", "completed")]
 
 
+def test_limits():
+    from quillgraph.plans.limits import Limits, check_analysis, check_upload, from_env
+
+    assert from_env({"UPLOAD_MAX_FILES": "3.9", "ANALYZE_MAX_PATENTS": "-1"}) == Limits(upload_max_files=3)
+    assert check_upload([("a.XLSX", 5)]) is None and check_upload([]).status == 400 and check_upload([("a.csv", 5)]).status == 400 and check_upload([("a.xlsx", 0)]).status == 400
+    assert check_upload([("a.xlsx", 9 << 20)]).status == 413 and check_upload([("a.xlsx", 5 << 20)] * 2).status == 413 and check_upload([("a.xlsx", 1)] * 11).status == 413
+    assert check_analysis(20_000, 5) is None and check_analysis(20_001, 5).status == 413 and check_analysis(0, 0).status == 400
+
+
 def test_labels():
     from quillgraph.plans import labels
     from quillgraph.plans.options import ViewOptions
