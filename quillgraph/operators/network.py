@@ -17,10 +17,19 @@ from quillgraph.functions.text import squeeze
 BROADCAST_ROWS = 100_000
 
 
+def laid_out(facts: DataFrame, key: str = "patent_id") -> DataFrame:
+    """Facts with all columns set, each once, hash-partitioned by the key.
+
+    The distinct, the grouping by patent and the joins on it then share one shuffle, and equal
+    subplans of a query are the same exchange, which Spark runs once.
+    """
+    return facts.dropna().repartition(key).distinct()
+
+
 def memberships(extractions: DataFrame) -> DataFrame:
     """(patent_id, concept), distinct and squeezed, blank ones left out."""
     each = extractions.select("patent_id", F.explode("keywords").alias("k")).select("patent_id", squeeze(F.col("k")).alias("concept"))
-    return each.filter(F.col("concept") != "").distinct()
+    return laid_out(each.filter(F.col("concept") != ""))
 
 
 def relations(extractions: DataFrame) -> DataFrame:

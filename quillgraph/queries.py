@@ -204,7 +204,7 @@ def _(spark, d):
 def _brands(spark, d):
     """Concept = brand and type, patents of few lines: medians that differ."""
     part = T.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_brand", "p_type", F.col("p_size").cast("string")).alias("concept"))
-    return T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").select("patent_id", "concept").distinct()
+    return network.laid_out(T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").select("patent_id", "concept"))
 
 
 BRANDS = FACTS.replace("p_name as concept", "p_brand || ' ' || p_type || ' ' || cast(p_size as varchar) as concept")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.network import laid_out
 from quillgraph.plans.views import Graph
 
 MAX_YEAR = 2035
@@ -25,7 +26,7 @@ def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("concept"))
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").select("patent_id", "concept").distinct()
+    return laid_out(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").select("patent_id", "concept"))
 
 
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
