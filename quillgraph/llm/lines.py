@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import join_hosts, table
 
 RATIO = 0.1
 MIN_PAGES = 20
@@ -52,8 +52,7 @@ def drop_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     found = boilerplate(pages, ratio, min_pages, host)
     base = pages.drop("n_lines", "n_dropped")
     names = [c for c in base.columns if c != "text"]
-    # a plain join: Spark broadcasts the small side only below its own size threshold, and splits a hot host otherwise
-    joined = base.join(found, base[host].eqNullSafe(found["_host"]), "left")
+    joined = join_hosts(base, host, found, "left")
     lines = _lines(F.col("text"))
     kept = F.when(F.col("boiler").isNull(), lines).otherwise(F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("boiler"), F.coalesce(_hash(x), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))), F.lit(True))))
     out = joined.select(*[base[c] for c in names], F.col("text").alias("_text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), kept.alias("_kept"))
