@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import slices, table, text_bytes
-from quillgraph.llm.scan import SPACE, windows, words
+from quillgraph.llm.common import join_hosts, slices, table, text_bytes
+from quillgraph.llm.scan import PLAIN, SPACE, windows, words
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
+#: Bounds of the prior's strength, in documents.
+WEAK, STRONG = 10.0, 10_000.0
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -56,7 +58,7 @@ def repeated_words(grams: np.ndarray) -> int:
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    hashes, n_words = words(texts)
+    hashes, n_words = words(texts, fold=PLAIN)  # words are told apart by case
     grams, each = windows(hashes, n_words, WINDOW)
     ends = np.cumsum(each)
     chars, symbols, dups, repeats = (np.zeros(len(texts), np.int64) for _ in range(4))
@@ -99,15 +101,14 @@ def host_verdicts(judged: DataFrame, bad_host: float = 0.5) -> DataFrame:
     """source, host_docs, host_failed, shrunk_rate, host_kept of every host of (source, base_failed) rows.
 
     The prior Beta(a, b) has the mean m of the hosts' rates and a strength a + b from the method of
-    moments: m (1 - m) / v - 1 for the variance v of the rates, at least 1 and at most `STRONG`
-    (hosts that all have the same rate have no variance). A null source is a host of its own.
+    moments: m (1 - m) / v - 1 for the variance v of the rates, at least WEAK documents (one bad page must not
+    condemn a host) and at most STRONG (equal rates have no variance). A null source is a host of its own.
     """
-    strong = 10_000.0
     hosts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
     prior = hosts.agg(F.avg(rate).alias("_m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("_v"))
     spread = F.col("_m") * (1 - F.col("_m"))
-    strength = F.when(F.col("_v") * (strong + 1) <= spread, F.lit(strong)).otherwise(F.greatest(F.lit(1.0), spread / F.when(F.col("_v") > 0, F.col("_v")).otherwise(F.lit(1.0)) - 1))
+    strength = F.when(F.col("_v") * (STRONG + 1) <= spread, F.lit(STRONG)).otherwise(F.greatest(F.lit(WEAK), spread / F.when(F.col("_v") > 0, F.col("_v")).otherwise(F.lit(1.0)) - 1))
     # the prior is one row
     shrunk = (F.col("host_failed") + F.col("_m") * F.col("_s")) / (F.col("host_docs") + F.col("_s"))
     return hosts.crossJoin(F.broadcast(prior.select("_m", strength.alias("_s")))).select("source", "host_docs", "host_failed", shrunk.alias("shrunk_rate"), (shrunk <= bad_host).alias("host_kept"))
@@ -130,9 +131,9 @@ def keep(docs: DataFrame, bad_host: float = 0.5, min_words: int = 10, repeat_per
     """The rows and columns of docs that judge() would keep; hosts are judged in a pass of their own, without texts in a shuffle."""
     rule = failed(min_words, repeat_percent)
     hosts = host_verdicts(document_features(docs.select("source", "text")).withColumn("base_failed", rule), bad_host)
-    bad = hosts.filter(~F.col("host_kept")).select(F.col("source").alias("_source"))
+    bad = hosts.filter(~F.col("host_kept")).select(F.col("source").alias("_host"))
     passed = document_features(docs, keep_text=True).filter(~rule).select(*docs.columns)
-    return passed.join(bad, passed["source"].eqNullSafe(bad["_source"]), "left_anti")
+    return join_hosts(passed, "source", bad, "left_anti")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from quillgraph.llm.language import op6_language
 from quillgraph.llm.language_model import op1_lm
 from quillgraph.llm.lines import op2_lines
 from quillgraph.llm.near_dedup import op7_near_dedup
+from quillgraph.llm.oracle import ORACLE_SQL
 from quillgraph.llm.quality import op8_quality
 from quillgraph.llm.sharding import op9_sharding
 from quillgraph.llm.substrings import op10_substrings
@@ -29,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_substrings": op10_substrings,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -19,6 +19,8 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All bytes as they are.
+PLAIN = np.arange(256, dtype=np.uint8)
 #: Bytes that separate words of [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
