@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import fresh_dir, open_fs, table
+from quillgraph.llm.common import fresh_dir, open_fs, parts_of, table, written
 
 #: Compressed bytes after which a writer starts its next archive.
 ROLL = 64 << 20
@@ -226,12 +226,10 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
                 if rows:
                     yield packed(rows)
 
-    return archives.repartition(max(1, archives.rdd.getNumPartitions())).mapInArrow(run, RECORDS)
+    return archives.repartition(parts_of(archives.sparkSession)).mapInArrow(run, RECORDS)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillgraph.llm.common import written
-
     folder = fresh_dir(spark, "warc")
     archives = written(write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder), "warc-list")
     return read_archives(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
