@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_STEPS = [(U(s), U((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
+_ONE, _HIGH = U(0x0101010101010101), U(0x8080808080808080)
+_HALF, _PAIR, _NIBBLE = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F0F0F0F0F0F)
+#: Place of the k-th set bit of each byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).reshape(-1)
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -31,15 +34,15 @@ def load(buffer: np.ndarray) -> list[np.ndarray]:
 
 
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Where in each word its rank-th set bit (from 0) is."""
-    at, rank = np.zeros(len(word), np.int64), rank.astype(np.int64)
-    for s, mask in _STEPS:
-        low = np.bitwise_count(word & mask).astype(np.int64)
-        up = rank >= low
-        rank -= np.where(up, low, 0)
-        word = np.where(up, word >> s, word)
-        at += np.where(up, int(s), 0)
-    return at
+    """Where in each word its rank-th set bit (from 0) is: the byte by its running count of bits, then a table."""
+    k = rank.astype(U)
+    sums = word - ((word >> U(1)) & _HALF)
+    sums = (sums & _PAIR) + ((sums >> U(2)) & _PAIR)
+    sums = ((sums + (sums >> U(4))) & _NIBBLE) * _ONE  # bits up to and with each byte
+    place = np.bitwise_count((((k * _ONE) | _HIGH) - sums) & _HIGH).astype(U) << U(3)  # bytes whose count is not above k
+    k -= ((sums << U(8)) >> place) & U(255)
+    at = (((word >> place) & U(255)) << U(3)) + k
+    return place.astype(np.int64) + _IN_BYTE[at.astype(np.int64)]
 
 
 class EliasFano:
