@@ -13,10 +13,11 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import slices, table, text_bytes
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 200_000
@@ -69,8 +70,17 @@ def tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
         for batch in it:
-            ids = [encode(enc, t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode_bytes(x) for x in ids], pa.binary())], names=[*batch.schema.names, "token_ids", "decoded"])
+            texts = text_bytes(batch.column(at))
+            for a, b in slices(len(texts), lambda i: len(texts[i])):  # noqa: B023
+                ids, decoded = [], []
+                for t in texts[a:b]:
+                    own = encode(enc, t.decode())
+                    decoded.append(enc.decode_bytes(own))
+                    ids.append(np.asarray(own, np.int32))
+                rows = batch.slice(a, b - a)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(decoded, pa.binary())], names=[*rows.schema.names, "token_ids", "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{fields}, token_ids array<int>, decoded binary")
@@ -85,8 +95,6 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     path, pattern = path or default_ranks()[0], pattern or default_ranks()[1]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         enc = encoding(path, pattern)
         for batch in it:
             n, ids_sha, decoded_sha = [], [], []

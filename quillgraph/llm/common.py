@@ -9,7 +9,6 @@ so what a part holds stays bounded when both grow with the input.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.shared import shared_dir
+
 #: Bytes of text that the Python side looks at in one go.
 CHUNK = 1 << 20
 
@@ -30,29 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillgraph-')}"
-        sc.setCheckpointDir(found)
-    return found
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as Parquet in the shared folder, read again."""
     path = fresh_dir(df.sparkSession, what)

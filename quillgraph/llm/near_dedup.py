@@ -79,7 +79,7 @@ def signed_sets(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands, signature) of every row; no key where there is no shingle or no doc_id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[list[int], bytes]] = {}
+        seen: dict[bytes, tuple[np.ndarray, bytes]] = {}
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
             rows: list[tuple] = []
@@ -93,7 +93,7 @@ def signed_sets(docs: DataFrame, n: int) -> DataFrame:
                         if len(seen) >= 20_000:
                             seen.clear()
                         low = minima(own)
-                        seen[key] = (band_keys(low).view(np.int64).tolist(), (low >> _U(32) & _U(255)).astype(np.uint8).tobytes())
+                        seen[key] = (band_keys(low).view(np.int64), (low >> _U(32) & _U(255)).astype(np.uint8).tobytes())
                     rows.append((len(own), key, *seen[key]))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
