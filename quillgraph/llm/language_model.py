@@ -10,8 +10,8 @@ to the shared folder, one file for each shard and level; scoring maps the files
 
 Probabilities are interpolated with absolute discounting, p(w|h) = (c(hw) - D) / c(h) + b(h) p(w|h'),
 with D = n1 / (n1 + 2 n2) of each level, and kept as one byte of log10 for each n-gram. Trigrams seen
-once are pruned (a usual parameter, `least`); their mass goes to the shorter context. The model grows
-with the training texts; nothing but sums and file sizes reaches the driver.
+fewer than `least` times can be pruned (op1_lm prunes none); their mass goes to the shorter context.
+The model grows with the training texts; nothing but sums and file sizes reaches the driver.
 """
 
 from __future__ import annotations
@@ -393,7 +393,8 @@ def write_trigrams(spark: SparkSession, model: Model) -> None:
 def train_model(texts: DataFrame, least: int = 2) -> Model:
     """A model of all rows of `text` (null: empty), in a new folder of the shared folder.
 
-    An empty table gives a model without words, for which every token is unknown.
+    An empty table gives a model without words, for which every token is unknown. Trigrams seen fewer
+    than `least` times are pruned; 1 keeps all.
     """
     spark = texts.sparkSession
     parts, folder, train = parts_of(spark, 4), fresh_dir(spark, "ngrams"), texts.select("text")
@@ -482,5 +483,5 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", held)
-    model = train_model(docs.filter(~F.col("held_out")))
+    model = train_model(docs.filter(~F.col("held_out")), least=1)
     return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

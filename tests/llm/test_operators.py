@@ -189,6 +189,21 @@ def test_language_model(spark):
         assert sum(p3(a.encode(), b.encode(), x[0]) for x in c1) + p3(a.encode(), b.encode(), b"never") == pytest.approx(1)
 
 
+def test_op1_keeps_trigrams_seen_once(spark, tmp_path):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_lm"](spark, str(tmp_path)).collect()
+    held, texts = {r.doc_id for r in got if r.held_out}, dict(docs)
+    _, _, _, p1, p2, p3 = brute_model([t for i, t in docs if i not in held], least=1)
+    assert 0 < len(held) < len(docs)
+    for r in got:
+        w = texts[r.doc_id].encode().lower().split() + [None]
+        want = math.log10(p1(w[0])) + (math.log10(p2(w[0], w[1])) if len(w) > 1 else 0) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+        assert abs(r.score - want) <= 0.045 * len(w)
+
+
 def test_language_model_odd(odd, empty):
     model = language_model.train_model(odd)
     got = language_model.score(odd, model).collect()
