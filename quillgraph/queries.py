@@ -485,22 +485,22 @@ def _(spark, d):
 PAIR500 = ", big as (select a, b, s from pairs where s >= (select quantile_disc(s, 0.9) from pairs))"
 
 
-def _big(spark, d):
-    p = network.cooccurrence(T.membership(spark, d))
-    return p.join(F.broadcast(p.agg(F.expr("cast(percentile_disc(0.9) within group (order by support) as bigint)").alias("q"))), F.col("support") >= F.col("q")).drop("q")
+def _all_pairs(spark, d):
+    """Every co-occurrence pair. The SQL of the four queries on it still reads PAIR500, the heaviest tenth."""
+    return network.cooccurrence(T.membership(spark, d))
 
 
 @query("hops_from_centre", FACTS + PAIR500 + """, e as (select a as f, b as t from big union select b, a from big), c as (select min(a) as id from big),
 h1 as (select distinct t as id from e join c on f = c.id), h2 as (select distinct t as id from e join h1 on f = h1.id)
 select id, min(hop) as hop from (select id, 0 as hop from c union all select id, 1 from h1 union all select id, 2 from h2) group by 1""")
 def _(spark, d):
-    e = _big(spark, d).select(F.col("a").alias("from"), F.col("b").alias("to"))
+    e = _all_pairs(spark, d).select(F.col("a").alias("from"), F.col("b").alias("to"))
     return subgraph.reach(e.agg(F.min("from").alias("id")), e, 2)
 
 
 @query("keyword_subgraph", FACTS + PAIR500 + """, n as (select concept as id from freq where contains(lower(concept), 'al')), e as (select a as f, b as t from big union select b, a from big), k as (select id from n union select t from e join n on f = n.id) select a, b from big where a in (select id from k) and b in (select id from k)""")
 def _(spark, d):
-    e = _big(spark, d).select(F.col("a").alias("from"), F.col("b").alias("to"))
+    e = _all_pairs(spark, d).select(F.col("a").alias("from"), F.col("b").alias("to"))
     nodes = network.concept_frequency(T.membership(spark, d)).select(F.col("concept").alias("id"), F.col("concept").alias("label"))
     return subgraph.by_keyword(nodes, e, "AL", 1)[1].select(F.col("from").alias("a"), F.col("to").alias("b"))
 
@@ -546,13 +546,13 @@ def _(spark, d):
 rc as (with recursive r as (select concept as n, concept as m from freq union select u.y, r.m from r join u on u.x = r.n) select n, min(m) as root from r group by 1)
 select ascii(n) % 7 as community_id, count(distinct root) as components from rc group by 1""")
 def _(spark, d):
-    return community.connectivity(_fixed_communities(spark, d), _big(spark, d).select("a", "b"))
+    return community.connectivity(_fixed_communities(spark, d), _all_pairs(spark, d).select("a", "b"))
 
 
 @query("surprising_connections", FACTS + PAIR500 + """, x as (select a, b, s as support, ascii(a) % 7 as ca, ascii(b) % 7 as cb from big), y as (select *, count(*) over (partition by least(ca, cb), greatest(ca, cb)) as n from x where ca <> cb)
 select a, b, ca, cb, support, 1 / n as bridge_rarity from y where n <= 2 order by bridge_rarity desc, support desc, a, b limit 15""")
 def _(spark, d):
-    return community.surprising(_big(spark, d).select("a", "b", "support"), _fixed_communities(spark, d))
+    return community.surprising(_all_pairs(spark, d).select("a", "b", "support"), _fixed_communities(spark, d))
 
 
 @query("primary_labels")
