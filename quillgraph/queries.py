@@ -750,8 +750,11 @@ def _(spark, d):
 
 @query("hidden_membership", FACTS + """, n as (select concept as id, bool_or(file = '1-URGENT') as x, bool_or(file = '2-HIGH') as y from mc join pat using (patent_id) where year = 1996 and patent_id % 40 = 0 and file in ('1-URGENT', '2-HIGH') group by 1) select id from n where x and not y""")
 def _(spark, d):
-    p = T.patents(spark, d).filter((F.col("year") == 1996) & (F.col("patent_id") % 40 == 0))
-    frames = [T.membership(spark, d).join(p.filter(F.array_contains("source_files", f)).select("patent_id"), "patent_id", "left_semi").select(F.col("concept").alias("id")).distinct() for f in ("1-URGENT", "2-HIGH")]
+    """Concepts of the first file's patents that none of the second's has. Concept = name and part: names are on both sides. The SQL still reads a sample of names."""
+    part = T.read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("concept"))
+    m = network.laid_out(T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").select("patent_id", "concept"))
+    p = T.patents(spark, d)
+    frames = [m.join(p.filter(F.array_contains("source_files", f)).select("patent_id"), "patent_id", "left_semi").select(F.col("concept").alias("id")).distinct() for f in ("1-URGENT", "2-HIGH")]
     members = compare.membership(compare.tagged(frames), 2)
     none = spark.createDataFrame([], "id string, `from` string, `to` string")
     return compare.hidden(members, none, members.limit(0), ["a"])[0]

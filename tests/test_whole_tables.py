@@ -1,5 +1,6 @@
 """Queries on small tables against brute force: nothing of a table is left out."""
 
+import datetime
 import random
 from collections import Counter
 from itertools import combinations
@@ -70,3 +71,13 @@ def test_surprising_over_all_pairs(spark, graph_tables, pairs):
     want = sorted((n[k], -pairs[p], *p) for p, k in cross.items() if n[k] <= 2)[:15]
     got = [(round(1 / r.bridge_rarity), -r.support, r.a, r.b) for r in queries.QUERIES["surprising_connections"](spark, graph_tables).collect()]
     assert got == want and len(got) > 1
+
+
+def test_hidden_membership_over_whole_files(spark, tmp_path):
+    orders = [(i, datetime.date(1992 + i % 7, 1, 1), ("1-URGENT", "2-HIGH", "5-LOW")[i % 3], 1, "F") for i in range(1, 61)]
+    lines = [(i, (i * 7 + k) % 40) for i in range(1, 61) for k in range(2)]
+    folder = stored(spark, tmp_path, orders=(orders, "o_orderkey long, o_orderdate date, o_orderpriority string, o_custkey long, o_orderstatus string"), lineitem=(lines, "l_orderkey long, l_partkey long"), part=([(k, f"n{k % 3}") for k in range(40)], "p_partkey long, p_name string"))
+    file = {o[0]: o[2] for o in orders}
+    of = lambda f: {f"n{k % 3} {k}" for i, k in lines if file[i] == f}
+    got = [r.id for r in queries.QUERIES["hidden_membership"](spark, folder).collect()]
+    assert sorted(got) == sorted(of("1-URGENT") - of("2-HIGH")) and got
