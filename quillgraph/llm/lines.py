@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 A line's ratio is the share of its host's pages that contain it. Lines whose ratio is above the
-boilerplate ratio are dropped from every page of that host. Lines travel as 128-bit hashes; only
+boilerplate ratio, on two pages or more, are dropped from every page of that host. Lines travel as 128-bit hashes; only
 lines above the ratio are kept, and a host can have at most (lines a page) / ratio of those.
 """
 
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import join_hosts, table
 
 RATIO = 0.1
+#: Pages that a line must be on to be boilerplate: below that it is not repeated.
+LEAST = 2
+#: The size of host from which the SQL counterpart looks for boilerplate; the operator has no such limit.
 MIN_PAGES = 20
 
 
@@ -26,7 +29,7 @@ def _hash(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(7), bare).alias("b")))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host: str = "source") -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1, host: str = "source") -> DataFrame:
     """(host, line) hashes above the ratio, gathered by host as `boiler`, an array bounded by (lines a page) / ratio.
 
     Counting is by distinct page: a line repeated on a page counts once there. Counts are combined
@@ -35,18 +38,17 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     own = pages.select(F.col(host).alias("_host"), F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _hash), lambda h: h.isNotNull())).alias("_h"))
     totals = pages.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages)
     counts = own.select("_host", F.explode("_h").alias("_h")).groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n"))
-    # a line on one page is above no ratio of min_pages pages or more unless ratio < 1 / min_pages
-    least = max(1, int(ratio * min_pages))
+    least = max(LEAST, int(ratio * min_pages))
     frequent = counts.filter(F.col("_n") >= least)
     joined = frequent.alias("c").join(totals.alias("t"), F.col("c._host").eqNullSafe(F.col("t._host")))
     return joined.filter(F.col("_n") > F.lit(ratio) * F.col("_pages")).groupBy(F.col("c._host").alias("_host")).agg(F.collect_set("_h").alias("boiler"))
 
 
-def drop_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host: str = "source") -> DataFrame:
+def drop_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1, host: str = "source") -> DataFrame:
     """All rows and columns of pages, `text` without its host's boilerplate lines, and `n_lines`, `n_dropped` added.
 
-    A host with fewer than min_pages pages has no boilerplate: its ratios say little. Blank lines
-    always stay. A null text stays null with 0 lines; rows with a null host form one host. Columns
+    A line on a single page is never boilerplate; hosts of any size are cleaned unless min_pages says
+    otherwise. On a host of fewer than 2 / ratio pages, two copies of a page lose their lines. Blank lines always stay. A null text stays null with 0 lines; rows with a null host form one host. Columns
     named n_lines or n_dropped are replaced.
     """
     found = boilerplate(pages, ratio, min_pages, host)

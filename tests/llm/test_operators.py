@@ -227,6 +227,16 @@ def test_lines(spark, odd, empty):
     assert lines.drop_lines(odd).count() == len(ODD) and lines.drop_lines(empty).count() == 0
 
 
+def test_lines_of_small_hosts(spark):
+    sizes = {"one": 1, "two": 2, "ten": 10, "nineteen": 19, "twenty": 20}
+    rows = [(f"{h}{i}", "\n".join(["menu", f"own {h} {i}", *(["some"] if i < 2 else [])]), h) for h, n in sizes.items() for i in range(n)]
+    got = {r.doc_id: r.text.split("\n") for r in lines.drop_lines(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()}
+    for h, n in sizes.items():
+        on = Counter(x for d, t, s in rows if s == h for x in t.split("\n"))
+        assert all(got[d] == [x for x in t.split("\n") if on[x] < 2 or on[x] <= 0.1 * n] for d, t, s in rows if s == h)
+    assert got["nineteen0"] == ["own nineteen 0"] and got["twenty0"] == ["own twenty 0", "some"] and got["one0"][0] == "menu"
+
+
 def test_lines_salted_join_is_the_same(spark, monkeypatch):
     from quillgraph.llm import common
 
