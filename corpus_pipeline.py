@@ -28,10 +28,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; rows without a doc_id stay."""
+    """One document of each near-duplicate group, the one with the smallest doc_id; rows without a doc_id stay.
+
+    Rows that share a doc_id are one document to groups() and stay or go together; of those equal in text one stays.
+    """
     docs = docs.select(*COLUMNS)
     gone = near_dedup.groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    first = F.min(F.struct("lang", "source", "n_chars")).alias("r")  # a fixed choice among rows equal in text
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").groupBy("doc_id", "text").agg(first).select("doc_id", "text", "r.*")
     return kept.select(*COLUMNS).union(docs.filter(F.col("doc_id").isNull()))
 
 

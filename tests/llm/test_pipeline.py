@@ -45,6 +45,12 @@ def test_stages(spark):
     assert all(r.round_trip and r.token_ids == enc.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.token_ids) for r in last) and len(last) == len(texts)
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "one two three four five six", "en", "s", 27), (1, "one two three four five six", "en", "r", 27), (1, "seven eight nine ten eleven twelve", "en", "s", 34), (2, "a b c d e f g", "en", "s", 13)]
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), SMALL)
+    assert got.columns == P.COLUMNS and sorted(map(tuple, got.collect())) == sorted(rows[1:])
+
+
 def test_run_and_odd_tables(spark):
     odd = spark.createDataFrame([(1, "a b c d e f g h i j k l", "en", "s", 1), (1, "a b c d e f g h i j k l", "en", "s", 1), (None, "p q r s t u v w x y z aa", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit(1))
     for docs in (odd, odd.filter("false")):
