@@ -140,6 +140,12 @@ def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in the smallest unsigned type that holds them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
 def unpack(blob: bytes) -> list[np.ndarray]:
     z, out, at = zstandard.ZstdDecompressor(), [], 0
     view = memoryview(blob)

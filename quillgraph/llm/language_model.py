@@ -1,487 +1,568 @@
 """An n-gram language model in an Elias-Fano trie, and scores of texts by it.
 
-Training counts trigrams in packed blobs (two passes over the training texts) and writes the model
-to the shared folder, one file for each shard and level; scoring maps the files and searches them.
-
-* Level 1: words as sorted 64-bit hashes, with exact counts and numbers of successors.
-* Level 2: bigrams; a bigram lives in the shard of its hash, so frequent words burden no shard.
-* Level 3: trigrams, in the shard of their first two words. A trigram's last word is stored relative
-  to its context: by its place among the successors of the middle word.
-
-Probabilities are interpolated with absolute discounting, p(w|h) = (c(hw) - D) / c(h) + b(h) p(w|h'),
-with D = n1 / (n1 + 2 n2) of each level, and kept as one byte of log10 for each n-gram. Trigrams seen
-fewer than `least` times can be pruned (op1_lm prunes none); their mass goes to the shorter context.
-The model grows with the training texts; nothing but sums and file sizes reaches the driver.
+* Level 1: words as sorted 64-bit hashes with exact counts; a word's id is its place among all.
+* Level 2: bigrams, in the part of their hash; each also has the back-off that it gives as a context.
+* Level 3: trigrams, in the part of their context, whose place in level 2 is the parent. A last word is
+  stored relative to its context, by its number among the successors of the middle word. Contexts seen
+  more often than a part should hold are dealt over all parts.
+
+Each level is monotone pointers and successor-searched children in flat arrays, with one byte of
+log10 p for each n-gram, scaled to the part's own smallest and largest value, so nothing is clipped.
+Probabilities are smoothed by Dirichlet priors: p1(w) = (c(w) + 1) / (N + V + 1),
+p2(w|v) = (c(vw) + MU2 p1(w)) / (c(v) + MU2), p3(w|uv) = (c(uvw) + MU3 p2(w|v)) / (c(uv) + MU3).
+
+Texts never meet the model. They are cut into slices, kept in the shared folder as numbers of their
+own words. A slice asks the parts for its distinct words, then for its distinct bigrams, then for its
+distinct trigrams, in one packed message for each part; a part opens (memory-maps) its own files only.
+Training is the same exchange, in which questions carry counts and a part writes its level before it
+answers. The number of parts follows the tokens, so a part's share is bounded at any size of corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import BLOBS, batches, fresh_dir, joined, map_blobs, mapped, pack, parts_of, put_file, reduce_blobs, slices, table, text_bytes, unpack, get_file, written
+from quillgraph.llm.common import fresh_dir, mapped, narrow, open_fs, pack, put_file, slices, table, text_bytes, unpack, written
 from quillgraph.llm.elias_fano import EliasFano, Level, dump, load
 from quillgraph.llm.scan import mix, words
 
 U = np.uint64
 #: The end of a text: no word has this hash but by a 64-bit accident.
 END = mix(np.array([0x5E0F_7E47], U))[0]
-#: Steps of a stored byte, in log10.
-STEP, BACK_STEP = 0.04, 0.02
-#: Tokens that are looked at in one go.
-TOKENS = 1 << 19
+#: Strength of the priors, in tokens.
+MU2, MU3 = 1000.0, 1.0
+#: Bytes of text in a slice (a longer text is one slice), and n-grams of slices that a part is meant to get.
+SLICE, SHARE = 6 << 20, 2 << 20
+#: Steps in one unit of log10 in answers.
+FINE = 2048.0
+_PLACE = 40  # bits of a place in level 2, in the parents of spread contexts
+
+ASK = "part int, chunk int, slice string, blob binary"
 
 
 @dataclass(frozen=True)
 class Model:
-    """What a task needs to open the model."""
+    """What a task needs to open the model. files: size of each file, by name; a file that is not there is an error."""
 
     folder: str
     parts: int
-    offsets: tuple[int, ...]  # id of the first word of each part, and the number of words
-    total: int  # training tokens
-    discounts: tuple[float, float, float]
+    offsets: tuple[int, ...] = ()  # id of the first word of each part, and the number of words
+    total: int = 0  # training tokens
+    share: int = SHARE
+    files: dict[str, int] = field(default_factory=dict)
 
     @property
     def size(self) -> int:
         return self.offsets[-1]
 
+    @property
+    def hot(self) -> int:
+        """Occurrences of a context from which its trigrams are dealt over all parts."""
+        return self.share // 4
 
-def part_of_hash(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> U(32)) * U(parts)) >> U(32)
+    def open(self, name: str) -> list[np.ndarray] | None:
+        """The arrays of a file, mapped; None if training wrote none."""
+        if name not in self.files:
+            return None
+        data = mapped(f"{self.folder}/{name}")
+        if len(data) != self.files[name]:
+            raise RuntimeError(f"{name} of the model has {len(data)} bytes, not {self.files[name]}")
+        return load(data)
 
 
-def low_edges(parts: int) -> np.ndarray:
-    """The smallest hash of each part."""
-    return np.array([((p << 32) + parts - 1) // parts << 32 for p in range(parts)], U)
+def part_of_hash(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
 
 
-def shard_of(u: np.ndarray, v: np.ndarray, parts: int) -> np.ndarray:
-    return part_of_hash(mix((u.astype(U) << U(32)) | v.astype(U)), parts).astype(np.int64)
+def low_edge(part: int, parts: int) -> int:
+    """The smallest hash of a part."""
+    return ((part << 32) + parts - 1) // parts << 32
 
 
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, each text followed by END, and the tokens of each text."""
     h, n = words(texts)
-    out = np.insert(h, np.cumsum(n), END) if len(texts) else h
-    return out, n + 1
+    return np.insert(h, np.cumsum(n), END), n + 1
 
 
-def token_batches(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    """(batch, first row, row after the last, hashes, tokens by text), a bounded number of bytes at a time."""
-    for batch in it:
-        texts = text_bytes(batch.column(column))
-        for a, b in slices(len(texts), lambda i: len(texts[i]), TOKENS * 6):
-            yield (batch, a, b, *sequences(texts[a:b]))
+def coded(log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One byte for each value and (smallest value, step)."""
+    low, high = (float(log.min()), float(log.max())) if len(log) else (0.0, 0.0)
+    step = (high - low) / 255 or 1.0
+    return np.rint((log - low) / step).astype(np.uint8), np.array([low, step])
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, with their counts added up."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
+def decoded(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return book[0] + codes * book[1]
 
 
-def discount(n1: int, n2: int) -> float:
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+# ---------------------------------------------------------------- slices
 
 
-# ---------------------------------------------------------------- level 1
+def cut(docs: DataFrame, folder: str) -> DataFrame:
+    """(slice, tokens, blob) of docs (..., text, _train): texts as numbers of the slice's own words go to a file of the task.
 
+    A slice is named by its file, place and sizes there; the blob has the slice's distinct words and
+    their training counts. The result is to be written before use, so that only slices of tasks that
+    ended count.
+    """
+    text, train = docs.columns.index("text"), docs.columns.index("_train")
+    kept = [(i, c) for i, c in enumerate(docs.columns) if i not in (text, train)]
 
-def count_words(train: DataFrame, folder: str, parts: int) -> list[tuple[int, int, int, int, int]]:
-    """Writes level 1; (part, words, tokens, words seen once, words seen twice) of each part that has words."""
-
-    def make(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        keys, counts = np.empty(0, U), np.empty(0, np.int64)
-        for *_, h, _n in token_batches(it, 0):
-            own, n = np.unique(h, return_counts=True)
-            keys, counts = summed(np.concatenate([keys, own]), np.concatenate([counts, n]))
-            if len(keys) > 1 << 20:
-                yield dealt(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-        yield dealt(keys, counts)
-
-    def dealt(keys: np.ndarray, counts: np.ndarray) -> list[tuple[int, bytes]]:
-        cut = np.searchsorted(part_of_hash(keys, parts), np.arange(parts + 1))
-        return [(p, pack(keys[cut[p] : cut[p + 1]], counts[cut[p] : cut[p + 1]])) for p in range(parts) if cut[p] < cut[p + 1]]
-
-    def merge(part: int, blobs: list[bytes]) -> pa.Table:
-        keys, counts = summed(*joined(blobs))
-        put_file(f"{folder}/words-{part}", dump(*EliasFano.of(keys - low_edges(parts)[part]).arrays, counts))
-        return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "n1": [int((counts == 1).sum())], "n2": [int((counts == 2).sum())]})
-
-    done = reduce_blobs(map_blobs(train, make), merge, "part int, n long, total long, n1 long, n2 long")
-    return [tuple(r) for r in done.collect()]
-
-
-class Words:
-    """Level 1, mapped: ids of words, their counts, and how many distinct words follow them."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.opened, self.edges = model, {}, low_edges(model.parts)
-
-    def _open(self, part: int):
-        if part not in self.opened:
-            if self.model.offsets[part] == self.model.offsets[part + 1]:
-                self.opened[part] = (None, np.empty(0, np.int64))
-            else:
-                arrays = load(mapped(f"{self.model.folder}/words-{part}"))
-                self.opened[part] = (EliasFano(*arrays[:4]), arrays[4])
-        return self.opened[part]
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words; -1 for those that training has not seen."""
-        own, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(own), -1, np.int64)
-        cut = np.searchsorted(part_of_hash(own, self.model.parts), np.arange(self.model.parts + 1))
-        for p in range(self.model.parts):
-            if cut[p] < cut[p + 1]:
-                seq, _ = self._open(p)
-                if seq is not None:
-                    at = seq.find(own[cut[p] : cut[p + 1]] - self.edges[p])
-                    out[cut[p] : cut[p + 1]] = np.where(at >= 0, at + self.model.offsets[p], -1)
-        return out[back]
-
-    def _gather(self, ids: np.ndarray, of, kind) -> np.ndarray:
-        out = np.zeros(len(ids), kind)
-        order = np.argsort(ids)
-        cut = np.searchsorted(ids[order], self.model.offsets)
-        for p in range(self.model.parts):
-            if cut[p] < cut[p + 1]:
-                at = order[cut[p] : cut[p + 1]]
-                out[at] = of(p)[ids[at] - self.model.offsets[p]]
-        return out
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_fs(folder)
+        store.create_dir(top, recursive=True)
+        name, at = f"slices-{uuid.uuid4().hex}", 0
+        with store.open_output_stream(f"{top}/{name}", compression=None) as out:
+            for batch in it:
+                texts = text_bytes(batch.column(text))
+                flags = np.array(batch.column(train).to_pylist(), bool)
+                rows = []
+                for a, b in slices(len(texts), lambda i: len(texts[i]), SLICE):  # noqa: B023
+                    h, n = sequences(texts[a:b])
+                    vocabulary, local = np.unique(h, return_inverse=True)
+                    counts = np.bincount(local, weights=np.repeat(flags[a:b], n)).astype(np.int64)
+                    own = pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i, _ in kept], names=[c for _, c in kept])
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(own)
+                    parts = [pack(*map(narrow, (local, n, flags[a:b]))), sink.getvalue().to_pybytes()]
+                    out.write(b"".join(parts))
+                    rows.append((f"{name}:{at}:{len(parts[0])}:{len(parts[1])}", len(h), pack(vocabulary, narrow(counts))))
+                    at += sum(map(len, parts))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["slice", "tokens", "blob"])
+
+    return docs.mapInArrow(run, "slice string, tokens long, blob binary")
+
+
+class Slice:
+    """A slice's texts, and the numbers of its distinct bigrams and trigrams; the same whenever it is opened."""
+
+    def __init__(self, folder: str, name: str, with_rows: bool = False) -> None:
+        file, at, size, more = name.split(":")
+        store, top = open_fs(folder)
+        with store.open_input_file(f"{top}/{file}") as f:
+            f.seek(int(at))
+            raw = f.read(int(size) + (int(more) if with_rows else 0))
+        local, self.n, flags = (x.astype(np.int64) for x in unpack(raw[: int(size)]))
+        self.rows = pa.ipc.open_stream(raw[int(size) :]).read_all() if with_rows else None
+        self.local, self.text = local, np.repeat(np.arange(len(self.n)), self.n)
+        self.train = flags[self.text]
+        self.first = np.cumsum(self.n) - self.n
+        self.words = int(local.max()) + 1
+
+    def pairs(self) -> None:
+        """first_of, second_of: local words of the distinct bigrams, in order; pair: each token's bigram with the next one, -1 at a text's end."""
+        ahead = np.flatnonzero(self.text[1:] == self.text[:-1])
+        key, number = np.unique(self.local[ahead] * self.words + self.local[ahead + 1], return_inverse=True)
+        self.first_of, self.second_of = key // self.words, key % self.words
+        self.pair = np.full(len(self.local), -1)
+        self.pair[ahead] = number
+        self.pair_counts = np.bincount(number, weights=self.train[ahead], minlength=len(key)).astype(np.int64)
+
+    def triples(self) -> None:
+        """context, suffix: bigrams of the distinct trigrams; triple: the trigram that ends at each token of `thirds`."""
+        at = np.flatnonzero((self.pair[:-1] >= 0) & (self.pair[1:] >= 0))
+        many = max(1, len(self.first_of))
+        key, self.triple = np.unique(self.pair[at] * many + self.pair[at + 1], return_inverse=True)
+        self.context, self.suffix, self.thirds = key // many, key % many, at + 2
+        self.triple_counts = np.bincount(self.triple, weights=self.train[at], minlength=len(key)).astype(np.int64)
+
+
+# ---------------------------------------------------------------- messages
+
+
+Rows = list[tuple[int, int, str, bytes]]
+
+
+def message(rows: Rows) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary())
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "chunk", "slice", "blob"])
+
+
+def dealt(part: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """(order by part, (part, packed arrays) of each part that occurs)."""
+    order = np.argsort(part.astype(np.uint16) if not len(part) or part.max() < 65536 else part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    ends = [*first[1:].tolist(), len(part)][: len(own)]
+    arrays = [narrow(a) for a in arrays]
+    return order, [(p, pack(*(a[order[x:y]] for a in arrays))) for p, x, y in zip(own.tolist(), first.tolist(), ends, strict=True)]
+
+
+def at_parts(asks: DataFrame, work: Callable[[int, list[str], list[list[np.ndarray]]], Rows]) -> DataFrame:
+    """work(part, slices, their arrays) for every part; what slices keep for themselves (part below 0) goes through."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        part, chunk = key[0].as_py(), key[1].as_py()
+        if part < 0:
+            return group.select(["part", "chunk", "slice", "blob"])
+        return message([(p, chunk, s, b) for p, _, s, b in work(part, group.column("slice").to_pylist(), [unpack(b) for b in group.column("blob").to_pylist()])])
+
+    return asks.groupBy("part", "chunk").applyInArrow(run, ASK)
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of words; 0 for id -1."""
-        return self._gather(ids, lambda p: self._open(p)[1], np.int64)
-
-    def degrees(self, ids: np.ndarray) -> np.ndarray:
-        """Distinct successors of words; 0 for id -1."""
-
-        def of(p: int) -> np.ndarray:
-            if ("d", p) not in self.opened:
-                try:
-                    self.opened["d", p] = load(mapped(f"{self.model.folder}/degrees-{p}"))[0]
-                except FileNotFoundError:
-                    self.opened["d", p] = np.zeros(self.model.offsets[p + 1] - self.model.offsets[p], np.uint32)
-            return self.opened["d", p]
-
-        return self._gather(ids, of, np.int64)
-
-    def log_unigram(self, counts: np.ndarray) -> np.ndarray:
-        n, v, d = self.model.total, self.model.size, self.model.discounts[0]
-        if not n:
-            return np.zeros(len(counts))
-        return np.log10(np.maximum(counts - d, 0) / n + d * v / n / (v + 1))
-
-
-# ---------------------------------------------------------------- levels 2 and 3
-
-
-def count_ngrams(train: DataFrame, model: Model, least: int) -> DataFrame:
-    """Writes level 2 without probabilities, and the trigrams; blobs of (word, successors) by level-1 part, and of totals under part -1."""
-    parts, pad = model.parts, model.size
-    if pad >= (1 << 32) - 1:
-        raise ValueError("word ids need more than 32 bits")
-
-    def make(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        known = Words(model)
-        for *_, h, n in token_batches(it, 0):
-            s = np.insert(known.ids(h), np.cumsum(n), pad)
-            first = np.cumsum(n + 1) - (n + 1)
-            ok = np.ones(len(s), bool)
-            for j in (1, 2):
-                ok[(first + n + 1 - j)] = False
-            at = np.flatnonzero(ok)
-            u, v, w = s[at], s[at + 1], s[at + 2].astype(np.uint32)
-            shard = shard_of(u, v, parts)
-            order = np.argsort(shard.astype(np.uint16) if parts < 65536 else shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(parts + 1))
-            uv = (u.astype(U) << U(32)) | v.astype(U)
-            rows = []
-            for p in range(parts):
-                own = order[cut[p] : cut[p + 1]]
-                if len(own):
-                    a, b, c = distinct(uv[own], w[own], np.ones(len(own), np.int64))
-                    rows.append((p, pack((a >> U(32)).astype(np.uint32), (a & U(0xFFFFFFFF)).astype(np.uint32), b, c.astype(np.uint32))))
-            yield rows
-
-    def distinct(uv: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((w, uv))
-        uv, w = uv[order], w[order]
-        first = np.flatnonzero(np.concatenate([[True], (uv[1:] != uv[:-1]) | (w[1:] != w[:-1])]))
-        return uv[first], w[first], np.add.reduceat(c[order], first)
-
-    def merge(part: int, blobs: list[bytes]) -> pa.Table:
-        u, v, w, c = joined(blobs)
-        uv, w, c = distinct((u.astype(U) << U(32)) | v.astype(U), w, c.astype(np.int64))
-        first = np.flatnonzero(np.concatenate([[True], uv[1:] != uv[:-1]]))
-        pairs, c2 = uv[first], np.add.reduceat(c, first)
-        parent, child = (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
-        put_file(f"{model.folder}/pairs-{part}", dump(*Level.of(parent, child)))
-        real = w != pad
-        kept = real & (c >= least)
-        index = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(uv)]])))
-        put_file(f"{model.folder}/counted-{part}", pack(c2, index[kept], w[kept], c[kept]))
-        word, degree = np.unique(parent, return_counts=True)
-        cut = np.searchsorted(word, model.offsets)
-        rows = [(p, pack(word[cut[p] : cut[p + 1]] - model.offsets[p], degree[cut[p] : cut[p + 1]])) for p in range(parts) if cut[p] < cut[p + 1]]
-        stats = np.array([(c2 == 1).sum(), (c2 == 2).sum(), (c[real] == 1).sum(), (c[real] == 2).sum(), len(c2), kept.sum()], np.int64)
-        return pa.Table.from_batches([batches([*rows, (-1, pack(stats))])])
-
-    return reduce_blobs(map_blobs(train, make), merge, BLOBS)
-
-
-def write_degrees(blobs: DataFrame, model: Model) -> None:
-    """Adds up successors by word."""
-
-    def merge(part: int, own: list[bytes]) -> pa.Table:
-        at, n = joined(own)
-        out = np.zeros(model.offsets[part + 1] - model.offsets[part], np.int64)
-        np.add.at(out, at, n)
-        put_file(f"{model.folder}/degrees-{part}", dump(out.astype(np.uint32)))
-        return pa.Table.from_batches([batches([(part, b"")])])
-
-    reduce_blobs(blobs, merge, BLOBS).count()
-
-
-def on_shards(spark: SparkSession, model: Model, work) -> None:
-    """Runs work(shard) for every shard that has bigrams, one task each."""
 
+def at_slices(answers: DataFrame, work: Callable[[str, list[np.ndarray], list[int], list[list[np.ndarray]]], pa.Table], schema: str = ASK) -> DataFrame:
+    """work(slice, what it kept, parts that answered, their arrays) for every slice; notes, which have no slice, go through."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        parts, blobs = group.column("part").to_pylist(), group.column("blob").to_pylist()
+        if not name:
+            return message([(-1, 0, "", b) for b in blobs])
+        rows = sorted((p, b) for p, b in zip(parts, blobs, strict=True))
+        kept = [unpack(b) for p, b in rows if p < 0]
+        return work(name, kept[0] if kept else [], [p for p, _ in rows if p >= 0], [unpack(b) for p, b in rows if p >= 0])
+
+    return answers.groupBy("slice").applyInArrow(run, schema)
+
+
+def column(answers: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:
+    return np.concatenate([a[i] for a in answers]).astype(kind) if answers else np.empty(0, kind)
+
+
+def keep(model: Model, name: str, *arrays: np.ndarray) -> tuple[int, int, str, bytes]:
+    """What a slice keeps until its next turn."""
+    return (-1 - zlib.crc32(name.encode()) % model.parts, 0, name, pack(*arrays))
+
+
+def split_back(part: int, names: list[str], sizes: list[int], *columns: np.ndarray) -> Rows:
+    """Columns over all questions of a part, back to the slices that asked."""
+    ends = np.cumsum(sizes)
+    return [(part, 0, s, pack(*(narrow(c[e - n : e]) for c in columns))) for s, n, e in zip(names, sizes, ends.tolist(), strict=True)]
+
+
+def note(name: str, size: int, n: int = 0, total: int = 0) -> bytes:
+    return pack(np.frombuffer(name.encode(), np.uint8), np.array([size, n, total], np.int64))
+
+
+def noted(blob: bytes) -> tuple[str, list[int]]:
+    name, numbers = unpack(blob)
+    return name.tobytes().decode(), numbers.tolist()
+
+
+def put(model: Model, name: str, *arrays: np.ndarray) -> tuple[Model, int]:
+    """Writes a file of the model; the model that knows it, and its size."""
+    data = dump(*arrays)
+    put_file(f"{model.folder}/{name}", data)
+    return replace(model, files={name: len(data)}), len(data)
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each distinct pair, in order of the pairs; the order; each place's number among the distinct pairs)."""
+    if not len(a):
+        return (np.empty(0, np.int64),) * 3
+    if a.max() < 1 << 31 and b.max() < 1 << 32:
+        order = np.argsort((a.astype(U) << U(32)) | b.astype(U), kind="stable")
+    else:
+        order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], order, number
+
+
+# ---------------------------------------------------------------- level 1
+
+
+def ask_words(listed: DataFrame, parts: int, chunks: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for p in batch.column(0).to_pylist():
-                work(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["part"])
-
-    spark.range(0, model.parts, 1, model.parts).mapInArrow(run, "part long").count()
-
-
-def quantised(log: np.ndarray, step: float = STEP) -> np.ndarray:
-    return np.clip(np.rint(-log / step), 0, 255).astype(np.uint8)
-
-
-class Trie:
-    """All levels, mapped."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.words, self.opened = model, Words(model), {}
-
-    def level(self, kind: str, shard: int):
-        """(level, further arrays) of a file, or None if the shard is empty."""
-        if (kind, shard) not in self.opened:
-            try:
-                arrays = load(mapped(f"{self.model.folder}/{kind}-{shard}"))
-                self.opened[kind, shard] = (Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :])
-            except FileNotFoundError:
-                self.opened[kind, shard] = None
-        return self.opened[kind, shard]
-
-    def probabilities(self, shard: int) -> np.ndarray:
-        key = ("q", shard)
-        if key not in self.opened:
-            self.opened[key] = load(mapped(f"{self.model.folder}/pair-logs-{shard}"))[0]
-        return self.opened[key]
-
-    def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, places in the array) of each shard that occurs."""
-        order = np.argsort(shard.astype(np.uint16) if self.model.parts < 65536 else shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.model.parts + 1))
-        for p in range(self.model.parts):
-            if cut[p] < cut[p + 1]:
-                yield p, order[cut[p] : cut[p + 1]]
-
-    def bigrams(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(shard, rank of v there, place, log10 p(w|v)) of bigrams of known words; place -1 if not seen."""
-        key = (v.astype(U) << U(32)) | w.astype(U)
-        own, back = np.unique(key, return_inverse=True)
-        a, b = (own >> U(32)).astype(np.int64), (own & U(0xFFFFFFFF)).astype(np.int64)
-        shard = shard_of(a, b, self.model.parts)
-        rank, place, log = np.full(len(own), -1, np.int64), np.full(len(own), -1, np.int64), np.zeros(len(own), np.float32)
-        for p, at in self._by_shard(shard):
-            if found := self.level("pairs", p):
-                rank[at] = found[0].parents.find(a[at])
-                place[at] = found[0].find(rank[at], b[at])
-                seen = at[place[at] >= 0]
-                log[seen] = self.probabilities(p)[place[seen]] * np.float32(-STEP)
-        return shard[back], rank[back], place[back], log[back]
-
-    def relative(self, shard: np.ndarray, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Number of a seen bigram's last word among the successors of its first, over all shards."""
-        out = np.empty(len(shard), np.int64)
-        for p, at in self._by_shard(shard):
-            out[at] = self.level("pairs", p)[0].relative(rank[at], place[at]) * self.model.parts + p
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, counts = unpack(blob)
+                _, rows = dealt(part_of_hash(h, parts), h, counts)
+                yield from message([(p, chunk_of(name, chunks), name, b) for p, b in rows]).to_batches()
+
+    return listed.select("slice", "blob").mapInArrow(run, ASK)
+
+
+def chunk_of(name: str, chunks: int) -> int:
+    return zlib.crc32(name.encode()) % chunks
+
+
+def answer_words(model: Model, training: bool):
+    """Writes the words of a part, and answers their places (0: unknown, else one more) and counts."""
+
+    def work(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
+        hashes, name, out, own = column(asked, 0, U) - U(low_edge(part, model.parts)), f"words-{part}", [], model
+        if training:
+            counts = column(asked, 1)
+            order = np.argsort(hashes, kind="stable")
+            order = order[counts[order] > 0]
+            h = hashes[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            if len(h):
+                total = np.add.reduceat(counts[order], first)
+                own, size = put(model, name, *EliasFano.of(h[first]).arrays, total)
+                out = [(-1, 0, "", note(name, size, len(first), int(total.sum())))]
+        place, seen = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        if arrays := own.open(name):
+            place = EliasFano(*arrays[:4]).find(hashes)
+            seen[place >= 0] = arrays[4][place[place >= 0]]
+        return out + split_back(part, names, [len(a[0]) for a in asked], place + 1, seen)
+
+    return work
+
+
+# ---------------------------------------------------------------- level 2
+
+
+def pair_parts(slice_: Slice, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the bigrams of known words, their parts, ids of the first, of the second word)."""
+    u, v = ids[slice_.first_of], ids[slice_.second_of]
+    known = np.flatnonzero((u >= 0) & (v >= 0))
+    u, v = u[known], v[known]
+    return known, part_of_hash(mix(mix(u.astype(U)) + v.astype(U)), parts), u, v
+
+
+def ask_pairs(model: Model, folder: str, chunks: int):
+    def work(name: str, _: list, parts: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        own = Slice(folder, name)
+        own.pairs()
+        # parts are ranges of hashes in order, so the answers stand as the slice's words do
+        place, counts = column(answers, 0), column(answers, 1)
+        ids = np.where(place > 0, place - 1 + np.repeat(np.array(model.offsets)[parts], [len(a[0]) for a in answers]), -1)
+        known, part, u, v = pair_parts(own, ids, model.parts)
+        _, rows = dealt(part, u, v, own.pair_counts[known], counts[own.first_of[known]], counts[own.second_of[known]])
+        chunk = chunk_of(name, chunks)
+        return message([(p, chunk, name, b) for p, b in rows] + [keep(model, name, narrow(ids + 1), narrow(counts))])
+
+    return work
+
+
+def answer_pairs(model: Model, training: bool):
+    """Writes the bigrams of a part; answers their places (0: unknown), relative numbers, bytes of log10 p and of the back-off, and counts of spread contexts."""
+
+    def work(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
+        u, v, c, cu, cv = (column(asked, i) for i in range(5))
+        first, order, number = distinct(u, v)
+        name, out, own = f"pairs-{part}", [], model
+        if training:
+            n = np.bincount(number, weights=c, minlength=len(first)).astype(np.int64)
+            seen = n > 0
+            f, n = first[seen], n[seen]
+            if len(f):
+                p1 = (cv[f] + 1) / (model.total + model.size + 1)
+                logs, book = coded(np.log10((n + MU2 * p1) / (cu[f] + MU2)))
+                backs, back_book = coded(np.log10(MU3 / (n + MU3)))
+                hot = np.flatnonzero(n > model.hot)
+                own, size = put(model, name, *Level.of(u[f], v[f]), logs, book, backs, back_book, hot, n[hot])
+                out = [(-1, 0, "", note(name, size))]
+        arrays = own.open(name)
+        if arrays is None:
+            place = relative = logs = backs = np.zeros(len(u), np.int64)
+            books, hot_at, hot_n = np.zeros(4), np.empty(0, np.int64), np.empty(0, np.int64)
+        else:
+            level, (log2, book, back, back_book, hot, hot_count) = Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :]
+            rank = level.parents.find(u[first])
+            at = level.find(rank, v[first])
+            has = at >= 0
+            rel, lg, bk = (np.zeros(len(first), np.int64) for _ in range(3))
+            rel[has] = level.relative(rank[has], at[has])
+            lg[has], bk[has] = log2[at[has]], back[at[has]]
+            place, relative, logs, backs = (x[number] for x in (at + 1, rel, lg, bk))
+            books = np.concatenate([book, back_book])
+            spot = np.searchsorted(hot, at[number])
+            hot_at = np.flatnonzero((place > 0) & (np.append(hot, -1)[spot] == at[number]))
+            hot_n = hot_count[spot[hot_at]]
+        ends = np.cumsum([len(a[0]) for a in asked])
+        for s, e, a in zip(names, ends.tolist(), asked, strict=True):
+            b = e - len(a[0])
+            x, y = np.searchsorted(hot_at, (b, e))
+            out.append((part, 0, s, pack(*(narrow(z[b:e]) for z in (place, relative, logs, backs)), books, narrow(hot_at[x:y] - b), narrow(hot_n[x:y]))))
         return out
 
-    def contexts(self, shard: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, log10 of the back-off) of pairs, by shard and place, as contexts of trigrams; rank -1 for none."""
-        rank, back = np.full(len(shard), -1, np.int64), np.zeros(len(shard), np.float32)
-        for p, at in self._by_shard(shard):
-            if found := self.level("triples", p):
-                rank[at] = found[0].parents.find(pair[at])
-                has = at[rank[at] >= 0]
-                back[has] = found[1][1][rank[has]] * np.float32(-BACK_STEP)
-        return rank, back
-
-    def trigrams(self, shard: np.ndarray, rank: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(seen, log10 p) of trigrams by the rank of their context and the relative number of their last word."""
-        seen, log = np.zeros(len(shard), bool), np.zeros(len(shard), np.float32)
-        for p, at in self._by_shard(shard):
-            level, (logs, _) = self.level("triples", p)
-            place = level.find(rank[at], child[at])
-            hit = at[place >= 0]
-            seen[hit] = True
-            log[hit] = logs[place[place >= 0]] * np.float32(-STEP)
-        return seen, log
-
-    def log_back_off(self, v: np.ndarray) -> np.ndarray:
-        """log10 of the mass that words after v leave to unigrams; 0 for a word without successors."""
-        n, t = self.words.counts(v), self.words.degrees(v)
-        return np.where(t > 0, np.log10(np.maximum(self.model.discounts[1] * t, 1e-30) / np.maximum(n, 1)), 0.0)
-
-
-def write_bigram_logs(spark: SparkSession, model: Model) -> None:
-    d = model.discounts[1]
-
-    def work(shard: int) -> None:
-        trie = Trie(model)
-        if not (found := trie.level("pairs", shard)):
-            return
-        level = found[0]
-        parent, child = level.unrolled()
-        c2 = unpack(get_file(f"{model.folder}/counted-{shard}"))[0]
-        words = trie.words
-        n = words.counts(parent)
-        p = (c2 - d) / n + d * words.degrees(parent) / n * 10.0 ** words.log_unigram(words.counts(child))
-        put_file(f"{model.folder}/pair-logs-{shard}", dump(quantised(np.log10(p))))
-
-    on_shards(spark, model, work)
-
-
-def write_trigrams(spark: SparkSession, model: Model) -> None:
-    d = model.discounts[2]
-
-    def work(shard: int) -> None:
-        data = get_file(f"{model.folder}/counted-{shard}")
-        if data is None:
-            return
-        c2, index, w, c = unpack(data)
-        trie = Trie(model)
-        _, middle = trie.level("pairs", shard)[0].unrolled()
-        other, rank, place, log = trie.bigrams(middle[index], w.astype(np.int64))
-        if len(place) and place.min() < 0:
-            raise RuntimeError("a trigram's end is no bigram")
-        own, first = np.unique(index, return_index=True)
-        share = np.add.reduceat(c - d, first) / c2[own] if len(own) else np.empty(0)
-        back = np.maximum(1 - share, 1e-5)
-        p = (c - d) / c2[index] + np.repeat(back, np.diff(np.concatenate([first, [len(index)]]))) * 10.0 ** log.astype(np.float64)
-        child = trie.relative(other, rank, place)
-        order = np.lexsort((child, index))
-        put_file(f"{model.folder}/triples-{shard}", dump(*Level.of(index[order], child[order]), quantised(np.log10(np.minimum(p, 1.0)))[order], quantised(np.log10(back), BACK_STEP)))
-
-    on_shards(spark, model, work)
-
-
-def train_model(texts: DataFrame, least: int = 2) -> Model:
+    return work
+
+
+# ---------------------------------------------------------------- level 3
+
+
+def triple_parts(model: Model, place: np.ndarray, part: np.ndarray, child: np.ndarray, context: np.ndarray, times: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, parent, count of the context if it is hot, else 0) of trigrams: in their context's part, or dealt over further parts if that is hot."""
+    where, parent, spread = part[context], place[context], np.zeros(len(context), np.int64)
+    if times:
+        keys = np.array(sorted(times))
+        spot = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
+        hot = keys[spot] == context
+        spread[hot] = np.array([times[k] for k in keys.tolist()])[spot[hot]]
+        parent[hot] |= where[hot] << _PLACE
+        where[hot] = model.parts + part_of_hash(mix(mix(parent[hot].astype(U)) + child[hot].astype(U)), model.parts)
+    return where, parent, spread
+
+
+def read_pairs(model: Model, own: Slice, ids: np.ndarray, answers: list[list[np.ndarray]]):
+    """(place, part, child number, log10 p, log10 back-off) of each of the slice's bigrams, place -1 for those not seen, and counts of hot ones."""
+    known, where, _, _ = pair_parts(own, ids, model.parts)
+    order, part = np.argsort(where, kind="stable"), np.zeros(len(own.first_of), np.int64)
+    part[known] = where
+    at = known[order]
+    place, child = np.full(len(part), -1), np.zeros(len(part), np.int64)
+    log, back = np.zeros(len(part)), np.zeros(len(part))
+    place[at] = column(answers, 0) - 1
+    child[at] = column(answers, 1) * model.parts + part[at]
+    if answers:
+        log[at] = np.concatenate([decoded(a[2], a[4][:2]) for a in answers])
+        back[at] = np.concatenate([decoded(a[3], a[4][2:]) for a in answers])
+    times, b = {}, 0
+    for a in answers:
+        times |= dict(zip(at[b + a[5].astype(np.int64)].tolist(), a[6].tolist(), strict=True))
+        b += len(a[0])
+    return place, part, child, log, np.where(place >= 0, back, 0.0), times
+
+
+def ask_triples(model: Model, folder: str, chunks: int):
+    def work(name: str, kept: list[np.ndarray], _: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        own = Slice(folder, name)
+        own.pairs()
+        own.triples()
+        ids, counts = kept[0].astype(np.int64) - 1, kept[1].astype(np.int64)
+        place, part, child, log, back, times = read_pairs(model, own, ids, answers)
+        one = np.log10((counts + 1) / (model.total + model.size + 1))
+        two = np.where(place >= 0, log, np.log10(MU2 / (counts[own.first_of] + MU2)) + one[own.second_of])
+        fall = back[own.context] + two[own.suffix]
+        asked = (place[own.context] >= 0) & (place[own.suffix] >= 0)
+        # sums by text of what is known here
+        each = np.zeros(len(own.local))
+        each[own.first] = one[own.local[own.first]]
+        second = own.first[own.n > 1]
+        each[second + 1] = two[own.pair[second]]
+        each[own.thirds] = np.where(asked, 0.0, fall)[own.triple]
+        texts = len(own.n)
+        sums = [np.bincount(own.text, weights=x, minlength=texts) for x in (each, one[own.local], counts[own.local] > 0)]
+        x, y = own.context[asked], own.suffix[asked]
+        where, parent, spread = triple_parts(model, place, part, child[y], x, times)
+        _, rows = dealt(where, parent, child[y], np.rint(fall[asked] * -FINE).astype(np.int64), own.triple_counts[asked], spread)
+        hot = np.flatnonzero(spread)
+        chunk = chunk_of(name, chunks)
+        kept_on = keep(model, name, sums[0], sums[1], narrow(sums[2].astype(np.int64)), np.packbits(asked), kept[0], narrow(hot), narrow(where[hot]))
+        return message([(p, chunk, name, b) for p, b in rows] + [kept_on])
+
+    return work
+
+
+def answer_triples(model: Model, training: bool, answers: bool):
+    """Writes the trigrams of a part, and answers log10 p of what is asked: of the trigram, or of the shorter context where it is not seen."""
+
+    def work(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
+        parent, child, fall, c, spread = (column(asked, i) for i in range(5))
+        first, _, number = distinct(parent, child)
+        name, out, own = f"triples-{part}", [], model
+        if training:
+            n = np.bincount(number, weights=c, minlength=len(first)).astype(np.int64)
+            seen = n > 0
+            f, n = first[seen], n[seen]
+            if len(f):
+                begin = np.flatnonzero(np.concatenate([[True], parent[f][1:] != parent[f][:-1]]))
+                whole = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(f))))
+                whole = np.where(spread[f] > 0, spread[f], whole)
+                p = n / (whole + MU3) + 10.0 ** (fall[f] / -FINE)
+                own, size = put(model, name, *Level.of(parent[f], child[f]), *coded(np.log10(np.minimum(p, 1.0))))
+                out = [(-1, 0, "", note(name, size))]
+        if not answers:
+            return out
+        value = fall.copy()
+        if arrays := own.open(name):
+            level, (codes, book) = Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :]
+            at = level.find(level.parents.find(parent[first]), child[first])
+            log = np.where(at >= 0, np.rint(decoded(codes[np.maximum(at, 0)], book) * -FINE).astype(np.int64), -1)[number]
+            value = np.where(log >= 0, log, fall)
+        return out + split_back(part, names, [len(a[0]) for a in asked], value)
+
+    return work
+
+
+# ---------------------------------------------------------------- training and scores
+
+
+def answered(model: Model, folder: str, kept_names: list[str]):
+    """The rows of a slice with their scores, from the answers about its trigrams."""
+
+    def work(name: str, kept: list[np.ndarray], _: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        own = Slice(folder, name, with_rows=True)
+        own.pairs()
+        own.triples()
+        sums, base, known, bits, ids, hot, hot_part = kept
+        asked = np.unpackbits(bits, count=len(own.context)).astype(bool)
+        pairs, where, _, _ = pair_parts(own, ids.astype(np.int64) - 1, model.parts)
+        part = np.zeros(len(own.first_of), np.int64)
+        part[pairs] = where
+        part = part[own.context[asked]]
+        part[hot] = hot_part
+        value, log = np.empty(len(part)), np.zeros(len(asked))
+        value[np.argsort(part, kind="stable")] = column(answers, 0)
+        log[asked] = value / -FINE
+        score = sums + np.bincount(own.text[own.thirds], weights=log[own.triple], minlength=len(own.n))
+        made = [pa.array(own.n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+        return pa.table([*own.rows.columns, *made], names=[*kept_names, "n_tokens", "n_known", "base_score", "score"])
+
+    return work
+
+
+def exchange(docs: DataFrame, model: Model | None, answers: bool, share: int = SHARE) -> tuple[Model, DataFrame | None]:
+    """Trains on the rows of docs (..., text, _train) that _train marks, unless there is a model; then scores all rows if asked to."""
+    spark, training = docs.sparkSession, model is None
+    folder = fresh_dir(spark, "ngrams")
+    listed = written(cut(docs, folder), "ngram-slices")
+    tokens = listed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    model = model or Model(folder, max(16, -(-tokens // share)), share=share)
+    chunks = 1 if training else max(1, -(-tokens // (model.share * model.parts)))
+    found = written(at_parts(ask_words(listed, model.parts, chunks), answer_words(model, training)), "ngram-words")
+    if training:
+        notes = {name: numbers for name, numbers in (noted(bytes(r["blob"])) for r in found.filter("slice = ''").collect())}
+        sizes = [notes.get(f"words-{p}", [0, 0, 0])[1] for p in range(model.parts)]
+        model = replace(model, offsets=tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)])), total=sum(n[2] for n in notes.values()), files={k: n[0] for k, n in notes.items()})
+    pairs = at_parts(at_slices(found.filter("slice <> ''"), ask_pairs(model, folder, chunks)), answer_pairs(model, training))
+    triples = written(at_parts(at_slices(pairs, ask_triples(model, folder, chunks)), answer_triples(model, training, answers)), "ngram-scores")
+    if training:
+        # three numbers for each file of the model
+        model = replace(model, files=model.files | {name: numbers[0] for name, numbers in (noted(bytes(r["blob"])) for r in triples.filter("slice = ''").collect())})
+    if not answers:
+        return model, None
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "_train")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, n_known long, base_score double, score double"])
+    return model, at_slices(triples.filter("slice <> ''"), answered(model, folder, [f.name for f in kept]), schema)
+
+
+RESULT = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def train_model(texts: DataFrame, share: int = SHARE) -> Model:
     """A model of all rows of `text` (null: empty), in a new folder of the shared folder.
 
-    An empty table gives a model without words, for which every token is unknown. Trigrams seen fewer
-    than `least` times are pruned; 1 keeps all.
+    Every trigram counts; share: n-grams of the texts that a part is meant to get. An empty table gives a model without words, for which every token is unknown.
     """
-    spark = texts.sparkSession
-    parts, folder, train = parts_of(spark, 4), fresh_dir(spark, "ngrams"), texts.select("text")
-    sizes = {r[0]: r for r in count_words(train, folder, parts)}
-    n = [sizes[p][1] if p in sizes else 0 for p in range(parts)]
-    offsets = tuple(int(x) for x in np.concatenate([[0], np.cumsum(n)]))
-    first = discount(sum(r[3] for r in sizes.values()), sum(r[4] for r in sizes.values()))
-    model = Model(folder, parts, offsets, sum(r[2] for r in sizes.values()), (first, 0.5, 0.5))
-    if not model.size:
-        return model
-    blobs = written(count_ngrams(train, model, least), "ngram-degrees")
-    stats = [unpack(bytes(r["blob"]))[0] for r in blobs.filter("part < 0").collect()]  # six numbers a shard
-    total = np.sum(stats, axis=0) if stats else np.zeros(6, np.int64)
-    model = Model(folder, parts, offsets, model.total, (first, discount(int(total[0]), int(total[1])), discount(int(total[2]), int(total[3]))))
-    write_degrees(blobs.filter("part >= 0"), model)
-    write_bigram_logs(spark, model)
-    write_trigrams(spark, model)
-    return model
-
-
-# ---------------------------------------------------------------- scores
-
-
-def token_logs(trie: Trie, ids: np.ndarray, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 p of each token given up to two tokens before it in its text."""
-    log = trie.words.log_unigram(counts)
-    if not trie.model.size or len(ids) < 2:
-        return log
-    first = np.zeros(len(ids), np.int8)  # places in the text, up to 2
-    start = (np.cumsum(n) - n)[n > 0]
-    first[:] = 2
-    first[start] = 0
-    second = start + 1
-    first[second[(second < len(ids)) & (n[n > 0] > 1)]] = 1
-    two = np.flatnonzero(first >= 1)
-    v, w = ids[two - 1], ids[two]
-    shard, rank, place = np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
-    known = (v >= 0) & (w >= 0)
-    at = two[known]
-    shard[at], rank[at], place[at], found = trie.bigrams(v[known], w[known])
-    hit = place[at] >= 0
-    out = log.copy()
-    out[at[hit]] = found[hit]
-    rest = np.ones(len(two), bool)
-    rest[np.flatnonzero(known)[hit]] = False
-    out[two[rest]] += trie.log_back_off(v[rest])
-    three = np.flatnonzero((first >= 2) & (np.concatenate([[-1], place[:-1]]) >= 0))
-    context, back = trie.contexts(shard[three - 1], place[three - 1])
-    has = np.flatnonzero(context >= 0)
-    out[three[has]] += back[has]
-    whole = has[place[three[has]] >= 0]
-    t = three[whole]
-    seen, logs = trie.trigrams(shard[t - 1], context[whole], trie.relative(shard[t], rank[t], place[t]))
-    out[t[seen]] = logs[seen]
-    return out
-
-
-def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All columns of docs but the text, and n_tokens, n_known, base_score, score of every row.
+    return exchange(texts.select("text", F.lit(True).alias("_train")), None, False, share)[0]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of docs but `text`, and n_tokens, n_known, base_score, score of every row.
 
     A text is its words and one end; null counts as empty. base_score is the add-one unigram
-    estimate; both scores are sums of log10 over tokens. Columns with these names are replaced.
+    estimate; both scores are sums of log10 over tokens. Columns with these names are replaced. Every
+    token has a probability above zero, unknown words too. A file of the model that is missing or cut
+    short is an error.
     """
-    base = docs.drop("n_tokens", "n_known", "base_score", "score")
-    column = base.columns.index(text_column)
-    kept = [i for i in range(len(base.columns)) if i != column]
+    return exchange(docs.drop(*RESULT, "_train").withColumn("_train", F.lit(False)), model, True)[1]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(model)
-        floor = np.log10(float(model.total + model.size + 1))
-        for batch, a, b, h, n in token_batches(it, column):
-            ids = trie.words.ids(h) if model.size else np.full(len(h), -1, np.int64)
-            counts = trie.words.counts(ids) if model.size else np.zeros(len(h), np.int64)
-            text = np.repeat(np.arange(b - a), n)
-            add = lambda x: np.bincount(text, weights=x, minlength=b - a)
-            rows = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(i) for i in kept), pa.array(n, pa.int64()), pa.array(add(counts > 0).astype(np.int64)), pa.array(add(np.log10(counts + 1.0) - floor)), pa.array(add(token_logs(trie, ids, counts, n)))],
-                names=[*(rows.schema.names[i] for i in kept), "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != text_column]
-    return base.mapInArrow(run, ", ".join([*fields, "n_tokens long, n_known long, base_score double, score double"]))
+
+def train_and_score(docs: DataFrame, train) -> tuple[Model, DataFrame]:
+    """train_model() on the rows where the condition `train` holds (null: not), and score() of all rows, in one exchange."""
+    flag = F.coalesce(train, F.lit(False))
+    return exchange(docs.drop(*RESULT, "_train").withColumn("_train", flag), None, True)
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", held)
-    model = train_model(docs.filter(~F.col("held_out")), least=1)
-    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    model, scored = train_and_score(docs, ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
