@@ -24,7 +24,7 @@ ns as (select distinct n from it),
 g as (select rid, i, n, array_to_string(w[i : i + n - 1], ' ') as s from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from dw cross join ns where len(w) >= n)),
 m as (select rid, i, g.n, item_id from g join it on it.n = g.n and it.s = g.s),
 hit as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from m) group by 1),
-its as (select rid, count(*) as n_items, string_agg(k, ',' order by k) as ks from (select distinct rid, cast(item_id as varchar) as k from m) group by 1)
+its as (select rid, count(k) as n_items, string_agg(k, ',' order by k) as ks from (select distinct rid, cast(item_id as varchar) as k from m) group by 1)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ks, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from dw left join hit using (rid) left join its using (rid)"""
 
 WARC = """

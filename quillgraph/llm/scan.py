@@ -1,12 +1,17 @@
 """Words of many texts at once: 64-bit hashes of byte runs by prefix sums, without an object per word.
 
-A run's hash is a polynomial of its bytes modulo 2**64 taken from two prefix sums, then mixed. Two
-different words share a hash with a chance of about 2**-64; operators whose contract is exact on
-words either recheck on the bytes or state this bound.
+A run's hash is a polynomial of its bytes modulo 2**64 taken from two prefix sums, then mixed; a word
+of LONG bytes or more is hashed by BLAKE2b instead, since polynomials modulo a power of two agree on
+some regular strings of 512 bytes or more, whatever the base. Two different words then share a hash by
+accident only, with a chance of about 2**-64 a pair; it is no defence against someone who
+solves for a collision. Operators whose contract is exact on words either recheck on the bytes or
+state this bound.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from quillgraph.llm.common import CHUNK
@@ -16,6 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+#: Bytes from which a word is hashed by BLAKE2b.
+LONG = 256
 #: A-Z to a-z, all else as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -105,7 +112,10 @@ def words(texts: list[bytes], space: np.ndarray = SPACE, fold: np.ndarray = LOWE
         if len(start):
             offset = np.cumsum([0, *(len(p) + 1 for _, p in own)])
             np.add.at(counts, [i for i, _ in own], np.diff(np.searchsorted(start, offset)))
-            hashes.append(run_hash(prefix(b), start, end))
+            found = run_hash(prefix(b), start, end)
+            for i in np.flatnonzero(end - start >= LONG).tolist():
+                found[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]], digest_size=8).digest(), "little")
+            hashes.append(found)
     return (np.concatenate(hashes) if hashes else np.empty(0, U)), counts
 
 

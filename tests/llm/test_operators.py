@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, decontamination, language, language_model, lines, near_dedup, quality, queries, sharding, substrings, warc
+from quillgraph.llm import bpe, decontamination, language, language_model, lines, near_dedup, quality, queries, scan, sharding, substrings, warc
 from quillgraph.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -167,13 +167,13 @@ def test_language_model(spark, share):
     model = language_model.train_model(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), share)
     c1, n, v, p1, p2, p3 = brute_model([t or "" for t in train])
     assert (model.total, model.size) == (n, v)
-    assert any(f.split("-")[1] >= str(model.parts) for f in model.files if f.startswith("triples") and len(f.split("-")[1]) >= len(str(model.parts))) == (share == 60)
+    assert any(int(f.split("-")[1]) >= model.parts for f in model.files) == (share == 60)
     got = {r.i: r for r in language_model.score(spark.createDataFrame(list(enumerate(tests)), "i int, text string").repartition(4), model).collect()}
     for i, t in enumerate(tests):
         w = t.encode().lower().split() + [None]
         assert got[i].n_tokens == len(w) and got[i].n_known == sum(c1[x,] > 0 for x in w)
         assert got[i].base_score == pytest.approx(sum(math.log10((c1[x,] + 1) / (n + v + 1)) for x in w))
-        assert abs(got[i].score - model_score(t, p1, p2, p3)) <= 0.03 * len(w)
+        assert abs(got[i].score - model_score(t, p1, p2, p3)) <= 0.05 * len(w)
     # probabilities of all words after a context add up to one
     for a, b in (("w1", "w2"), ("w3", "w0")):
         assert sum(p3(a.encode(), b.encode(), x[0]) for x in c1) + p3(a.encode(), b.encode(), b"never") == pytest.approx(1)
@@ -212,7 +212,7 @@ def test_op1_against_counts(spark, tmp_path):
     want = sorted((str(i), held(i), len((t or "").split()) + 1, round(sum(math.log10((c1[x,] + 1) / (n + v + 1)) for x in [*(t or "").encode().split(), None]), 6)) for i, t in docs)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.base_score, 6)) for r in got) == want and {r.train_tokens for r in got} == {n}
     texts = dict(docs[:60])
-    assert all(abs(r.score - model_score(texts[r.doc_id], p1, p2, p3)) <= 0.03 * r.n_tokens for r in got if r.doc_id in texts and r.doc_id != 7)
+    assert all(abs(r.score - model_score(texts[r.doc_id], p1, p2, p3)) <= 0.05 * r.n_tokens for r in got if r.doc_id in texts and r.doc_id != 7)
 
 
 def test_language_model_odd(odd, empty):
@@ -268,25 +268,69 @@ def brute_hits(text, items, n=10):
                 if w[j : j + len(s)] == s:
                     hit.update(range(j, j + len(s)))
                     found.add(str(key))
+    found.discard("None")
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 60])
-def test_decontamination(spark, odd, empty, block):
+def test_decontamination(spark, odd, empty):
     rng = random.Random(4)
-    items = [(i, " ".join(f"k{rng.randint(0, 4)}" for _ in range(rng.randint(0, 14)))) for i in range(12)] + [(50, "Quite, a-SHORT é"), (51, None), (52, "!!")]
-    docs = [(i, " ".join(f"K{rng.randint(0, 4)}," for _ in range(200))) for i in range(5)] + [(7, "x " + (items[0][1] or "") + " y quite a short É quite-a.short.é"), (8, None), (9, "")]
+    items = [(i, " ".join(f"k{rng.randint(0, 4)}" for _ in range(rng.randint(0, 14)))) for i in range(12)] + [(50, "Quite, a-SHORT é"), (51, None), (52, "!!"), (53, "quite a short É"), (None, "nameless item"), (50, "k1 k1")]
+    docs = [(i, " ".join(f"K{rng.randint(0, 4)}," for _ in range(200))) for i in range(5)] + [(7, "x " + (items[0][1] or "") + " y quite a short É quite-a.short.é"), (8, None), (9, ""), (10, "a Nameless, item"), (11, ("k1 " * 900 + "other ") * 50)]
     b = spark.createDataFrame(items, "item_id long, text string")
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r for r in decontamination.hits(d, b, block_bytes=block).collect()}
-    for i, t in docs:
-        assert (got[i].n_words, got[i].n_hit, got[i].items) == brute_hits(t or "", [(k, x or "") for k, x in items])
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash"))
+    got = {r.doc_id: r for r in decontamination.hits(d, b).collect()}
+    for i, t in docs[:9]:
+        want = brute_hits(t or "", [(k, x or "") for k, x in items])
+        assert (got[i].n_words, got[i].n_hit, got[i].items) == want
         raw = (t or "").encode()
         assert sum(len(decontamination.normal_words(raw[s.start : s.end])) for s in got[i].spans) == got[i].n_hit
-    clean = {r.doc_id for r in decontamination.clean(d, b, block_bytes=block).collect()}
+    assert (got[10].n_hit, got[10].items) == (2, []) and (got[11].n_words, got[11].n_hit) == (45_050, 45_000) and "50" in got[11].items
+    clean = {r.doc_id for r in decontamination.clean(d, b).collect()}
     assert clean == {i for i in got if got[i].n_hit == 0}
     assert decontamination.hits(odd, b).count() == len(ODD) and decontamination.hits(empty, b).count() == 0
     assert decontamination.hits(d, b.filter("false")).filter("n_hit > 0").count() == 0
+    with pytest.raises(Exception, match="more than 9 bytes of items"):
+        decontamination.build(b, most=9)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64])
+def test_automaton(monkeypatch, stretch):
+    monkeypatch.setattr(decontamination, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    make = lambda n, k: " ".join(f"k{rng.randint(0, k)}" for _ in range(n))
+    items = [(str(i), make(rng.randint(0, 9), 2)) for i in range(15)]
+    machine = decontamination.Automaton(decontamination.load(__import__("numpy").frombuffer(decontamination.dump(*decontamination.Automaton.build(((i, t.encode()) for i, t in items), 4)), "u1")))
+    texts = [make(rng.randint(0, 300), 3) for _ in range(12)]
+    counts, found = decontamination.scanned([t.encode() for t in texts], machine)
+    names = machine.item_names()
+    for i, t in enumerate(texts):
+        runs, which = found.get(i, ([], []))
+        items_met = sorted({names[k] for e in which for k in machine.items[machine.first[e] : machine.first[e + 1]]})
+        assert (int(counts[i]), sum(b - a for a, b in runs), items_met) == brute_hits(t, items, 4)
+
+
+def test_automaton_of_a_large_collection():
+    """Items above any block of texts still make one automaton, of 13 bytes a state."""
+    rng = random.Random(1)
+    items = [(str(i), " ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)).encode()) for i in range(500)]
+    arrays = decontamination.Automaton.build(iter(items))
+    machine = decontamination.Automaton(arrays)
+    assert sum(a.nbytes for a in (machine.keys, machine.fail, machine.marked)) <= 13 * (len(machine.keys) + 1)
+    _, found = decontamination.scanned([b" ".join(t.split()[50:80]) for _, t in items[::50]], machine)
+    assert all(found[i][0] == [(0, 30)] for i in range(10))
+
+
+def test_words_of_regular_patterns(spark):
+    """Two words whose letters follow the Thue-Morse pattern and its complement are told apart at any length."""
+    for size in (128, 256, 512, 1024, 2048, 4096):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(size))
+        other = one.translate(str.maketrans("ab", "ba"))
+        h, _ = scan.words([one.encode(), other.encode()])
+        assert h[0] != h[1]
+        assert int(quality.features([f"{one} {other} p q r {other} {one} p q r".encode()])[4][0]) == 0
+        assert len(near_dedup.shingle_sets([f"x y {one} z x y {other} z".encode()], 3)[0]) == 6
+    train, docs = spark.createDataFrame([(one,)], "text string"), spark.createDataFrame([(other,)], "text string")
+    assert language_model.score(docs, language_model.train_model(train)).first().n_known == 1
 
 
 def test_warc_reader():
