@@ -16,7 +16,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.shared import shared_dir
@@ -38,27 +38,59 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as Parquet in the shared folder, read again."""
-    path = fresh_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    return kept_in(df, fresh_dir(df.sparkSession, what))
+
+
+def kept_in(df: DataFrame, path: str) -> DataFrame:
+    """The rows as Parquet in that folder, read again; shuffles that made them are dropped."""
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Hosts up to which a table with one row for each is broadcast, and the tasks that share a host beyond that.
-BROADCAST_HOSTS, HOST_SALTS = 1000, 32
+def discard(uri: str) -> None:
+    """Deletes a folder of intermediate results; nothing if it is not there."""
+    store, path = open_fs(uri)
+    try:
+        store.delete_dir(path)
+    except FileNotFoundError:
+        pass
+
+
+#: Entries (rows, or what `weight` says) of a host table that are broadcast, about 64 bytes each, and the share of all rows from which a host is hot.
+BROADCAST_ENTRIES, HOT_SHARE = 500_000, 1 / 1000
+#: Tasks that share a hot host if even the hot hosts' table is too large to broadcast.
+HOST_SALTS = 256
 
 
-def join_hosts(docs: DataFrame, host: str, hosts: DataFrame, how: str) -> DataFrame:
-    """docs joined (left or left_anti, null-safe) with a table that has one row for a host, `_host`.
+def join_hosts(docs: DataFrame, host: str, hosts: DataFrame, how: str, weight: Column | None = None) -> DataFrame:
+    """docs joined (left or left_anti, null-safe) with a table that has one row for a host, `__host`.
 
-    The host table is made first, so its size is known: a small one is broadcast and texts stay
-    where they are; a large one is repeated for each salt, so that no host's documents meet in one task.
+    The host table is made first, so its size is known. A small one is broadcast and texts stay where
+    they are. Of a large one only the rows of hot hosts (HOT_SHARE of all rows or more, so 1000 at
+    most) are broadcast; the other documents are shuffled by host, where no host is large. Documents
+    that meet no row of their host stay as `how` says. Columns named __host, __salt or __of are not allowed in docs.
     """
+    spark = docs.sparkSession
     hosts = written(hosts, "hosts")
-    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        return docs.join(F.broadcast(hosts), docs[host].eqNullSafe(hosts["_host"]), how)
-    salted = docs.withColumn("_salt", F.pmod(F.xxhash64(*docs.columns), F.lit(HOST_SALTS)))
-    spread = hosts.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
-    return salted.join(spread, salted[host].eqNullSafe(spread["_host"]) & (salted["_salt"] == spread["_of"]), how).drop("_salt", "_of")
+    entries = F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))
+    if hosts.agg(entries).first()[0] <= BROADCAST_ENTRIES:
+        return docs.join(F.broadcast(hosts), docs[host].eqNullSafe(hosts["__host"]), how)
+    counts = written(docs.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("n")), "host-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    names = [r[0] for r in counts.filter(F.col("n") >= max(1, total * HOT_SHARE)).select("__host").collect()]  # at most 1 / HOT_SHARE
+    hot_names = spark.createDataFrame([(x,) for x in names], counts.select("__host").schema)
+    hot = hosts.join(F.broadcast(hot_names), hosts["__host"].eqNullSafe(hot_names["__host"]), "left_semi")
+    cold = hosts.join(F.broadcast(hot_names), hosts["__host"].eqNullSafe(hot_names["__host"]), "left_anti")
+    among = F.coalesce(F.col(host).isin([x for x in names if x is not None]), F.lit(None in names))
+    rest = docs.filter(~among).join(cold, docs[host].eqNullSafe(cold["__host"]), how)
+    if hot.agg(entries).first()[0] <= BROADCAST_ENTRIES:
+        front = docs.filter(among).join(F.broadcast(hot), docs[host].eqNullSafe(hot["__host"]), how)
+    else:
+        salted = docs.filter(among).withColumn("__salt", F.pmod(F.xxhash64(*docs.columns), F.lit(HOST_SALTS)))
+        spread = hot.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+        front = salted.join(spread, salted[host].eqNullSafe(spread["__host"]) & (salted["__salt"] == spread["__of"]), how).drop("__salt", "__of")
+    return rest.unionByName(front)
 
 
 @contextmanager
@@ -75,6 +107,18 @@ def arrow_batches(spark: SparkSession, rows: int | None = None, size: int = 8 <<
             spark.conf.set(k, v)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the action inside ends: for results that are written and never computed again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parts_of(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -146,6 +190,11 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of whole numbers from 0 that never decrease; np.cumsum undoes it."""
+    return narrow(np.diff(a, prepend=a.dtype.type(0)))
+
+
 def unpack(blob: bytes) -> list[np.ndarray]:
     z, out, at = zstandard.ZstdDecompressor(), [], 0
     view = memoryview(blob)

@@ -5,58 +5,59 @@ at every byte would move each text 200 times; here only suffixes at anchors are
 a 200-byte string is the last of its 40-grams with the smallest hash, so equal strings have their
 anchor at the same place inside, and a run of overlapping strings shares one (81 on average).
 
-1. Every task lists its anchors' hashes, once each; hashes seen twice anywhere come back to the tasks.
-2. For anchors with such a hash, tasks send the bytes around them, equal surroundings once.
-3. A reducer sorts the suffixes at the anchors, forwards and (reversed) backwards, by deep-shallow
+1. Texts are cut into slices once, kept in the shared folder with their anchors. A slice lists its
+   anchors' hashes, once each; it learns which of them occur twice anywhere.
+2. For anchors with such a hash it sends the bytes around them, equal surroundings once.
+3. A part sorts the suffixes at its anchors, forwards and (reversed) backwards, by deep-shallow
    sorting. Two strings are equal if, for the anchor's offset o in them, their right parts share
    200 - o bytes and their left parts o bytes: two class numbers read off the common prefixes.
-4. Repeated offsets return to the tasks, which mark the bytes.
+4. Repeated offsets return to the slices, which mark the bytes.
 
-Texts themselves are never shuffled; each task reads its own part of the table three times.
+Hashes only choose what is compared; what goes is decided on bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import deep_shallow
-from quillgraph.llm.common import BLOBS, CHUNK, batches, fresh_dir, get_file, joined, map_blobs, pack, parts_of, put_file, reduce_blobs, slices, table, text_bytes, unpack, written
+from quillgraph.llm.common import CHUNK, discard, fresh_dir, kept_in, mapped, narrow, pack, put_file, slices, steps, table, text_bytes, unpack
+from quillgraph.llm.exchange import ASK, Rows, at_parts, at_slices, column, keep, low_edge, message, part_of_hash, runs, summed_column
 from quillgraph.llm.scan import mix, prefix, run_hash
 
 U = np.uint64
 LENGTH = 200
 GRAM = 40
 SPAN = LENGTH - GRAM + 1
+#: Bytes of text in a slice (a longer text is one slice), and of texts for each part.
+SLICE, SHARE = 8 << 20, 32 << 20
 _PLACE = 21  # bits of a position in a block of at most CHUNK + LENGTH bytes
 _MASK = U((1 << _PLACE) - 1)
 
 
 @dataclass
 class Anchors:
-    """Anchors of a slice of texts: hash, digest of the surroundings, position, and the first and last string start that it serves."""
+    """Anchors of texts: hash, position, and the first and last string start that it serves, in the order of the starts."""
 
     hash: np.ndarray
-    digest: np.ndarray
     at: np.ndarray
     low: np.ndarray
     high: np.ndarray
 
-    def chosen(self, ok: np.ndarray) -> Anchors:
-        return Anchors(*(x[ok] for x in (self.hash, self.digest, self.at, self.low, self.high)))
-
 
 def _block(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, digest, at, low, high) of the strings in one block of joined texts, whose ends are given."""
+    """(hash, at, low, high) of the strings in one block of joined texts, whose ends are given."""
     n = len(b)
-    empty = (np.empty(0, U), np.empty(0, U), *(np.empty(0, np.int64) for _ in range(3)))
+    empty = (np.empty(0, U), *(np.empty(0, np.int64) for _ in range(3)))
     if n < LENGTH:
         return empty
     sums = prefix(b)
@@ -80,9 +81,8 @@ def _block(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     at = (_MASK - (least[s] & _MASK)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)]))
     low, high, at = s[first], s[np.concatenate([first[1:] - 1, [len(s) - 1]])], at[first]
-    digest = mix(run_hash(sums, low, high + LENGTH) + mix((at - low).astype(U)) + hashes[at])
     # smallest hashes are chosen, so they lie at the low end; mixed again they spread evenly over the parts
-    return mix(hashes[at] + U(1)), digest, at, low, high
+    return mix(hashes[at] + U(1)), at, low, high
 
 
 def anchors(texts: list[bytes]) -> tuple[Anchors, np.ndarray]:
@@ -98,149 +98,100 @@ def anchors(texts: list[bytes]) -> tuple[Anchors, np.ndarray]:
     for i, t in enumerate(texts):
         own = b[ends[i] - len(t) : ends[i]]
         for a in range(0, max(1, len(t) - LENGTH + 1), CHUNK):
-            h, d, *where = _block(own[a : a + CHUNK + LENGTH - 1], np.array([min(len(t) - a, CHUNK + LENGTH - 1)]))
-            found.append((h, d, *(x + a + ends[i] - len(t) for x in where)))
+            h, *where = _block(own[a : a + CHUNK + LENGTH - 1], np.array([min(len(t) - a, CHUNK + LENGTH - 1)]))
+            found.append((h, *(x + a + ends[i] - len(t) for x in where)))
     return Anchors(*(np.concatenate(x) for x in zip(*found, strict=True))), ends
 
 
-def text_slices(it: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[bytes]]]:
-    for batch in it:
-        texts = text_bytes(batch.column(column))
-        for a, b in slices(len(texts), lambda i: len(texts[i])):
-            yield batch, a, b, texts[a:b]
-
-
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return (((h >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-
-
-class Print:
-    """A fingerprint of a task's rows: a pass fails if it doesn't see the rows of the first pass."""
+def cut(docs: DataFrame, folder: str) -> DataFrame:
+    """(slice, bytes, blob) of docs (text, ...): each slice's texts, rows and anchors in files of its own.
 
-    def __init__(self) -> None:
-        self.n, self.sum = 0, 0
+    The blob has the slice's distinct anchor hashes and whether it has them twice. The result is to be
+    written before use, so that only slices of tasks that ended count.
+    """
 
-    def add(self, texts: list[bytes]) -> None:
-        self.n += len(texts)
-        for t in texts:
-            self.sum = (self.sum + int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little")) % (1 << 64)
-
-    def bytes(self) -> bytes:
-        return f"{self.n} {self.sum}".encode()
-
-
-def _hash_blobs(docs: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Pass 1: each task's distinct anchor hashes and whether the task has them twice."""
-
-    def make(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        me, seen = TaskContext.get().partitionId(), Print()
-        held, n = [], 0
-        keys, twice = np.empty(0, U), np.empty(0, bool)
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, back, count = np.unique(np.concatenate([keys, *held]), return_inverse=True, return_counts=True)
-            t = count > 1
-            t[back[: len(keys)][twice]] = True
-            return k, t
-
-        for *_, texts in text_slices(it, 0):
-            seen.add(texts)
-            held.append(anchors(texts)[0].hash)
-            n += len(held[-1])
-            if n > 1 << 18:
-                keys, twice = merged()
-                held, n = [], 0
-        keys, twice = merged()
-        put_file(f"{folder}/print-{me}", seen.bytes())
-        cut = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-        yield [(p, pack(keys[cut[p] : cut[p + 1]], twice[cut[p] : cut[p + 1]].astype(np.uint8), np.array([me], np.int64))) for p in range(parts) if cut[p] < cut[p + 1]]
-
-    return map_blobs(docs, make)
-
-
-def _repeated(part: int, blobs: list[bytes]) -> pa.Table:
-    """For each task, which of its hashes some task has a second time."""
-    rows = [unpack(b) for b in blobs]
-    keys = np.concatenate([r[0] for r in rows])
-    once = np.concatenate([1 + r[1].astype(np.int64) for r in rows])
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    often = k[first][np.add.reduceat(once[order], first) > 1]
-    out = []
-    for own, _, me in rows:
-        at = np.searchsorted(often, own)
-        ok = at < len(often)
-        ok[ok] = often[at[ok]] == own[ok]
-        if ok.any():
-            out.append((int(me[0]), pack(own[ok])))
-    return pa.Table.from_batches([batches(out)])
-
-
-def _to_files(blobs: DataFrame, folder: str, what: str) -> None:
-    """One file for each task: its blobs' arrays, concatenated and sorted by the first."""
-
-    def merge(me: int, own: list[bytes]) -> pa.Table:
-        arrays = joined(own)
-        order = np.argsort(arrays[0], kind="stable")
-        put_file(f"{folder}/{what}-{me}", pack(*(a[order] for a in arrays)))
-        return pa.Table.from_batches([batches([(me, b"")])])
-
-    reduce_blobs(blobs, merge, BLOBS).count()
-
-
-def _load(folder: str, what: str, me: int, kinds: list) -> list[np.ndarray]:
-    data = get_file(f"{folder}/{what}-{me}")
-    return [np.empty(0, k) for k in kinds] if data is None else unpack(data)
-
-
-def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_keys, keys)
-    ok = at < len(sorted_keys)
-    ok[ok] = sorted_keys[at[ok]] == keys[ok]
-    return ok
-
-
-def _context_blobs(docs: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Pass 2: surroundings of anchors with a repeated hash; those that a task has twice are noted in a file of its own."""
-
-    def make(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        me, seen = TaskContext.get().partitionId(), Print()
-        (wanted,) = _load(folder, "hashes", me, [U])
-        known, multi = set(), set()
-        held: dict[int, list] = {}
-        size = 0
-
-        def rows() -> list[tuple[int, bytes]]:
-            out = []
-            for p, own in held.items():
-                h, d, left, right, text = zip(*own, strict=True)
-                out.append((p, pack(np.array(h, U), np.array(d, U), np.array(left, np.uint16), np.array(right, np.uint16), np.frombuffer(b"".join(text), np.uint8), np.array([me], np.int64))))
-            held.clear()
-            return out
-
-        for *_, texts in text_slices(it, 0):
-            seen.add(texts)
-            found, _ends = anchors(texts)
-            found = found.chosen(_among(wanted, found.hash))
-            whole = b"".join(texts)
-            for p, h, d, at, low, high in zip(part_of(found.hash, parts).tolist(), found.hash.tolist(), found.digest.tolist(), found.at.tolist(), found.low.tolist(), found.high.tolist(), strict=True):
-                if d in known:
-                    multi.add(d)
-                    continue
-                known.add(d)
-                text = whole[low : high + LENGTH]
-                held.setdefault(p, []).append((h, d, at - low, high + LENGTH - at, text))
-                size += len(text)
-            if size > 8 << 20:
-                yield rows()
-                size = 0
-        yield rows()
-        if seen.bytes() != get_file(f"{folder}/print-{me}"):
-            raise RuntimeError("the table's parts changed between two passes")
-        put_file(f"{folder}/multi-{me}", pack(np.array(sorted(multi), U)))
-
-    return map_blobs(docs, make)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = text_bytes(batch.column(0))
+            for a, b in slices(len(texts), lambda i: len(texts[i]), SLICE):  # noqa: B023
+                name, own, found, base = uuid.uuid4().hex, texts[a:b], [], 0
+                for x, y in slices(len(own), lambda i: len(own[i])):  # noqa: B023
+                    some, ends = anchors(own[x:y])
+                    found.append((some.hash, some.at + base, some.low + base, some.high + base))
+                    base += int(ends[-1])
+                h, at, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+                keys, count = np.unique(h, return_counts=True)
+                rows = pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[1:]], names=batch.schema.names[1:])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(rows)
+                put_file(f"{folder}/{name}-rows", sink.getvalue().to_pybytes())
+                put_file(f"{folder}/{name}-text", zstandard.ZstdCompressor(level=1).compress(b"".join(own)))
+                put_file(f"{folder}/{name}-anchors", pack(narrow(np.array([len(t) for t in own], np.int64)), h, steps(low), narrow(at - low), narrow(high - low)))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([base], pa.int64()), pa.array([pack(steps(keys), (count > 1).view(np.uint8))], pa.binary())], names=["slice", "bytes", "blob"])
+
+    return docs.mapInArrow(run, "slice string, bytes long, blob binary")
+
+
+class Slice:
+    """A slice's texts, joined, where each ends, and its anchors."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        sizes, self.hash, low, at, more = unpack(mapped(f"{folder}/{name}-anchors").tobytes())
+        self.ends, self.low = np.cumsum(sizes, dtype=np.int64), np.cumsum(low, dtype=np.int64)
+        self.at, self.high = self.low + at, self.low + more
+        raw = mapped(f"{folder}/{name}-text").tobytes()
+        self.text = zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(1, int(self.ends[-1]) if len(self.ends) else 1))
+
+
+def ask_hashes(listed: DataFrame, parts: int) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gaps, twice = unpack(blob)
+                h = np.cumsum(gaps, dtype=U)
+                yield from message([*((p, 0, name, pack(steps(h[a:b] - U(low_edge(p, parts))), twice[a:b])) for p, a, b in runs(part_of_hash(h, parts))), keep(parts, name)]).to_batches()
+
+    return listed.select("slice", "blob").mapInArrow(run, ASK)
+
+
+def answer_hashes(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
+    """Which of each slice's hashes occur a second time, here or elsewhere."""
+    keys, once = summed_column(asked, 0, U), 1 + column(asked, 1)
+    _, number = np.unique(keys, return_inverse=True)
+    often = (np.bincount(number, weights=once) > 1)[number]
+    ends = np.cumsum([len(a[0]) for a in asked])
+    return [(part, 0, s, pack(often[e - len(a[0]) : e].view(np.uint8))) for s, e, a in zip(names, ends.tolist(), asked, strict=True)]
+
+
+def ask_surroundings(folder: str, parts: int):
+    """The distinct surroundings of anchors whose hash is repeated; which anchors have which goes to a file of the slice."""
+
+    def work(name: str, _: list, __: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        own, often = Slice(folder, name), column(answers, 0, bool)
+        keys, number = np.unique(own.hash, return_inverse=True)
+        chosen = np.flatnonzero(often[number])
+        index: dict[tuple[int, bytes], int] = {}
+        which = np.empty(len(chosen), np.int64)
+        for j, (at, low, high) in enumerate(zip(own.at[chosen].tolist(), own.low[chosen].tolist(), own.high[chosen].tolist(), strict=True)):
+            which[j] = index.setdefault((at - low, own.text[low : high + LENGTH]), len(index))
+        put_file(f"{folder}/{name}-which", pack(narrow(chosen), narrow(which)))
+        if not index:
+            return message([keep(parts, name)])
+        h = np.empty(len(index), U)
+        h[which] = own.hash[chosen]
+        many = np.bincount(which) > 1
+        order = np.argsort(h, kind="stable")
+        texts = list(index)
+        rows = []
+        for p, a, b in runs(part_of_hash(h[order], parts)):
+            at = order[a:b]
+            some = [texts[i] for i in at.tolist()]
+            left, size = np.array([k for k, _ in some], np.int64), np.array([len(t) for _, t in some], np.int64)
+            rows.append((p, 0, name, pack(steps(h[at] - U(low_edge(p, parts))), narrow(left), narrow(size), many[at].view(np.uint8), np.frombuffer(b"".join(t for _, t in some), np.uint8), narrow(at))))
+        return message([*rows, keep(parts, name)])
+
+    return work
 
 
 def repeated_offsets(hashes: np.ndarray, left: np.ndarray, texts: list[bytes], weight: np.ndarray) -> np.ndarray:
@@ -266,115 +217,108 @@ def repeated_offsets(hashes: np.ndarray, left: np.ndarray, texts: list[bytes], w
     return out
 
 
-def _compared(part: int, blobs: list[bytes]) -> pa.Table:
-    """Repeated offsets of all surroundings of a part, as (digest, first, last) by task."""
+def compared(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
+    """Repeated offsets of all surroundings of a part, as (surroundings, first, last) by slice."""
     index: dict[tuple[int, bytes], int] = {}
     hashes, lefts, texts, weight, owners = [], [], [], [], []
-    for b in blobs:
-        h, d, left, right, data, me = unpack(b)
-        ends = np.cumsum(left.astype(np.int64) + right)
+    for s, (h, left, size, many, data, at) in enumerate(asked):
         raw, a = data.tobytes(), 0
-        for hh, dd, k, e in zip(h.tolist(), d.tolist(), left.tolist(), ends.tolist(), strict=True):
-            text = raw[a:e]
-            a = e
-            i = index.setdefault((k, text), len(texts))
-            if i == len(texts):
+        for hh, k, n, m, i in zip(np.cumsum(h, dtype=U).tolist(), left.tolist(), size.tolist(), many.tolist(), at.tolist(), strict=True):
+            text = raw[a : a + n]
+            a += n
+            j = index.setdefault((k, text), len(texts))
+            if j == len(texts):
                 hashes.append(hh)
                 lefts.append(k)
                 texts.append(text)
                 weight.append(0)
                 owners.append([])
-            weight[i] += 1
-            owners[i].append((int(me[0]), dd))
-    left = np.array(lefts, np.int64)
-    # a context alone with its hash and seen by one task has no other place
+            weight[j] += 1 + m
+            owners[j].append((s, i))
+    left, w = np.array(lefts, np.int64), np.array(weight, np.int64)
+    # surroundings alone with their hash and seen once have no other place
     h = np.array(hashes, U)
     _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    w = np.array(weight, np.int64)
-    out: dict[int, list[tuple[int, int, int]]] = {}
+    out: list[list[tuple[int, int, int]]] = [[] for _ in names]
 
-    def note(i: int, first: int, last: int) -> None:
-        for me, d in owners[i]:
-            out.setdefault(me, []).append((d, first, last))
+    def note(j: int, first: int, last: int) -> None:
+        for s, i in owners[j]:
+            out[s].append((i, first, last))
 
-    for i in np.flatnonzero(w > 1).tolist():
-        note(i, lefts[i] + LENGTH - len(texts[i]), lefts[i])
+    for j in np.flatnonzero(w > 1).tolist():
+        note(j, lefts[j] + LENGTH - len(texts[j]), lefts[j])
     several = np.flatnonzero(count[back] > 1)
     if len(several):
-        hit = repeated_offsets(h[several], left[several], [texts[i] for i in several.tolist()], w[several])
+        hit = repeated_offsets(h[several], left[several], [texts[j] for j in several.tolist()], w[several])
         edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, first = np.nonzero(edge == 1)
         _, last = np.nonzero(edge == -1)
-        for i, a, e in zip(several[row].tolist(), first.tolist(), last.tolist(), strict=True):
-            if w[i] == 1:
-                note(i, a, e - 1)
-    rows = [(me, pack(*(np.array(x, k) for x, k in zip(zip(*own, strict=True), (U, np.uint16, np.uint16), strict=True)))) for me, own in out.items()]
-    return pa.Table.from_batches([batches(rows)])
+        for j, a, e in zip(several[row].tolist(), first.tolist(), last.tolist(), strict=True):
+            if w[j] == 1:
+                note(j, a, e - 1)
+    return [(part, 0, name, pack(*(narrow(np.array(c, np.int64)) for c in zip(*own, strict=True)))) for name, own in zip(names, out, strict=True) if own]
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
-def _marked(docs: DataFrame, folder: str, keep_spans: bool) -> DataFrame:
-    """Pass 3: the repeated bytes of every row."""
+def marked(folder: str, keep_spans: bool):
+    """The rows of a slice with their repeated bytes."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, seen = TaskContext.get().partitionId(), Print()
-        (wanted,) = _load(folder, "hashes", me, [U])
-        (multi,) = _load(folder, "multi", me, [U])
-        digests, firsts, lasts = _load(folder, "offsets", me, [U, np.uint16, np.uint16])
-        for batch, a, b, texts in text_slices(it, 0):
-            seen.add(texts)
-            found, ends = anchors(texts)
-            found = found.chosen(_among(wanted, found.hash))
-            whole = _among(multi, found.digest)
-            step = np.zeros((int(ends[-1]) if len(ends) else 0) + 1, np.int32)
-            np.add.at(step, found.low[whole], 1)
-            np.add.at(step, found.high[whole] + LENGTH, -1)
-            lo, hi = np.searchsorted(digests, found.digest, "left"), np.searchsorted(digests, found.digest, "right")
-            n = hi - lo
-            which = np.repeat(np.arange(len(n)), n)
-            run_at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            np.add.at(step, found.at[which] - lasts[run_at].astype(np.int64), 1)
-            np.add.at(step, found.at[which] - firsts[run_at].astype(np.int64) + LENGTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            cols: list[list] = [[], [], [], [], []]
-            for t, end in zip(texts, ends.tolist(), strict=True):
-                own = gone[end - len(t) : end]
-                removed = int(own.sum())
-                edge = np.diff(np.concatenate([[0], own.view(np.int8), [0]])) if removed else np.empty(0, np.int8)
-                start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                kept = np.frombuffer(t, np.uint8)[~own].tobytes() if removed else t
-                for c, x in zip(cols, (len(t), removed, len(start), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in zip(start.tolist(), stop.tolist(), strict=True)] if keep_spans else None), strict=True):
-                    c.append(x)
-            rows = batch.slice(a, b - a)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*rows.schema.names[1:], "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-        if seen.bytes() != (get_file(f"{folder}/print-{me}") or b"0 0"):
-            raise RuntimeError("the table's parts changed between two passes")
-
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.select("text", *[f.name for f in rest]).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), RESULT]))
-
-
-def remove_repeats(docs: DataFrame, stable: bool = False, keep_spans: bool = True) -> DataFrame:
-    """All columns of docs but text, and n_bytes, n_removed, n_spans, kept_sha256 and spans (byte offsets of what goes).
+    def work(name: str, _: list, __: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        own = Slice(folder, name)
+        chosen, which = (x.astype(np.int64) for x in unpack(mapped(f"{folder}/{name}-which").tobytes()))
+        met, first, last = (column(answers, i) for i in range(3))
+        order = np.argsort(met, kind="stable")
+        met, first, last = met[order], first[order], last[order]
+        lo, hi = np.searchsorted(met, which, "left"), np.searchsorted(met, which, "right")
+        n = hi - lo
+        at = own.at[np.repeat(chosen, n)]
+        run_at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        step = np.zeros(len(own.text) + 1, np.int32)
+        np.add.at(step, at - last[run_at], 1)
+        np.add.at(step, at - first[run_at] + LENGTH, -1)
+        gone = np.cumsum(step[:-1]) > 0
+        cols: list[list] = [[], [], [], [], []]
+        start = 0
+        for end in own.ends.tolist():
+            t, cover = own.text[start:end], gone[start:end]
+            start = end
+            removed = int(cover.sum())
+            edge = np.diff(np.concatenate([[0], cover.view(np.int8), [0]])) if removed else np.empty(0, np.int8)
+            begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            kept = np.frombuffer(t, np.uint8)[~cover].tobytes() if removed else t
+            spans = [{"start": x, "end": y} for x, y in zip(begin.tolist(), stop.tolist(), strict=True)] if keep_spans else None
+            for c, x in zip(cols, (len(t), removed, len(begin), hashlib.sha256(kept).hexdigest(), spans), strict=True):
+                c.append(x)
+        rows = pa.ipc.open_stream(pa.py_buffer(mapped(f"{folder}/{name}-rows").tobytes())).read_all()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
+        return pa.table([*rows.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*rows.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return work
+
+
+def remove_repeats(docs: DataFrame, keep_spans: bool = True) -> DataFrame:
+    """All columns of docs but text, and n_bytes, n_removed, n_spans, kept_sha256 and spans (byte offsets of what goes; null without keep_spans).
 
     Strings are judged on the input; matches never cross texts. Null and empty texts, and texts
-    below 200 bytes, lose nothing; of equal rows all lose what they share. stable: docs is a plain
-    scan, whose parts are the same each time it is read; otherwise it is written first.
+    below 200 bytes, lose nothing; of equal rows all lose what they share. Columns with the results'
+    names are replaced. A missing intermediate file is an error.
     """
     spark = docs.sparkSession
     base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
-    base = base if stable else written(base, "repeats-input")
-    base = base.select("text", *[c for c in base.columns if c != "text"])
-    parts, folder = parts_of(spark, 4), fresh_dir(spark, "repeats")
-    _to_files(reduce_blobs(_hash_blobs(base.select("text"), folder, parts), _repeated, BLOBS), folder, "hashes")
-    _to_files(reduce_blobs(_context_blobs(base.select("text"), folder, parts), _compared, BLOBS), folder, "offsets")
-    return _marked(base, folder, keep_spans)
+    rest = [f for f in base.schema.fields if f.name != "text"]
+    folder = fresh_dir(spark, "repeats")
+    listed = kept_in(cut(base.select("text", *[f"`{f.name}`" for f in rest]), folder), f"{folder}/listed")
+    size = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(16, -(-size // SHARE))
+    asked = at_slices(at_parts(ask_hashes(listed, parts), answer_hashes), ask_surroundings(folder, parts))
+    found = kept_in(at_parts(asked, compared), f"{folder}/offsets")
+    discard(f"{folder}/listed")
+    return at_slices(found, marked(folder, keep_spans), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), RESULT]))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents", "text", "doc_id"), stable=True, keep_spans=False)
+    found = remove_repeats(table(spark, sf_dir, "documents", "text", "doc_id"), keep_spans=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
