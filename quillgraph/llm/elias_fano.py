@@ -137,16 +137,16 @@ class EliasFano:
 class Level:
     """One level of a trie's shard: which parents have children here, where each parent's run of children starts, and the children.
 
-    A child is kept as rank(parent) * width + child, so that all children form one monotone sequence
-    in which it is found by one search for its successor; the pointers give its place in the run.
+    A run is kept above the last value of the run before it, so that all children form one monotone
+    sequence whose universe is the sum of the runs' largest children; a child is found by one search
+    for its successor, within the run that the pointers give.
     """
 
-    ARRAYS = 3 * EliasFano.ARRAYS + 1
+    ARRAYS = 3 * EliasFano.ARRAYS
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
         k = EliasFano.ARRAYS
         self.parents, self.pointers, self.children = (EliasFano(*arrays[j * k : j * k + k]) for j in range(3))
-        self.width = arrays[3 * k][0]
 
     @classmethod
     def of(cls, parent: np.ndarray, child: np.ndarray) -> list[np.ndarray]:
@@ -154,20 +154,33 @@ class Level:
         n = len(parent)
         first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if n else np.empty(0, np.int64)
         pointers = np.concatenate([first, [n]])
-        width = int(child.max()) + 1 if n else 1
-        if len(first) * width >= 1 << 63:
+        width = child[pointers[1:] - 1].astype(U) + U(1) if n else np.empty(0, U)
+        base = np.cumsum(width, dtype=U) - width
+        if n and float(width.astype(np.float64).sum()) >= 2.0**63:
             raise ValueError("a shard of this size needs more shards")
-        values = child.astype(U) + np.repeat(np.arange(len(first), dtype=U) * U(width), np.diff(pointers))
-        return [a for s in (EliasFano.of(parent[first]), EliasFano.of(pointers), EliasFano.of(values)) for a in s.arrays] + [np.array([width], U)]
+        values = child.astype(U) + np.repeat(base, np.diff(pointers))
+        return [a for s in (EliasFano.of(parent[first]), EliasFano.of(pointers), EliasFano.of(values)) for a in s.arrays]
+
+    def _runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, place after the last, base) of the parents' runs."""
+        start, end = self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
+        base = np.zeros(len(at), U)
+        later = start > 0
+        base[later] = self.children.get(start[later] - 1) + U(1)
+        return start, end, base
 
     def find(self, at: np.ndarray, child: np.ndarray) -> np.ndarray:
-        """Place of the child of the parent of that rank; -1 if there is none or the rank is -1."""
-        ok = (at >= 0) & (child.astype(U) < self.width)
-        if ok.all():
-            return self.children.find(at.astype(U) * self.width + child.astype(U))
-        place = np.full(len(at), -1, np.int64)
-        place[ok] = self.children.find(at[ok].astype(U) * self.width + child[ok].astype(U))
-        return place
+        """Place of the child of the parent of that rank; -1 if there is none or the rank is -1. Fastest where equal ranks are neighbours."""
+        out = np.full(len(at), -1, np.int64)
+        ok = np.flatnonzero(at >= 0)
+        if not len(ok):
+            return out
+        rank = at[ok]
+        new = np.concatenate([[True], rank[1:] != rank[:-1]])
+        start, end, base = (x[np.cumsum(new) - 1] for x in self._runs(rank[new]))
+        place = self.children.find(base + child[ok].astype(U))
+        out[ok] = np.where((place >= start) & (place < end), place, -1)
+        return out
 
     def relative(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Place within the parent's run."""
@@ -176,6 +189,5 @@ class Level:
     def unrolled(self) -> tuple[np.ndarray, np.ndarray]:
         """All (parent, child) in order."""
         parents = self.parents.get(np.arange(self.parents.n)).astype(np.int64)
-        size = np.diff(self.pointers.get(np.arange(self.pointers.n)).astype(np.int64))
-        base = np.repeat(np.arange(len(parents), dtype=U) * self.width, size)
-        return np.repeat(parents, size), (self.children.get(np.arange(self.children.n)) - base).astype(np.int64)
+        start, end, base = self._runs(np.arange(self.parents.n)) if self.parents.n else (np.empty(0, np.int64),) * 3
+        return np.repeat(parents, end - start), (self.children.get(np.arange(self.children.n)) - np.repeat(base, end - start).astype(U)).astype(np.int64)

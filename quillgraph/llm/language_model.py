@@ -1,14 +1,14 @@
 """An n-gram language model in an Elias-Fano trie, and scores of texts by it.
 
-* Level 1: words as sorted 64-bit hashes with exact counts; a word's id is its place among all.
+* Level 1: words as sorted 64-bit hashes with exact counts; ids follow the counts within a part.
 * Level 2: bigrams, in the part of their hash; each also has the back-off that it gives as a context.
 * Level 3: trigrams, in the part of their context, whose place in level 2 is the parent. A last word is
   stored relative to its context, by its number among the successors of the middle word. Contexts seen
   more often than a part should hold are dealt over all parts.
 
 Each level is monotone pointers and successor-searched children in flat arrays, with one byte of
-log10 p for each n-gram, scaled to the part's own smallest and largest value, so nothing is clipped.
-Probabilities are smoothed by Dirichlet priors: p1(w) = (c(w) + 1) / (N + V + 1),
+log10 p for each n-gram, on one scale that reaches down to the rarest event of the corpus, so nothing
+is clipped. Probabilities are smoothed by Dirichlet priors: p1(w) = (c(w) + 1) / (N + V + 1),
 p2(w|v) = (c(vw) + MU2 p1(w)) / (c(v) + MU2), p3(w|uv) = (c(uvw) + MU3 p2(w|v)) / (c(uv) + MU3).
 
 Texts never meet the model. They are cut into slices, kept in the shared folder as numbers of their
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import fresh_dir, mapped, narrow, open_fs, pack, put_file, slices, table, text_bytes, unpack, written
+from quillgraph.llm.common import discard, fresh_dir, kept_in, mapped, narrow, pack, put_file, slices, steps, table, text_bytes, unpack
 from quillgraph.llm.elias_fano import EliasFano, Level, dump, load
 from quillgraph.llm.scan import mix, words
 
@@ -40,9 +40,7 @@ END = mix(np.array([0x5E0F_7E47], U))[0]
 #: Strength of the priors, in tokens.
 MU2, MU3 = 1000.0, 1.0
 #: Bytes of text in a slice (a longer text is one slice), and n-grams of slices that a part is meant to get.
-SLICE, SHARE = 6 << 20, 2 << 20
-#: Steps in one unit of log10 in answers.
-FINE = 2048.0
+SLICE, SHARE = 12 << 20, 2 << 20
 _PLACE = 40  # bits of a place in level 2, in the parents of spread contexts
 
 ASK = "part int, chunk int, slice string, blob binary"
@@ -54,14 +52,21 @@ class Model:
 
     folder: str
     parts: int
-    offsets: tuple[int, ...] = ()  # id of the first word of each part, and the number of words
+    size: int = 0  # distinct words
     total: int = 0  # training tokens
     share: int = SHARE
     files: dict[str, int] = field(default_factory=dict)
 
     @property
-    def size(self) -> int:
-        return self.offsets[-1]
+    def unit(self) -> float:
+        """log10 of one step of a byte: 255 of them reach down to a single event after every token."""
+        return float(np.log10(self.total + MU2 + MU3)) / 255
+
+    def code(self, log: np.ndarray) -> np.ndarray:
+        return np.rint(log / -self.unit).astype(np.int64)
+
+    def log_one(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.total + self.size + 1))
 
     @property
     def hot(self) -> int:
@@ -93,78 +98,59 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(n), END), n + 1
 
 
-def coded(log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte for each value and (smallest value, step)."""
-    low, high = (float(log.min()), float(log.max())) if len(log) else (0.0, 0.0)
-    step = (high - low) / 255 or 1.0
-    return np.rint((log - low) / step).astype(np.uint8), np.array([low, step])
-
-
-def decoded(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
-    return book[0] + codes * book[1]
-
-
 # ---------------------------------------------------------------- slices
 
 
 def cut(docs: DataFrame, folder: str) -> DataFrame:
-    """(slice, tokens, blob) of docs (..., text, _train): texts as numbers of the slice's own words go to a file of the task.
+    """(slice, tokens, blob) of docs (..., text, _train): each slice's texts, as numbers of its own words, in a file of its own.
 
-    A slice is named by its file, place and sizes there; the blob has the slice's distinct words and
-    their training counts. The result is to be written before use, so that only slices of tasks that
-    ended count.
+    The blob has the slice's distinct words and their training counts. The result is to be written
+    before use, so that only slices of tasks that ended count.
     """
     text, train = docs.columns.index("text"), docs.columns.index("_train")
     kept = [(i, c) for i, c in enumerate(docs.columns) if i not in (text, train)]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = open_fs(folder)
-        store.create_dir(top, recursive=True)
-        name, at = f"slices-{uuid.uuid4().hex}", 0
-        with store.open_output_stream(f"{top}/{name}", compression=None) as out:
-            for batch in it:
-                texts = text_bytes(batch.column(text))
-                flags = np.array(batch.column(train).to_pylist(), bool)
-                rows = []
-                for a, b in slices(len(texts), lambda i: len(texts[i]), SLICE):  # noqa: B023
-                    h, n = sequences(texts[a:b])
-                    vocabulary, local = np.unique(h, return_inverse=True)
-                    counts = np.bincount(local, weights=np.repeat(flags[a:b], n)).astype(np.int64)
-                    own = pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i, _ in kept], names=[c for _, c in kept])
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                        w.write_batch(own)
-                    parts = [pack(*map(narrow, (local, n, flags[a:b]))), sink.getvalue().to_pybytes()]
-                    out.write(b"".join(parts))
-                    rows.append((f"{name}:{at}:{len(parts[0])}:{len(parts[1])}", len(h), pack(vocabulary, narrow(counts))))
-                    at += sum(map(len, parts))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["slice", "tokens", "blob"])
+        for batch in it:
+            texts = text_bytes(batch.column(text))
+            flags = np.array(batch.column(train).to_pylist(), bool)
+            for a, b in slices(len(texts), lambda i: len(texts[i]), SLICE):  # noqa: B023
+                name = uuid.uuid4().hex
+                h, n = sequences(texts[a:b])
+                vocabulary, local, often = np.unique(h, return_inverse=True, return_counts=True)
+                counts = np.bincount(local, weights=np.repeat(flags[a:b], n)).astype(np.int64)
+                # frequent words get small numbers, which pack well
+                order = np.argsort(-often, kind="stable")
+                number = np.empty(len(order), np.int64)
+                number[order] = np.arange(len(order))
+                own = pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i, _ in kept], names=[c for _, c in kept])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(own)
+                put_file(f"{folder}/{name}-text", pack(*map(narrow, (number[local], n, flags[a:b], order))))
+                put_file(f"{folder}/{name}-rows", sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(h)], pa.int64()), pa.array([pack(steps(vocabulary), narrow(counts))], pa.binary())], names=["slice", "tokens", "blob"])
 
     return docs.mapInArrow(run, "slice string, tokens long, blob binary")
 
 
+def opened(folder: str, name: str) -> np.ndarray:
+    return mapped(f"{folder}/{name}")
+
+
 class Slice:
     """A slice's texts, and the numbers of its distinct bigrams and trigrams; the same whenever it is opened."""
 
-    def __init__(self, folder: str, name: str, with_rows: bool = False) -> None:
-        file, at, size, more = name.split(":")
-        store, top = open_fs(folder)
-        with store.open_input_file(f"{top}/{file}") as f:
-            f.seek(int(at))
-            raw = f.read(int(size) + (int(more) if with_rows else 0))
-        local, self.n, flags = (x.astype(np.int64) for x in unpack(raw[: int(size)]))
-        self.rows = pa.ipc.open_stream(raw[int(size) :]).read_all() if with_rows else None
-        self.local, self.text = local, np.repeat(np.arange(len(self.n)), self.n)
+    def __init__(self, folder: str, name: str) -> None:
+        # order: place among the sorted hashes of each of the slice's words, most frequent first
+        self.local, self.n, flags, self.order = (x.astype(np.int64) for x in unpack(opened(folder, f"{name}-text").tobytes()))
+        self.text = np.repeat(np.arange(len(self.n)), self.n)
         self.train = flags[self.text]
         self.first = np.cumsum(self.n) - self.n
-        self.words = int(local.max()) + 1
-
-    def pairs(self) -> None:
-        """first_of, second_of: local words of the distinct bigrams, in order; pair: each token's bigram with the next one, -1 at a text's end."""
         ahead = np.flatnonzero(self.text[1:] == self.text[:-1])
-        key, number = np.unique(self.local[ahead] * self.words + self.local[ahead + 1], return_inverse=True)
-        self.first_of, self.second_of = key // self.words, key % self.words
+        key, number = np.unique(self.local[ahead] * len(self.order) + self.local[ahead + 1], return_inverse=True)
+        #: words of the distinct bigrams, and each token's bigram with the next one, -1 at a text's end
+        self.first_of, self.second_of = key // len(self.order), key % len(self.order)
         self.pair = np.full(len(self.local), -1)
         self.pair[ahead] = number
         self.pair_counts = np.bincount(number, weights=self.train[ahead], minlength=len(key)).astype(np.int64)
@@ -189,13 +175,10 @@ def message(rows: Rows) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "chunk", "slice", "blob"])
 
 
-def dealt(part: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """(order by part, (part, packed arrays) of each part that occurs)."""
-    order = np.argsort(part.astype(np.uint16) if not len(part) or part.max() < 65536 else part, kind="stable")
-    own, first = np.unique(part[order], return_index=True)
-    ends = [*first[1:].tolist(), len(part)][: len(own)]
-    arrays = [narrow(a) for a in arrays]
-    return order, [(p, pack(*(a[order[x:y]] for a in arrays))) for p, x, y in zip(own.tolist(), first.tolist(), ends, strict=True)]
+def runs(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, place after the last) of sorted parts."""
+    own, first = np.unique(part, return_index=True)
+    return list(zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(part)][: len(own)], strict=True))
 
 
 def at_parts(asks: DataFrame, work: Callable[[int, list[str], list[list[np.ndarray]]], Rows]) -> DataFrame:
@@ -229,17 +212,15 @@ def column(answers: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray
     return np.concatenate([a[i] for a in answers]).astype(kind) if answers else np.empty(0, kind)
 
 
+def summed_column(answers: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.cumsum(a[i], dtype=kind) for a in answers]) if answers else np.empty(0, kind)
+
+
 def keep(model: Model, name: str, *arrays: np.ndarray) -> tuple[int, int, str, bytes]:
     """What a slice keeps until its next turn."""
     return (-1 - zlib.crc32(name.encode()) % model.parts, 0, name, pack(*arrays))
 
 
-def split_back(part: int, names: list[str], sizes: list[int], *columns: np.ndarray) -> Rows:
-    """Columns over all questions of a part, back to the slices that asked."""
-    ends = np.cumsum(sizes)
-    return [(part, 0, s, pack(*(narrow(c[e - n : e]) for c in columns))) for s, n, e in zip(names, sizes, ends.tolist(), strict=True)]
-
-
 def note(name: str, size: int, n: int = 0, total: int = 0) -> bytes:
     return pack(np.frombuffer(name.encode(), np.uint8), np.array([size, n, total], np.int64))
 
@@ -256,10 +237,10 @@ def put(model: Model, name: str, *arrays: np.ndarray) -> tuple[Model, int]:
     return replace(model, files={name: len(data)}), len(data)
 
 
-def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each distinct pair, in order of the pairs; the order; each place's number among the distinct pairs)."""
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pair, in order of the pairs; each place's number among the distinct pairs)."""
     if not len(a):
-        return (np.empty(0, np.int64),) * 3
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     if a.max() < 1 << 31 and b.max() < 1 << 32:
         order = np.argsort((a.astype(U) << U(32)) | b.astype(U), kind="stable")
     else:
@@ -268,7 +249,7 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
     number = np.empty(len(a), np.int64)
     number[order] = np.cumsum(new) - 1
-    return order[new], order, number
+    return order[new], number
 
 
 # ---------------------------------------------------------------- level 1
@@ -278,9 +259,10 @@ def ask_words(listed: DataFrame, parts: int, chunks: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, counts = unpack(blob)
-                _, rows = dealt(part_of_hash(h, parts), h, counts)
-                yield from message([(p, chunk_of(name, chunks), name, b) for p, b in rows]).to_batches()
+                gaps, counts = unpack(blob)
+                h = np.cumsum(gaps, dtype=U)
+                rows = [(p, chunk_of(name, chunks), name, pack(steps(h[a:b] - U(low_edge(p, parts))), counts[a:b])) for p, a, b in runs(part_of_hash(h, parts))]
+                yield from message(rows).to_batches()
 
     return listed.select("slice", "blob").mapInArrow(run, ASK)
 
@@ -290,10 +272,10 @@ def chunk_of(name: str, chunks: int) -> int:
 
 
 def answer_words(model: Model, training: bool):
-    """Writes the words of a part, and answers their places (0: unknown, else one more) and counts."""
+    """Writes the words of a part, and answers one more than their ranks by count (0: unknown) and their counts."""
 
     def work(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
-        hashes, name, out, own = column(asked, 0, U) - U(low_edge(part, model.parts)), f"words-{part}", [], model
+        hashes, name, out, own = summed_column(asked, 0, U), f"words-{part}", [], model
         if training:
             counts = column(asked, 1)
             order = np.argsort(hashes, kind="stable")
@@ -302,13 +284,17 @@ def answer_words(model: Model, training: bool):
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
             if len(h):
                 total = np.add.reduceat(counts[order], first)
-                own, size = put(model, name, *EliasFano.of(h[first]).arrays, total)
+                rank = np.empty(len(total), np.int64)
+                rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+                own, size = put(model, name, *EliasFano.of(h[first]).arrays, narrow(total), narrow(rank))
                 out = [(-1, 0, "", note(name, size, len(first), int(total.sum())))]
-        place, seen = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        rank, seen = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         if arrays := own.open(name):
             place = EliasFano(*arrays[:4]).find(hashes)
-            seen[place >= 0] = arrays[4][place[place >= 0]]
-        return out + split_back(part, names, [len(a[0]) for a in asked], place + 1, seen)
+            has = place >= 0
+            seen[has], rank[has] = arrays[4][place[has]], arrays[5][place[has]].astype(np.int64) + 1
+        ends = np.cumsum([len(a[0]) for a in asked])
+        return out + [(part, 0, s, pack(narrow(rank[e - len(a[0]) : e]), narrow(seen[e - len(a[0]) : e]))) for s, e, a in zip(names, ends.tolist(), asked, strict=True)]
 
     return work
 
@@ -316,221 +302,235 @@ def answer_words(model: Model, training: bool):
 # ---------------------------------------------------------------- level 2
 
 
-def pair_parts(slice_: Slice, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the bigrams of known words, their parts, ids of the first, of the second word)."""
-    u, v = ids[slice_.first_of], ids[slice_.second_of]
+def pair_questions(own: Slice, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the bigrams of known words in the order of questions: by part, first and second id; their parts)."""
+    u, v = ids[own.first_of], ids[own.second_of]
     known = np.flatnonzero((u >= 0) & (v >= 0))
-    u, v = u[known], v[known]
-    return known, part_of_hash(mix(mix(u.astype(U)) + v.astype(U)), parts), u, v
+    part = part_of_hash(mix(mix(u[known].astype(U)) + v[known].astype(U)), parts)
+    order = np.lexsort((v[known], u[known], part))
+    return known[order], part[order]
 
 
 def ask_pairs(model: Model, folder: str, chunks: int):
     def work(name: str, _: list, parts: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
         own = Slice(folder, name)
-        own.pairs()
-        # parts are ranges of hashes in order, so the answers stand as the slice's words do
-        place, counts = column(answers, 0), column(answers, 1)
-        ids = np.where(place > 0, place - 1 + np.repeat(np.array(model.offsets)[parts], [len(a[0]) for a in answers]), -1)
-        known, part, u, v = pair_parts(own, ids, model.parts)
-        _, rows = dealt(part, u, v, own.pair_counts[known], counts[own.first_of[known]], counts[own.second_of[known]])
+        # parts are ranges of hashes in order, so the answers stand as the slice's sorted words do
+        rank, counts = column(answers, 0), column(answers, 1)
+        ids = np.where(rank > 0, (rank - 1) * model.parts + np.repeat(np.array(parts), [len(a[0]) for a in answers]), -1)[own.order]
+        counts = counts[own.order]
+        pairs, part = pair_questions(own, ids, model.parts)
+        u, v = own.first_of[pairs], own.second_of[pairs]
+        prior = model.code(model.log_one(counts[v]))
         chunk = chunk_of(name, chunks)
-        return message([(p, chunk, name, b) for p, b in rows] + [keep(model, name, narrow(ids + 1), narrow(counts))])
+        rows = [(p, chunk, name, pack(steps(ids[u[a:b]]), *map(narrow, (ids[v[a:b]], own.pair_counts[pairs[a:b]], counts[u[a:b]], prior[a:b])))) for p, a, b in runs(part)]
+        return message([*rows, keep(model, name, narrow(ids + 1), narrow(counts))])
 
     return work
 
 
 def answer_pairs(model: Model, training: bool):
-    """Writes the bigrams of a part; answers their places (0: unknown), relative numbers, bytes of log10 p and of the back-off, and counts of spread contexts."""
+    """Writes the bigrams of a part; answers which are seen, and of those their places, numbers among the
+    successors of a first word (of the first of these here; the others follow), bytes of log10 p and of the back-off, and counts of hot contexts."""
 
     def work(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
-        u, v, c, cu, cv = (column(asked, i) for i in range(5))
-        first, order, number = distinct(u, v)
+        u = summed_column(asked, 0)
+        v, c, cu, prior = (column(asked, i) for i in range(1, 5))
+        first, number = distinct(u, v)
         name, out, own = f"pairs-{part}", [], model
         if training:
             n = np.bincount(number, weights=c, minlength=len(first)).astype(np.int64)
-            seen = n > 0
-            f, n = first[seen], n[seen]
+            f, n = first[n > 0], n[n > 0]
             if len(f):
-                p1 = (cv[f] + 1) / (model.total + model.size + 1)
-                logs, book = coded(np.log10((n + MU2 * p1) / (cu[f] + MU2)))
-                backs, back_book = coded(np.log10(MU3 / (n + MU3)))
+                logs = model.code(np.log10((n + MU2 * 10.0 ** (-model.unit * prior[f])) / (cu[f] + MU2)))
                 hot = np.flatnonzero(n > model.hot)
-                own, size = put(model, name, *Level.of(u[f], v[f]), logs, book, backs, back_book, hot, n[hot])
+                own, size = put(model, name, *Level.of(u[f], v[f]), narrow(logs), narrow(model.code(np.log10(MU3 / (n + MU3)))), hot, n[hot])
                 out = [(-1, 0, "", note(name, size))]
-        arrays = own.open(name)
-        if arrays is None:
-            place = relative = logs = backs = np.zeros(len(u), np.int64)
-            books, hot_at, hot_n = np.zeros(4), np.empty(0, np.int64), np.empty(0, np.int64)
-        else:
-            level, (log2, book, back, back_book, hot, hot_count) = Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :]
+        place, relative, log, back = (np.full(len(first), x) for x in (-1, 0, 0, 0))
+        hot = hot_count = np.empty(0, np.int64)
+        if arrays := own.open(name):
+            level, (logs, backs, hot, hot_count) = Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :]
             rank = level.parents.find(u[first])
-            at = level.find(rank, v[first])
-            has = at >= 0
-            rel, lg, bk = (np.zeros(len(first), np.int64) for _ in range(3))
-            rel[has] = level.relative(rank[has], at[has])
-            lg[has], bk[has] = log2[at[has]], back[at[has]]
-            place, relative, logs, backs = (x[number] for x in (at + 1, rel, lg, bk))
-            books = np.concatenate([book, back_book])
-            spot = np.searchsorted(hot, at[number])
-            hot_at = np.flatnonzero((place > 0) & (np.append(hot, -1)[spot] == at[number]))
-            hot_n = hot_count[spot[hot_at]]
-        ends = np.cumsum([len(a[0]) for a in asked])
-        for s, e, a in zip(names, ends.tolist(), asked, strict=True):
-            b = e - len(a[0])
-            x, y = np.searchsorted(hot_at, (b, e))
-            out.append((part, 0, s, pack(*(narrow(z[b:e]) for z in (place, relative, logs, backs)), books, narrow(hot_at[x:y] - b), narrow(hot_n[x:y]))))
+            place = level.find(rank, v[first])
+            has = place >= 0
+            relative[has], log[has], back[has] = level.relative(rank[has], place[has]), logs[place[has]], backs[place[has]]
+        e = 0
+        for s, a in zip(names, asked, strict=True):
+            b, e = e, e + len(a[0])
+            own_place = place[number[b:e]]
+            seen = own_place >= 0
+            at = number[b:e][seen]
+            word = u[b:e][seen]
+            lead = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+            spot = np.searchsorted(hot, place[at])
+            is_hot = np.flatnonzero(np.append(hot, -1)[spot] == place[at])
+            out.append((part, 0, s, pack(seen.view(np.uint8), steps(place[at]), *map(narrow, (np.where(lead, relative[at], 0), log[at], back[at], is_hot, hot_count[spot[is_hot]])))))
         return out
 
     return work
 
 
+def keep_pairs(model: Model, folder: str):
+    """What a slice knows about its words and bigrams goes to a file of the slice; only its name goes on."""
+
+    def work(name: str, kept: list[np.ndarray], parts: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        ends = np.array([len(a) for x in answers for a in x], np.int64)
+        flat = [a for x in answers for a in x]
+        put_file(f"{folder}/{name}-pairs", pack(*kept, narrow(np.array(parts, np.int64)), narrow(ends), *flat))
+        return message([(-1, 0, name, b"")])
+
+    return work
+
+
 # ---------------------------------------------------------------- level 3
 
 
-def triple_parts(model: Model, place: np.ndarray, part: np.ndarray, child: np.ndarray, context: np.ndarray, times: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, parent, count of the context if it is hot, else 0) of trigrams: in their context's part, or dealt over further parts if that is hot."""
-    where, parent, spread = part[context], place[context], np.zeros(len(context), np.int64)
-    if times:
-        keys = np.array(sorted(times))
-        spot = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-        hot = keys[spot] == context
-        spread[hot] = np.array([times[k] for k in keys.tolist()])[spot[hot]]
-        parent[hot] |= where[hot] << _PLACE
-        where[hot] = model.parts + part_of_hash(mix(mix(parent[hot].astype(U)) + child[hot].astype(U)), model.parts)
-    return where, parent, spread
-
-
-def read_pairs(model: Model, own: Slice, ids: np.ndarray, answers: list[list[np.ndarray]]):
-    """(place, part, child number, log10 p, log10 back-off) of each of the slice's bigrams, place -1 for those not seen, and counts of hot ones."""
-    known, where, _, _ = pair_parts(own, ids, model.parts)
-    order, part = np.argsort(where, kind="stable"), np.zeros(len(own.first_of), np.int64)
-    part[known] = where
-    at = known[order]
-    place, child = np.full(len(part), -1), np.zeros(len(part), np.int64)
-    log, back = np.zeros(len(part)), np.zeros(len(part))
-    place[at] = column(answers, 0) - 1
-    child[at] = column(answers, 1) * model.parts + part[at]
-    if answers:
-        log[at] = np.concatenate([decoded(a[2], a[4][:2]) for a in answers])
-        back[at] = np.concatenate([decoded(a[3], a[4][2:]) for a in answers])
-    times, b = {}, 0
-    for a in answers:
-        times |= dict(zip(at[b + a[5].astype(np.int64)].tolist(), a[6].tolist(), strict=True))
-        b += len(a[0])
-    return place, part, child, log, np.where(place >= 0, back, 0.0), times
-
-
-def ask_triples(model: Model, folder: str, chunks: int):
-    def work(name: str, kept: list[np.ndarray], _: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
-        own = Slice(folder, name)
-        own.pairs()
+class Questions:
+    """All that a slice knows before it asks for trigrams, and the questions in their order; the same whenever it is made."""
+
+    def __init__(self, model: Model, folder: str, name: str) -> None:
+        self.own = own = Slice(folder, name)
         own.triples()
-        ids, counts = kept[0].astype(np.int64) - 1, kept[1].astype(np.int64)
-        place, part, child, log, back, times = read_pairs(model, own, ids, answers)
-        one = np.log10((counts + 1) / (model.total + model.size + 1))
-        two = np.where(place >= 0, log, np.log10(MU2 / (counts[own.first_of] + MU2)) + one[own.second_of])
-        fall = back[own.context] + two[own.suffix]
-        asked = (place[own.context] >= 0) & (place[own.suffix] >= 0)
-        # sums by text of what is known here
-        each = np.zeros(len(own.local))
-        each[own.first] = one[own.local[own.first]]
-        second = own.first[own.n > 1]
-        each[second + 1] = two[own.pair[second]]
-        each[own.thirds] = np.where(asked, 0.0, fall)[own.triple]
-        texts = len(own.n)
-        sums = [np.bincount(own.text, weights=x, minlength=texts) for x in (each, one[own.local], counts[own.local] > 0)]
-        x, y = own.context[asked], own.suffix[asked]
-        where, parent, spread = triple_parts(model, place, part, child[y], x, times)
-        _, rows = dealt(where, parent, child[y], np.rint(fall[asked] * -FINE).astype(np.int64), own.triple_counts[asked], spread)
-        hot = np.flatnonzero(spread)
-        chunk = chunk_of(name, chunks)
-        kept_on = keep(model, name, sums[0], sums[1], narrow(sums[2].astype(np.int64)), np.packbits(asked), kept[0], narrow(hot), narrow(where[hot]))
-        return message([(p, chunk, name, b) for p, b in rows] + [kept_on])
+        ids, counts, parts, _, *flat = unpack(opened(folder, f"{name}-pairs").tobytes())
+        ids, self.counts, answers = ids.astype(np.int64) - 1, counts.astype(np.int64), [flat[i : i + 7] for i in range(0, len(flat), 7)]
+        pairs, where = pair_questions(own, ids, model.parts)
+        seen = column(answers, 0, bool)
+        at, part = pairs[seen], where[seen]
+        place, relative = summed_column(answers, 1), column(answers, 2)
+        if len(at):
+            word = own.first_of[at]
+            lead = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])]))
+            relative = place - np.repeat(place[lead] - relative[lead], np.diff(np.append(lead, len(at))))
+        many = len(own.first_of)
+        self.place, self.part, child, self.code, self.back = np.full(many, -1), *(np.zeros(many, np.int64) for _ in range(4))
+        self.place[at], self.part[at], child[at], self.code[at], self.back[at] = place, part, relative * model.parts + part, column(answers, 3), column(answers, 4)
+        times, b = np.zeros(many, np.int64), 0
+        for a in answers:
+            times[at[b + a[5].astype(np.int64)]] = a[6]
+            b += len(a[1])
+        asked = np.flatnonzero((self.place[own.context] >= 0) & (self.place[own.suffix] >= 0))
+        x = own.context[asked]
+        parent, child, times, part = self.place[x], child[own.suffix[asked]], times[x], self.part[x]
+        hot = np.flatnonzero(times)  # contexts that are dealt over further parts
+        parent[hot] |= part[hot] << _PLACE
+        part[hot] = model.parts + part_of_hash(mix(mix(parent[hot].astype(U)) + child[hot].astype(U)), model.parts)
+        order = np.lexsort((parent, part))
+        self.asked, self.to, self.parent, self.child, self.times = asked[order], part[order], parent[order], child[order], times[order]
+
+
+def ask_triples(model: Model, folder: str, chunks: int, listed: DataFrame) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for name in batch.column(0).to_pylist():
+                q, chunk = Questions(model, folder, name), chunk_of(name, chunks)
+                count, code = q.own.triple_counts[q.asked], q.code[q.own.suffix[q.asked]]
+                rows = [(p, chunk, name, pack(steps(q.parent[a:b]), *map(narrow, (q.child[a:b], code[a:b], count[a:b], q.times[a:b])))) for p, a, b in runs(q.to)]
+                yield from message([*rows, keep(model, name)]).to_batches()
 
-    return work
+    return listed.select("slice").mapInArrow(run, ASK)
 
 
 def answer_triples(model: Model, training: bool, answers: bool):
-    """Writes the trigrams of a part, and answers log10 p of what is asked: of the trigram, or of the shorter context where it is not seen."""
+    """Writes the trigrams of a part, and answers log10 p in units: of the trigram, or of the shorter context where it is not seen."""
 
     def work(part: int, names: list[str], asked: list[list[np.ndarray]]) -> Rows:
-        parent, child, fall, c, spread = (column(asked, i) for i in range(5))
-        first, _, number = distinct(parent, child)
+        parent = summed_column(asked, 0)
+        child, code, c, times = (column(asked, i) for i in range(1, 5))
+        first, number = distinct(parent, child)
         name, out, own = f"triples-{part}", [], model
         if training:
             n = np.bincount(number, weights=c, minlength=len(first)).astype(np.int64)
-            seen = n > 0
-            f, n = first[seen], n[seen]
+            f, n = first[n > 0], n[n > 0]
             if len(f):
                 begin = np.flatnonzero(np.concatenate([[True], parent[f][1:] != parent[f][:-1]]))
                 whole = np.repeat(np.add.reduceat(n, begin), np.diff(np.append(begin, len(f))))
-                whole = np.where(spread[f] > 0, spread[f], whole)
-                p = n / (whole + MU3) + 10.0 ** (fall[f] / -FINE)
-                own, size = put(model, name, *Level.of(parent[f], child[f]), *coded(np.log10(np.minimum(p, 1.0))))
+                whole = np.where(times[f] > 0, times[f], whole)
+                p = (n + MU3 * 10.0 ** (-model.unit * code[f])) / (whole + MU3)
+                own, size = put(model, name, *Level.of(parent[f], child[f]), narrow(model.code(np.log10(np.minimum(p, 1.0)))))
                 out = [(-1, 0, "", note(name, size))]
         if not answers:
             return out
-        value = fall.copy()
+        value = np.full(len(first), -1)
         if arrays := own.open(name):
-            level, (codes, book) = Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :]
-            at = level.find(level.parents.find(parent[first]), child[first])
-            log = np.where(at >= 0, np.rint(decoded(codes[np.maximum(at, 0)], book) * -FINE).astype(np.int64), -1)[number]
-            value = np.where(log >= 0, log, fall)
-        return out + split_back(part, names, [len(a[0]) for a in asked], value)
+            level = Level(arrays[: Level.ARRAYS])
+            place = level.find(level.parents.find(parent[first]), child[first])
+            value[place >= 0] = arrays[Level.ARRAYS][place[place >= 0]]
+        value = value[number]
+        rest = np.flatnonzero(value < 0)
+        if len(rest):
+            if part < model.parts:
+                # level 2 of this part has the back-offs; a training run has just written it
+                size = model.files.get(f"pairs-{part}")
+                data = load(mapped(f"{model.folder}/pairs-{part}")) if size is None else model.open(f"pairs-{part}")
+                back = data[Level.ARRAYS + 1][parent[rest]].astype(np.int64)
+            else:
+                back = model.code(np.log10(MU3 / (times[rest] + MU3)))
+            value[rest] = back + code[rest]
+        e = 0
+        for s, a in zip(names, asked, strict=True):
+            b, e = e, e + len(a[0])
+            out.append((part, 0, s, pack(narrow(value[b:e]))))
+        return out
 
     return work
 
 
-# ---------------------------------------------------------------- training and scores
-
-
 def answered(model: Model, folder: str, kept_names: list[str]):
     """The rows of a slice with their scores, from the answers about its trigrams."""
 
-    def work(name: str, kept: list[np.ndarray], _: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
-        own = Slice(folder, name, with_rows=True)
-        own.pairs()
-        own.triples()
-        sums, base, known, bits, ids, hot, hot_part = kept
-        asked = np.unpackbits(bits, count=len(own.context)).astype(bool)
-        pairs, where, _, _ = pair_parts(own, ids.astype(np.int64) - 1, model.parts)
-        part = np.zeros(len(own.first_of), np.int64)
-        part[pairs] = where
-        part = part[own.context[asked]]
-        part[hot] = hot_part
-        value, log = np.empty(len(part)), np.zeros(len(asked))
-        value[np.argsort(part, kind="stable")] = column(answers, 0)
-        log[asked] = value / -FINE
-        score = sums + np.bincount(own.text[own.thirds], weights=log[own.triple], minlength=len(own.n))
+    def work(name: str, _: list, __: list[int], answers: list[list[np.ndarray]]) -> pa.Table:
+        q = Questions(model, folder, name)
+        own, one = q.own, model.log_one(q.counts)
+        two = np.where(q.place >= 0, -model.unit * q.code, np.log10(MU2 / (q.counts[own.first_of] + MU2)) + one[own.second_of])
+        three = np.where(q.place >= 0, -model.unit * q.back, 0.0)[own.context] + two[own.suffix]
+        three[q.asked] = -model.unit * column(answers, 0)
+        each = np.zeros(len(own.local))
+        each[own.first] = one[own.local[own.first]]
+        second = own.first[own.n > 1]
+        each[second + 1] = two[own.pair[second]]
+        each[own.thirds] = three[own.triple]
+        score, base, known = (np.bincount(own.text, weights=x, minlength=len(own.n)) for x in (each, one[own.local], q.counts[own.local] > 0))
+        rows = pa.ipc.open_stream(pa.py_buffer(opened(folder, f"{name}-rows").tobytes())).read_all()
         made = [pa.array(own.n, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-        return pa.table([*own.rows.columns, *made], names=[*kept_names, "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([*rows.columns, *made], names=[*kept_names, "n_tokens", "n_known", "base_score", "score"])
 
     return work
 
 
+# ---------------------------------------------------------------- training and scores
+
+
 def exchange(docs: DataFrame, model: Model | None, answers: bool, share: int = SHARE) -> tuple[Model, DataFrame | None]:
     """Trains on the rows of docs (..., text, _train) that _train marks, unless there is a model; then scores all rows if asked to."""
     spark, training = docs.sparkSession, model is None
     folder = fresh_dir(spark, "ngrams")
-    listed = written(cut(docs, folder), "ngram-slices")
-    tokens = listed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    listed = kept_in(cut(docs, folder), f"{folder}/listed")
+    many, tokens = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     model = model or Model(folder, max(16, -(-tokens // share)), share=share)
     chunks = 1 if training else max(1, -(-tokens // (model.share * model.parts)))
-    found = written(at_parts(ask_words(listed, model.parts, chunks), answer_words(model, training)), "ngram-words")
+    found = kept_in(at_parts(ask_words(listed, model.parts, chunks), answer_words(model, training)), f"{folder}/words")
+    if training:
+        model = noticed(model, found)
+    discard(f"{folder}/listed")
+    asked = at_slices(found.filter("slice <> ''"), ask_pairs(model, folder, chunks))
+    ready = kept_in(at_slices(at_parts(asked, answer_pairs(model, training)), keep_pairs(model, folder)), f"{folder}/ready")
     if training:
-        notes = {name: numbers for name, numbers in (noted(bytes(r["blob"])) for r in found.filter("slice = ''").collect())}
-        sizes = [notes.get(f"words-{p}", [0, 0, 0])[1] for p in range(model.parts)]
-        model = replace(model, offsets=tuple(int(x) for x in np.concatenate([[0], np.cumsum(sizes)])), total=sum(n[2] for n in notes.values()), files={k: n[0] for k, n in notes.items()})
-    pairs = at_parts(at_slices(found.filter("slice <> ''"), ask_pairs(model, folder, chunks)), answer_pairs(model, training))
-    triples = written(at_parts(at_slices(pairs, ask_triples(model, folder, chunks)), answer_triples(model, training, answers)), "ngram-scores")
+        model = noticed(model, ready)
+    discard(f"{folder}/words")
+    names = ready.filter("slice <> ''").repartition(max(1, many), "slice")
+    scores = kept_in(at_parts(ask_triples(model, folder, chunks, names), answer_triples(model, training, answers)), f"{folder}/scores")
     if training:
-        # three numbers for each file of the model
-        model = replace(model, files=model.files | {name: numbers[0] for name, numbers in (noted(bytes(r["blob"])) for r in triples.filter("slice = ''").collect())})
+        model = noticed(model, scores)
     if not answers:
         return model, None
     kept = [f for f in docs.schema.fields if f.name not in ("text", "_train")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, n_known long, base_score double, score double"])
-    return model, at_slices(triples.filter("slice <> ''"), answered(model, folder, [f.name for f in kept]), schema)
+    return model, at_slices(scores.filter("slice <> ''"), answered(model, folder, [f.name for f in kept]), schema)
+
+
+def noticed(model: Model, messages: DataFrame) -> Model:
+    """The model with the files that the parts have noted: three numbers for each."""
+    notes = {name: numbers for name, numbers in (noted(bytes(r["blob"])) for r in messages.filter("slice = ''").select("blob").collect())}
+    return replace(model, size=model.size + sum(n[1] for n in notes.values()), total=model.total + sum(n[2] for n in notes.values()), files=model.files | {k: n[0] for k, n in notes.items()})
 
 
 RESULT = ["n_tokens", "n_known", "base_score", "score"]
@@ -539,7 +539,8 @@ RESULT = ["n_tokens", "n_known", "base_score", "score"]
 def train_model(texts: DataFrame, share: int = SHARE) -> Model:
     """A model of all rows of `text` (null: empty), in a new folder of the shared folder.
 
-    Every trigram counts; share: n-grams of the texts that a part is meant to get. An empty table gives a model without words, for which every token is unknown.
+    Every trigram counts; share: n-grams of the texts that a part is meant to get. An empty table
+    gives a model without words, for which every token is unknown.
     """
     return exchange(texts.select("text", F.lit(True).alias("_train")), None, False, share)[0]
 
@@ -557,8 +558,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def train_and_score(docs: DataFrame, train) -> tuple[Model, DataFrame]:
     """train_model() on the rows where the condition `train` holds (null: not), and score() of all rows, in one exchange."""
-    flag = F.coalesce(train, F.lit(False))
-    return exchange(docs.drop(*RESULT, "_train").withColumn("_train", flag), None, True)
+    return exchange(docs.drop(*RESULT, "_train").withColumn("_train", F.coalesce(train, F.lit(False))), None, True)
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,21 @@ def resolve_references(patents: DataFrame) -> DataFrame:
 
 
 def split_references(patents: DataFrame) -> DataFrame:
-    """(patent_id, internal, external): references in the table and outside, sorted."""
+    """(patent_id, internal, external): keys of references to other patents of the table, and of all the rest, sorted."""
     r = resolve_references(patents)
-    return r.groupBy("patent_id").agg(F.array_sort(F.collect_set("cited")).alias("internal"), F.array_sort(F.collect_set(F.when(F.col("cited").isNull(), F.col("reference")))).alias("external"))
+    return r.groupBy("patent_id").agg(F.array_sort(F.collect_set(F.when(F.col("cited").isNotNull(), F.col("key")))).alias("internal"), F.array_sort(F.collect_set(F.when(F.col("cited").isNull(), F.col("key")))).alias("external"))
+
+
+def with_references(patents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patents, citations): `references` keeps what is in the table, `external_references` gets the rest (null where there is none); citations are (from_patent, to_patent).
+
+    Numbers belong to the first patent of the table that has them; a patent does not cite itself.
+    """
+    found = split_references(patents)
+    filled = lambda c: F.when(F.size(c) > 0, F.col(c))
+    split = patents.drop("references", "external_references").join(found, "patent_id", "left").withColumn("references", filled("internal")).withColumn("external_references", filled("external")).drop("internal", "external")
+    cited = resolve_references(patents).filter(F.col("cited").isNotNull()).select(F.col("patent_id").alias("from_patent"), F.col("cited").alias("to_patent")).distinct()
+    return split, cited
 
 
 def clean(citations: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.components import components
 from quillgraph.operators.metrics import with_association
+from quillgraph.shared import kept
 
 
 def louvain(edges: list[tuple[str, str, float]], nodes: list[str], total: float | None = None, resolution: float = 1.0) -> dict[str, str]:
@@ -83,15 +84,24 @@ def _folded(links, loops, members, home):
     return new_links, new_loops, new_members
 
 
-def detect(concepts: DataFrame, edges: DataFrame, mode: str = "association", resolution: float = 1.0) -> DataFrame:
+#: Edges of a connected component that one task may get; a larger component is an error.
+MOST_EDGES = 20_000_000
+
+
+def detect(concepts: DataFrame, edges: DataFrame, mode: str = "association", resolution: float = 1.0, most_edges: int = MOST_EDGES) -> DataFrame:
     """(concept, community_id) of all concepts, from edges (a, b, support); isolated concepts are communities by themselves.
 
     mode `association`: the weight is each edge's association strength over these edges; `support`: the support.
+    A component is optimised by one task, in memory; one of more than most_edges edges raises an error.
     """
+    edges = kept(edges.select("a", "b", "support"), "community-edges")
     weighted = with_association(edges.select("a", "b", "support"), "support", "w") if mode == "association" else edges.select("a", "b", F.col("support").cast("double").alias("w"))
     weighted = weighted.select("a", "b", F.coalesce("w", F.lit(0.0)).alias("w"))
-    comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    comp = kept(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "community-components")
     total = weighted.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
+    sizes = edges.join(comp, edges["a"] == comp["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    if (largest := sizes.agg(F.max("n")).first()[0] or 0) > most_edges:
+        raise ValueError(f"a connected component has {largest} edges, more than {most_edges}")
     grouped = weighted.join(comp, weighted["a"] == comp["node"]).select("component", "a", "b", "w").crossJoin(F.broadcast(total))
 
     def run(_: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

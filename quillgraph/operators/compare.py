@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: colours, node shapes and edge dashes of the difference view by membership
-DIFF_COLOURS = {"a": "#2563EB", "b": "#F97316", "shared": "#64748B", "unique": "#F97316", "partial": "#8B5CF6"}
+DIFF_COLOURS = {"a": "#2563eb", "b": "#059669", "unique": "#f59e0b", "partial": "#8b5cf6", "shared": "#dc2626"}
+DIFF_SHAPES = {"a": "triangle", "b": "square", "unique": "triangle", "partial": "square", "shared": "dot"}
+DIFF_DASHES = {"a": "8,4", "b": "2,4", "unique": "8,4", "partial": "2,4", "shared": ""}
 
 
 def tagged(views: list[DataFrame], column: str = "id") -> DataFrame:
@@ -25,8 +27,28 @@ def membership(ids: DataFrame, panels: int) -> DataFrame:
 
 
 def coloured(members: DataFrame) -> DataFrame:
-    lookup = F.create_map(*[F.lit(x) for kv in DIFF_COLOURS.items() for x in kv])
-    return members.withColumn("colour", lookup[F.col("membership")])
+    """Adds colour, shape (of a node) and dashes (of an edge; empty: a full line) by membership."""
+    for name, values in (("colour", DIFF_COLOURS), ("shape", DIFF_SHAPES), ("dashes", DIFF_DASHES)):
+        members = members.withColumn(name, F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("membership")])
+    return members
+
+
+def difference(nodes: list[DataFrame], edges: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the difference view: rows by id over all panels, the first panel's where several have it, with panels, membership, colour, shape and dashes.
+
+    Each frame has an `id`. Panels without rows count: a thing in every other panel is then not shared.
+    """
+    out = []
+    for frames in (nodes, edges):
+        marked = coloured(membership(tagged(frames), len(frames)))
+        names = [c for c in frames[0].columns if c not in ("colour", "shape", "dashes", "panels", "membership")]
+        out.append(union_first([f.select(*[c for c in names if c in f.columns]) for f in frames]).join(marked, "id"))
+    return out[0], out[1]
+
+
+def first_by_id(edges: DataFrame, order: str, key: str = "id") -> DataFrame:
+    """The first edge of each id by `order`; later ones are repeats."""
+    return edges.groupBy(key).agg(F.min_by(F.struct(*[c for c in edges.columns if c != key]), order).alias("_r")).select(key, "_r.*").select(*edges.columns)
 
 
 def overlap(ids: DataFrame, panels: int) -> DataFrame:

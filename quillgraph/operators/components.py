@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.shared import checkpointed
+from quillgraph.shared import discard, fresh_dir, kept_in
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,15 +31,18 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
     """(node, component) of all nodes of the links (u, v); component: the smallest node reachable.
 
     Self-links give a node by itself, rows with a null end are left out, an empty table gives no
-    rows. Each pass combines minima before its shuffles and ends in a checkpoint, so the lineage
-    stays short and no component is ever gathered in one place. A star that does not settle within
-    `most` passes raises an error.
+    rows. Each pass combines minima before its shuffles and is written to the shared folder, so the
+    lineage stays short and no component is ever gathered in one place; the pass before is deleted.
+    A star that does not settle within `most` passes raises an error.
     """
-    known = links.filter(F.col("u").isNotNull() & F.col("v").isNotNull())
-    edges = checkpointed(known.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    spark = links.sparkSession
+    folder = fresh_dir(spark, "components")
+    known = kept_in(links.select("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull()), f"{folder}/links")
+    edges = kept_in(known.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/0")
     before = _mark(edges)
-    for _ in range(most if before[0] else 0):
-        edges = checkpointed(_small_star(_large_star(edges)))
+    for i in range(most if before[0] else 0):
+        edges = kept_in(_small_star(_large_star(edges)), f"{folder}/{i + 1}")
+        discard(f"{folder}/{i}")
         now = _mark(edges)
         if now == before:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import numeric as N
 from quillgraph.operators import network
+from quillgraph.shared import kept
 
 
 def incident_sums(edges: DataFrame, support: str) -> DataFrame:
@@ -28,25 +29,27 @@ def with_association(edges: DataFrame, support: str, name: str) -> DataFrame:
     return out.withColumn(name, N.association(F.col("_all"), F.col(support), F.col("_ca"), F.col("_cb"))).drop("_ca", "_cb", "_all")
 
 
-def unit_metrics(membership: DataFrame, ownership: DataFrame, total_patents: int | None = None, total_applicants: int | None = None) -> DataFrame:
+def unit_metrics(membership: DataFrame, ownership: DataFrame, total_patents: DataFrame | int | None = None, total_applicants: DataFrame | int | None = None, held: DataFrame | None = None) -> DataFrame:
     """Concept pairs with support, Jaccard, NPMI and association strength in patents and in applicants.
 
-    Pairs are those that share a patent. total_patents and total_applicants are the denominators of
-    the NPMI: a stored graph counts all patents and applicants, a filtered view its cohort and only
-    applicants that hold a concept (the default here). Thresholds come after this, never before.
+    Pairs are those that share a patent. total_patents and total_applicants, numbers or frames of one, are
+    the denominators of the NPMI: a stored graph counts all patents and applicants, a filtered view its
+    cohort and only applicants that hold a concept (the default here). Thresholds come after this, never before.
+
+    The memberships, what applicants hold and the pairs are read several times and written once each;
+    held: the applicants' concepts, if membership and they are written already.
     """
+    if held is None:
+        membership = kept(membership, "membership")
+        held = kept(network.applicant_concepts(membership, ownership), "held")
     edges = network.cooccurrence(membership)
-    held = network.applicant_concepts(membership, ownership)
     holders = network.concept_applicants(held)
     shared = network.pairs_by_join(held, "applicant", "concept").withColumnRenamed("support", "support_applicants")
     na, nb = (holders.select(F.col("concept").alias(c), F.col("applicant_count").alias(f"applicants_{c}")) for c in ("a", "b"))
     edges = edges.join(shared, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left").na.fill(0, ["support_applicants", "applicants_a", "applicants_b"])
-    totals = membership.agg(F.count_distinct("patent_id").alias("_np")).crossJoin(held.agg(F.count_distinct("applicant").alias("_na")))
-    if total_patents is not None:
-        totals = totals.withColumn("_np", F.lit(total_patents))
-    if total_applicants is not None:
-        totals = totals.withColumn("_na", F.lit(total_applicants))
-    edges = edges.crossJoin(F.broadcast(totals))
+    for name, given, counted in (("_np", total_patents, membership.agg(F.count_distinct("patent_id"))), ("_na", total_applicants, held.agg(F.count_distinct("applicant")))):
+        # one row each
+        edges = edges.withColumn(name, F.lit(given)) if isinstance(given, int) else edges.crossJoin(F.broadcast((counted if given is None else given).toDF(name)))
 
     def share(n: str, of: str):
         return F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(F.lit(0.0))
@@ -57,8 +60,16 @@ def unit_metrics(membership: DataFrame, ownership: DataFrame, total_patents: int
         N.npmi(share("support", "_np"), share("frequency_a", "_np"), share("frequency_b", "_np")).alias("npmi"),
         N.npmi(share("support_applicants", "_na"), share("applicants_a", "_na"), share("applicants_b", "_na")).alias("npmi_applicants"),
     )
-    edges = with_association(edges, "support", "association_strength")
-    return with_association(edges, "support_applicants", "association_strength_applicants")
+    edges = kept(edges, "pairs")
+    # both sums of each concept's edges at once; all edges' sum is half of theirs
+    ends = edges.select(F.explode(F.array("a", "b")).alias("concept"), "support", "support_applicants")
+    sums = kept(ends.groupBy("concept").agg(F.sum("support").alias("_s"), F.sum("support_applicants").alias("_t")), "sums")
+    total = sums.agg((F.coalesce(F.sum("_s"), F.lit(0)) / 2).cast("long").alias("_ss"), (F.coalesce(F.sum("_t"), F.lit(0)) / 2).cast("long").alias("_tt"))
+    ca, cb = (sums.select(F.col("concept").alias(c), F.col("_s").alias(f"_s{c}"), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
+    out = edges.join(ca, "a").join(cb, "b").crossJoin(F.broadcast(total))
+    out = out.withColumn("association_strength", N.association(F.col("_ss"), F.col("support"), F.col("_sa"), F.col("_sb")))
+    out = out.withColumn("association_strength_applicants", N.association(F.col("_tt"), F.col("support_applicants"), F.col("_ta"), F.col("_tb")))
+    return out.select(*edges.columns, "association_strength", "association_strength_applicants")
 
 
 def node_degrees(edges: DataFrame, weight: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def sample(patents: DataFrame, sources: list[str], cap: int, seed: int = 0) -> D
     """
     many = len(dict.fromkeys(s for s in sources if s)) > 1
     s = stratum(sources) if many else F.lit(sources[0] if sources else None).cast("string")
-    rank = F.row_number().over(Window.partitionBy("source_file").orderBy(F.xxhash64("patent_id", F.lit(seed)), "patent_id"))
+    rank = F.row_number().over(Window.partitionBy("source_file").orderBy(F.md5(F.concat_ws(":", F.col("patent_id").cast("string"), F.lit(str(seed)))), "patent_id"))
     return patents.withColumn("source_file", s).withColumn("_r", rank).filter(F.col("_r") <= max(0, cap)).drop("_r")
 
 

@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import matches_keyword
+from quillgraph.shared import kept
 
 MOST_HOPS = 3
 
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(id, hop) of nodes within `hops` of the seeds (id); edges (from, to) of any kind, both ways. Hops are unrolled joins."""
+    """(id, hop) of nodes within `hops` of the seeds (id); edges (from, to) of any kind, both ways.
+
+    The adjacency and each hop are written once, so a hop's plan does not repeat the ones before.
+    """
     if not 0 <= hops <= MOST_HOPS:
         raise ValueError(f"hops must be 0..{MOST_HOPS}")
     both = edges.select(F.col("from").alias("id"), F.col("to").alias("next")).union(edges.select(F.col("to").alias("id"), F.col("from").alias("next"))).distinct()
     found = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    edge_of = found
+    if not hops:
+        return found
+    both = kept(both, "adjacency")
+    found = edge_of = kept(found, "hop")
     for h in range(1, hops + 1):
         nxt = edge_of.join(both, "id").select(F.col("next").alias("id")).distinct().join(found, "id", "left_anti").withColumn("hop", F.lit(h))
+        nxt = kept(nxt, "hop") if h < hops else nxt
         found, edge_of = found.union(nxt), nxt
     return found
 
@@ -59,6 +67,12 @@ def neighbours(edges: DataFrame, centre) -> DataFrame:
     return touching.select(F.when(ahead, F.col("to")).otherwise(F.col("from")).alias("neighbour"), "jaccard", "support").orderBy(F.desc_nulls_last("jaccard"), F.desc_nulls_last("support"), "neighbour")
 
 
+def adjacent(nodes: DataFrame, edges: DataFrame, centre, most: int = 12, order: str = "id") -> DataFrame:
+    """The first `most` nodes, in the nodes' order, that share an edge with the centre."""
+    near = neighbours(edges.select("from", "to", F.lit(None).cast("double").alias("jaccard"), F.lit(None).cast("long").alias("support")), centre).select(F.col("neighbour").alias("id")).distinct()
+    return nodes.join(near, "id", "left_semi").orderBy(order).limit(most)
+
+
 def metrics(edges: DataFrame, centre) -> DataFrame:
     """One row: direct edges and distinct neighbours."""
     return neighbours(edges, centre).agg(F.count(F.lit(1)).alias("direct_edges"), F.count_distinct("neighbour").alias("direct_neighbours"))

@@ -82,42 +82,51 @@ def cumulative_first_years(stats: DataFrame) -> DataFrame:
     return per_year.select(F.col("first_year").alias("year"), F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("first_year")).alias("concepts"))
 
 
-def break_cycles(edges: list[dict]) -> tuple[list[dict], list[dict]]:
+def break_cycles(edges: list[dict], most: int = 1_000_000) -> tuple[list[dict], list[dict]]:
     """(kept, demoted) directed edges of an imported graph: of each cycle found, the edge with the least support goes, then the least |delta|, then the smallest id.
 
-    Graphs made here point from earlier to later medians and have no cycle; this repairs old
-    payloads, which are documents of bounded size, on the driver.
+    Cycles are met depth first, in the order of the edges. Graphs made here point from earlier to later
+    medians and have no cycle; this repairs old payloads, documents of at most `most` edges, on the driver.
     """
-    kept = {e["edge_id"]: e for e in edges}
+    if len(edges) > most:
+        raise ValueError(f"more than {most} edges")
+    left = {e["edge_id"]: e for e in edges}
     demoted = []
-    while (cycle := _cycle(list(kept.values()))) is not None:
+    while cycle := _cycle(list(left.values())):
         worst = min(cycle, key=lambda e: (e["support"], abs(e["delta_median"]), e["edge_id"]))
-        demoted.append(kept.pop(worst["edge_id"]))
-    return list(kept.values()), demoted
+        demoted.append(left.pop(worst["edge_id"]))
+    return list(left.values()), demoted
 
 
-def _cycle(edges: list[dict]) -> list[dict] | None:
-    """The edges of some directed cycle, by peeling off nodes without predecessors and walking back from what is left."""
-    into: dict = {}
+def _cycle(edges: list[dict]) -> list[dict]:
+    """The first cycle that a walk along the edges closes; empty if there is none."""
     out: dict = {}
-    for e in sorted(edges, key=lambda e: e["edge_id"]):
-        into.setdefault(e["target"], []).append(e)
+    for e in edges:
         out.setdefault(e["source"], []).append(e)
-    left = {n: len(into.get(n, [])) for n in {*into, *out}}
-    free = [n for n, k in left.items() if not k]
-    while free:
-        n = free.pop()
-        del left[n]
-        for e in out.get(n, []):
-            left[e["target"]] -= 1
-            if not left[e["target"]]:
-                free.append(e["target"])
-    if not left:
-        return None
-    at, path, seen = min(left), [], {}
-    while at not in seen:
-        seen[at] = len(path)
-        e = next(e for e in into[at] if e["source"] in left)
-        path.append(e)
-        at = e["source"]
-    return path[seen[at] :]
+    done: set = set()
+    for start in out:
+        if start in done:
+            continue
+        path, depth, turns = [], {start: 0}, [iter(out[start])]  # the walk's edges, nodes on it with their depth, edges still to try
+        while turns:
+            e = next(turns[-1], None)
+            if e is None:
+                turns.pop()
+                node = path.pop()["target"] if path else start
+                depth.pop(node, None)
+                done.add(node)
+            elif e["target"] in depth:
+                return [*path[depth[e["target"]] :], e]
+            elif e["target"] not in done:
+                path.append(e)
+                depth[e["target"]] = len(path)
+                turns.append(iter(out.get(e["target"], [])))
+    return []
+
+
+def legacy_cycles(edges: DataFrame, medians: DataFrame, order: str = "id") -> list[dict]:
+    """Edges of an imported graph (id, kind, from, to, support_count, temporal_directed) to show without direction, by break_cycles() over the directed co-occurrence edges; medians: (id, median_year)."""
+    at = lambda end: medians.select(F.col("id").alias(end), F.coalesce("median_year", F.lit(0.0)).alias(f"_{end}"))
+    own = edges.filter((F.col("kind") == "cooccurrence") & F.col("temporal_directed")).join(at("from"), "from", "left").join(at("to"), "to", "left")
+    rows = own.orderBy(order).select("id", "from", "to", F.coalesce("support_count", F.lit(0)).alias("s"), (F.coalesce("_to", F.lit(0.0)) - F.coalesce("_from", F.lit(0.0))).alias("d")).collect()
+    return break_cycles([{"edge_id": r["id"], "source": r["from"], "target": r["to"], "support": r["s"], "delta_median": r["d"]} for r in rows])[1]

@@ -9,6 +9,7 @@ MODES = ("concept", "context", "institution")
 UNITS = ("patent", "applicant")
 COLOUR_MODES = ("community", "community_applicants", "first_year", "source", "ipc")
 EDGE_WEIGHTS = ("jaccard", "npmi")
+COMPARE_VIEWS = ("difference", "side-by-side")
 MOST_PANELS = 6
 
 
@@ -29,12 +30,16 @@ class ViewOptions:
     show_citations: bool = False
     temporal_reference: str = "active"
     panels: tuple[tuple[str, ...], ...] = ()
+    compare: bool = False
+    compare_view: str | None = None
     max_year: int = 2035
 
     def __post_init__(self) -> None:
         for name, allowed in (("mode", MODES), ("unit", UNITS), ("edge_weight", EDGE_WEIGHTS), ("temporal_reference", ("active", "full"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name}: {getattr(self, name)!r} is none of {allowed}")
+        if self.compare_view not in (None, *COMPARE_VIEWS):
+            raise ValueError(f"compare_view: {self.compare_view!r} is none of {COMPARE_VIEWS}")
         if self.colour_mode not in (None, *COLOUR_MODES):
             raise ValueError(f"colour_mode: {self.colour_mode!r} is none of {COLOUR_MODES}")
         if not 1 <= self.ipc_level <= 5:
@@ -55,10 +60,10 @@ def from_query(query: str, repair_years: bool = False) -> ViewOptions:
     p = parse_qs(query.lstrip("?"), keep_blank_values=True)
     one = lambda k: p[k][0] if k in p else None
     got: dict = {}
-    for key, name, allowed in (("mode", "mode", MODES), ("unit", "unit", UNITS), ("colorMode", "colour_mode", COLOUR_MODES), ("ew", "edge_weight", EDGE_WEIGHTS), ("temporal_ref", "temporal_reference", ("active", "full"))):
+    for key, name, allowed in (("mode", "mode", MODES), ("unit", "unit", UNITS), ("colorMode", "colour_mode", COLOUR_MODES), ("ew", "edge_weight", EDGE_WEIGHTS), ("temporal_ref", "temporal_reference", ("active", "full")), ("compareView", "compare_view", COMPARE_VIEWS)):
         if one(key) in allowed:
             got[name] = one(key)
-    for key, name in (("llm", "show_semantic"), ("citations", "show_citations")):
+    for key, name in (("llm", "show_semantic"), ("citations", "show_citations"), ("compare", "compare")):
         if one(key) in ("0", "1"):
             got[name] = one(key) == "1"
     panels = tuple(tuple(x for x in p[k] if x) for k in (f"panel{i}" for i in range(MOST_PANELS)) if k in p)
@@ -88,6 +93,10 @@ def from_query(query: str, repair_years: bool = False) -> ViewOptions:
 
 def to_query(o: ViewOptions) -> str:
     pairs: list[tuple[str, str]] = [("mode", o.mode), ("llm", "1" if o.show_semantic else "0"), ("minSupport", str(o.min_support)), ("unit", o.unit), ("ew", o.edge_weight), ("ipcLevel", str(o.ipc_level)), ("temporal_ref", o.temporal_reference), ("citations", "1" if o.show_citations else "0")]
+    if o.compare:
+        pairs.append(("compare", "1"))
+    if o.compare_view:
+        pairs.append(("compareView", o.compare_view))
     if o.colour_mode:
         pairs.append(("colorMode", o.colour_mode))
     if o.year_range:

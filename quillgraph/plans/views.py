@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 from quillgraph.functions import numeric as N
 from quillgraph.functions import text as X
 from quillgraph.operators import citations as C
-from quillgraph.operators import compare, ipc, metrics, network, temporal
+from quillgraph.operators import community, compare, ipc, metrics, network, temporal
 from quillgraph.plans.options import ViewOptions, scope_key, with_panel
+from quillgraph.shared import kept
 
 # fixed values: colours of institution types, source files, shared sources and communities
 INSTITUTION_COLOURS = {"銀行": "#1d6fd1", "金控": "#12385c", "保險": "#d97706", "大學": "#7c3aed", "證券投承": "#0f7662", "支付金流": "#15803d", "科技": "#475569", "學研": "#8b5cf6", "個人": "#d1d5db", "其他": "#94a3b8"}
 COMMUNITY_COLOURS = ["#4E79A7", "#F28E2B", "#E15759", "#76B7B2", "#59A14F", "#EDC948", "#B07AA1", "#FF9DA7", "#9C755F", "#BAB0AC"]
 APPLICANT_COMMUNITY_COLOURS = ["#7B2CBF", "#FF8C42", "#2EC4B6", "#E63946", "#4361EE", "#F4A261", "#7209B7", "#06D6A0", "#EF476F", "#118AB2"]
-SOURCE_OVERLAP = "#94a3b8"
+SOURCE_COLOURS = ["#0ea5e9", "#10b981", "#f59e0b", "#8b5cf6", "#ec4899", "#14b8a6", "#f43f5e", "#6366f1"]
+SOURCE_OVERLAP = "#dc2626"
 UNKNOWN_APPLICANT = "未知申請人"
+MOST_FILES = 10_000
 
 
 @dataclass
@@ -32,7 +35,9 @@ class Graph:
     """Facts: patents (patent_id, year, source_files[, ipc5]), membership (patent_id, concept), ownership (patent_id, applicant).
 
     relations, citations (from_patent, to_patent) and communities (concept, community_id
-    [, community_id_applicants]) are optional.
+    [, community_id_applicants]) are optional, and so is what the graph's methodology says of its
+    sources. Names of communities (unit, community_id, name) and cycles that an import has broken
+    (temporal.legacy_cycles) come from a store.
     """
 
     patents: DataFrame
@@ -41,6 +46,8 @@ class Graph:
     relations: DataFrame | None = None
     citations: DataFrame | None = None
     communities: DataFrame | None = None
+    methodology: dict[str, str] = field(default_factory=dict)
+    broken_cycles: list[dict] = field(default_factory=list)
 
     @cached_property
     def year_range(self) -> tuple[int, int]:
@@ -50,8 +57,10 @@ class Graph:
 
     @cached_property
     def source_files(self) -> list[str]:
-        """Names of uploaded files: a short list by nature."""
-        rows = self.patents.select(F.explode("source_files").alias("f")).distinct().orderBy(F.collate("f", "zh_Hant"), "f").collect()
+        """Names of uploaded files, a short list by nature; more than MOST_FILES are an error."""
+        rows = self.patents.select(F.explode("source_files").alias("f")).distinct().orderBy(F.collate("f", "zh_Hant"), "f").limit(MOST_FILES + 1).collect()
+        if len(rows) > MOST_FILES:
+            raise ValueError(f"more than {MOST_FILES} source files")
         return [r["f"] for r in rows]
 
 
@@ -65,6 +74,8 @@ class View:
     max_support: DataFrame | None = None
     scope: str = ""
     warnings: list[str] = field(default_factory=list)
+    #: (edge_id, forward, reverse) of edges whose direction the citations contradict
+    conflicts: DataFrame | None = None
 
 
 def full_range(g: Graph, o: ViewOptions) -> bool:
@@ -100,10 +111,11 @@ def colour_nodes(g: Graph, nodes: DataFrame, membership: DataFrame, o: ViewOptio
     if mode == "first_year":
         return nodes.crossJoin(F.broadcast(temporal.time_window(nodes))).withColumn("colour", N.gradient_colour(F.col("first_year"), F.col("window_from"), F.col("window_to"))).drop("window_from", "window_to")
     if mode == "source":
-        files = g.source_files
-        touch = membership.join(g.patents.select("patent_id", F.explode("source_files").alias("f")), "patent_id").groupBy("concept").agg(F.min("f").alias("f"), (F.min("f") == F.max("f")).alias("one"))
-        rank = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("f")) - 1
-        return nodes.join(touch, "concept", "left").withColumn("colour", F.when(F.col("one"), palette(rank, COMMUNITY_COLOURS)).otherwise(F.lit(SOURCE_OVERLAP))).drop("f", "one")
+        each = g.patents.select("patent_id", F.explode("source_files").alias("f"))
+        touch = membership.join(each, "patent_id").groupBy("concept").agg(F.min("f").alias("f"), (F.min("f") == F.max("f")).alias("one"))
+        # ranks over the distinct files, a short list by nature
+        rank = each.select("f").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.collate("f", "zh_Hant"), "f")) - 1)
+        return nodes.join(touch.join(F.broadcast(rank), "f"), "concept", "left").withColumn("colour", F.when(F.col("one"), palette(F.col("rank"), SOURCE_COLOURS)).otherwise(F.lit(SOURCE_OVERLAP))).drop("f", "one", "rank")
     if mode == "ipc":
         best = ipc.dominant(membership, g.patents, o.ipc_level)
         shades = ipc.colours(ipc.patent_keys(g.patents, o.ipc_level))
@@ -121,13 +133,14 @@ def concept_view(g: Graph, o: ViewOptions) -> View:
     all applicants, concept or not; with one, the cohort and only applicants that hold a concept.
     """
     chosen = cohort(g, o)
-    membership, ownership = _within(g.membership, chosen), _within(g.ownership, chosen)
-    held = network.applicant_concepts(membership, ownership)
-    total_patents = (g.patents if chosen is None else chosen).count()
-    total_applicants = ownership.select("applicant").distinct().count() if chosen is None else None
-    edges = metrics.unit_metrics(membership, ownership, total_patents, total_applicants)
+    chosen = None if chosen is None else kept(chosen, "cohort")
+    membership, ownership = kept(_within(g.membership, chosen), "membership"), kept(_within(g.ownership, chosen), "ownership")
+    held = kept(network.applicant_concepts(membership, ownership), "held")
+    total_patents = (g.patents if chosen is None else chosen).agg(F.count(F.lit(1)).alias("patent_count"))
+    total_applicants = ownership.agg(F.count_distinct("applicant")) if chosen is None else None
+    edges = metrics.unit_metrics(membership, ownership, total_patents, total_applicants, held)
     reference = g.membership if o.temporal_reference == "full" else membership
-    stats = temporal.year_stats(temporal.concept_years(reference, g.patents, o.max_year))
+    stats = kept(temporal.year_stats(temporal.concept_years(reference, g.patents, o.max_year)), "years")
     nodes = network.concept_frequency(membership).join(network.concept_applicants(held), "concept", "left").na.fill(0, ["applicant_count"]).join(stats, "concept", "left")
     size = F.col("applicant_count") if o.unit == "applicant" else F.col("frequency")
     nodes = nodes.withColumn("size", N.concept_size(size))
@@ -148,13 +161,21 @@ def concept_view(g: Graph, o: ViewOptions) -> View:
         for end in ("source", "target"):
             sem = sem.join(nodes.select(F.col("concept").alias(end)), end, "left_semi")
         shown = shown.unionByName(sem.select(F.col("source").alias("from"), F.col("target").alias("to"), "relation", "support", "weight", F.lit("semantic").alias("kind"), X.stable_edge_id("semantic", F.col("source"), F.col("target"), F.col("relation")).alias("edge_id")), allowMissingColumns=True)
-    communities = None
-    column = "community_id_applicants" if o.colours == "community_applicants" else "community_id"
-    if column in nodes.columns:
-        communities = nodes.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("community_id")).agg(F.count(F.lit(1)).alias("node_count"))
+    conflicts = shown.filter("citation_direction_conflict").select("edge_id", "forward", "reverse") if g.citations is not None else None
+    communities = community_list(nodes, edges, o, support) if g.communities is not None else None
     years = g.year_range if o.year_range is None else tuple(o.year_range)
-    stats_row = nodes.agg(F.count(F.lit(1)).alias("concept_count")).crossJoin(held.agg(F.count_distinct("applicant").alias("applicant_count"))).withColumn("patent_count", F.lit(total_patents)).withColumn("year_from", F.lit(years[0])).withColumn("year_to", F.lit(years[1]))
-    return View(colour_nodes(g, nodes, membership, o), shown, stats_row, only, communities, top, scope_key(list(o.source_files) or g.source_files, o, years))
+    stats_row = nodes.agg(F.count(F.lit(1)).alias("concept_count")).crossJoin(held.agg(F.count_distinct("applicant").alias("applicant_count"))).crossJoin(F.broadcast(total_patents)).withColumn("year_from", F.lit(years[0])).withColumn("year_to", F.lit(years[1]))
+    return View(colour_nodes(g, nodes, membership, o), shown, stats_row, only, communities, top, scope_key(list(o.source_files) or g.source_files, o, years), view_warnings(g), conflicts)
+
+
+def community_list(nodes: DataFrame, edges: DataFrame, o: ViewOptions, support: str) -> DataFrame | None:
+    """(community_id, name, colour, node_count) of the communities that have nodes in the view; a name is the member with most edges."""
+    column, colours = ("community_id_applicants", APPLICANT_COMMUNITY_COLOURS) if o.colours == "community_applicants" else ("community_id", COMMUNITY_COLOURS)
+    if column not in nodes.columns:
+        return None
+    degrees = metrics.node_degrees(edges.filter(F.col(support) > 0).select(F.col("a").alias("from"), F.col("b").alias("to")))
+    own = nodes.filter(F.col(column).isNotNull()).select("concept", F.col(column).alias("community_id"))
+    return community.names(own, degrees).withColumn("colour", palette(F.col("community_id"), colours))
 
 
 def context_view(g: Graph, o: ViewOptions) -> View:
@@ -172,7 +193,7 @@ def context_view(g: Graph, o: ViewOptions) -> View:
     )
     edges = structural_edges(concepts_of.join(kept, "concept", "left_semi"), owners_of)
     stats = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    return View(nodes, edges, stats, None, None, top)
+    return View(nodes, edges, stats, None, None, top, warnings=view_warnings(g))
 
 
 def structural_edges(membership: DataFrame, ownership: DataFrame) -> DataFrame:
@@ -212,7 +233,7 @@ def institution_view(g: Graph, o: ViewOptions, names: DataFrame | None = None) -
     nodes = named.withColumn("colour", colours[F.col("org_type")]).join(connected, "applicant", "left_semi")
     types = named.groupBy("org_type").agg(F.count(F.lit(1)).alias("node_count"))
     stats = nodes.agg(F.count(F.lit(1)).alias("applicant_count")).crossJoin(held.agg(F.count_distinct("concept").alias("concept_count")))
-    return View(nodes, shown.withColumn("edge_id", X.stable_edge_id("institution", F.col("a"), F.col("b"))), stats, None, types, top)
+    return View(nodes, shown.withColumn("edge_id", X.stable_edge_id("institution", F.col("a"), F.col("b"))), stats, None, types, top, warnings=view_warnings(g))
 
 
 def shared_concept_list(held: DataFrame, a, b) -> DataFrame:
@@ -229,30 +250,53 @@ def select_view(g: Graph, o: ViewOptions, **more) -> View:
 def export_views(g: Graph, o: ViewOptions) -> dict[str, View]:
     from dataclasses import replace
 
-    return {m: select_view(g, replace(o, mode=m)) for m in ("concept", "context", "institution")}
+    return {m: select_view(g, replace(o, mode=m, show_citations=True)) for m in ("concept", "context", "institution")}
 
 
-def compare_views(g: Graph, o: ViewOptions, scopes: list[list[str]]) -> tuple[DataFrame, DataFrame]:
-    """(node membership, summary) of 2 to 6 scopes of source files: concept nodes of each scope's view."""
-    if not 2 <= len(scopes) <= 6:
-        raise ValueError("2 to 6 scopes")
-    frames = [network.concept_frequency(_within(g.membership, cohort(g, with_panel(o, s)))).select(F.col("concept").alias("id")) for s in scopes]
-    ids = compare.tagged(frames)
-    return compare.coloured(compare.membership(ids, len(scopes))), compare.summary(ids, len(scopes))
+def export_rows(g: Graph, o: ViewOptions) -> DataFrame:
+    """(mode, part, json) of all three views: what an offline export embeds, a JSON object for each node and edge."""
+    out = None
+    for mode, v in export_views(g, o).items():
+        for part, df in (("nodes", v.nodes), ("edges", v.edges), ("citation_edges", v.citation_edges)):
+            if df is not None:
+                rows = df.select(F.lit(mode).alias("mode"), F.lit(part).alias("part"), F.to_json(F.struct("*")).alias("json"))
+                out = rows if out is None else out.union(rows)
+    return out
 
 
-def capability_warnings(g: Graph, cooccurrence: str = "native", provenance: str = "complete") -> list[str]:
-    """What a graph cannot show: co-occurrence or relation sources that old payloads lack, or patents without a year."""
+def compare_views(g: Graph, o: ViewOptions, scopes: list[list[str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, summary) of the difference of 2 to 6 scopes of source files, an empty one being all files: the scopes' concept views as one.
+
+    Pairs of all scopes are counted in one pass over the patents.
+    """
+    if not 2 <= len(scopes) <= 6:
+        raise ValueError("2 to 6 scopes")
+    nodes, parts = [], []
+    every = kept(compare.panel_cooccurrence(_within(g.membership, cohort(g, with_panel(o, []))), g.patents, scopes), "panels")
+    for i, s in enumerate(scopes):
+        own = _within(g.membership, cohort(g, with_panel(o, s)))
+        nodes.append(network.concept_frequency(own).withColumnRenamed("concept", "id"))
+        pairs = every.filter((F.col("panel") == i + 1) & (F.col("support") >= o.min_support))
+        parts.append(pairs.select(X.stable_edge_id("cooccurrence", F.col("a"), F.col("b")).alias("id"), F.col("a").alias("from"), F.col("b").alias("to"), "support"))
+    ids = compare.tagged(nodes)
+    return (*compare.difference(nodes, parts), compare.summary(ids, len(scopes)))
+
+
+def capability_warnings(methodology: dict[str, str]) -> list[str]:
+    """What a graph cannot show, or shows by reconstruction, because its payload lacks it."""
     out = []
-    if cooccurrence in ("unavailable", "reconstructed"):
-        out.append(f"cooccurrence_{cooccurrence}")
-    if provenance in ("unavailable", "partial"):
-        out.append(f"semantic_provenance_{provenance}")
-    if not g.patents.filter(F.col("year").isNull()).isEmpty():
-        out.append("patents_without_year")
+    if methodology.get("cooccurrence_data") in ("unavailable", "reconstructed"):
+        out.append(f"cooccurrence_{methodology['cooccurrence_data']}")
+    if methodology.get("semantic_provenance") == "partial":
+        out.append("semantic_provenance_partial")
     return out
 
 
+def view_warnings(g: Graph) -> list[str]:
+    """Capability warnings, and one for each edge that lost its direction because an imported graph had a cycle."""
+    return capability_warnings(g.methodology) + [f"temporal_cycle_broken:{e['edge_id']}" for e in g.broken_cycles]
+
+
 def graph_stats(g: Graph, placeholder: bool = True) -> DataFrame:
     """One row of counts; patents without an applicant add one placeholder applicant."""
     bare = not g.patents.join(g.ownership, "patent_id", "left_anti").isEmpty() if placeholder else False

@@ -87,3 +87,21 @@ def restore_synonyms(t: Table, path: str) -> None:
         t.write(t.spark.read.schema(SYNONYMS).parquet(path))
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
+
+
+def history_with_owners(analyses_: DataFrame, users: DataFrame, owner: str | None = None, most: int = MOST_LISTED) -> DataFrame:
+    """history() with the owner's name from users (owner, name); null where the owner is unknown or gone."""
+    return history(analyses_, owner, most).join(users.select("owner", F.col("name").alias("owner_name")), "owner", "left").orderBy(F.desc("created_at"), "analysis_id")
+
+
+def linked_uploads(wanted: DataFrame, uploads: DataFrame) -> DataFrame:
+    """(analysis_id, upload_id, original_name) of (analysis_id, upload_ids, names) lists, each pair once; uploads that do not exist are left out."""
+    each = wanted.select("analysis_id", F.explode(F.arrays_zip(F.col("upload_ids").alias("upload_id"), F.col("names").alias("original_name"))).alias("u")).select("analysis_id", "u.*")
+    return each.join(uploads.select("upload_id"), "upload_id", "left_semi").groupBy("analysis_id", "upload_id").agg(F.min("original_name").alias("original_name"))
+
+
+def counters(analyses_: DataFrame, users: DataFrame) -> DataFrame:
+    """One row: users, analyses, and analyses that are done, failed or still running."""
+    done = F.count_if(F.col("status") == "completed").alias("completed")
+    one = analyses_.agg(F.count(F.lit(1)).alias("analyses"), done, F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(~F.coalesce(F.col("status").isin(*FINAL), F.lit(False))).alias("running"))
+    return users.agg(F.count(F.lit(1)).alias("users")).crossJoin(one)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("patents", "membership", "ownership", "edges", "citations", "communities")
+TABLES = ("patents", "membership", "ownership", "relations", "edges", "citations", "communities", "analyses")
 
 
 def save(frames: dict[str, DataFrame], root: str, analysis_id: str) -> None:
@@ -63,3 +63,61 @@ def valid_positions(positions: DataFrame, nodes: DataFrame, most: int = 50_000)
     a = positions.join(nodes.select("id"), "id", "left_anti")
     b = nodes.select("id").join(positions, "id", "left_anti")
     return a.isEmpty() and b.isEmpty() and positions.filter(~F.coalesce(finite, F.lit(False))).isEmpty() and positions.limit(most + 1).count() <= most
+
+
+def save_graph(g, root: str, analysis_id: str, status: str = "done") -> None:
+    """Replaces an analysis: its facts, and a row of what is known of it as a whole."""
+    frames = {n: df for n in ("patents", "membership", "ownership", "relations", "citations", "communities") if (df := getattr(g, n)) is not None}
+    spark = g.patents.sparkSession
+    about = spark.createDataFrame([(status, g.methodology, [e["edge_id"] for e in g.broken_cycles])], "status string, methodology map<string,string>, broken_cycles array<string>")
+    save(frames | {"analyses": about}, root, analysis_id)
+
+
+def load_graph(spark: SparkSession, root: str, analysis_id: str):
+    """The graph of a stored analysis; None if it is unknown or not done."""
+    from quillgraph.plans.views import Graph
+
+    found = load(spark, root, analysis_id)
+    about = found["analyses"].first() if "analyses" in found else None
+    if about is None or about["status"] != "done":
+        return None
+    parts = {n: found.get(n) for n in ("relations", "citations", "communities")}
+    # a table that other analyses have written is there, but empty for this one
+    parts = {n: None if df is None or df.isEmpty() else df for n, df in parts.items()}
+    return Graph(found["patents"], found["membership"], found["ownership"], **parts, methodology=about["methodology"] or {}, broken_cycles=[{"edge_id": x} for x in about["broken_cycles"] or []])
+
+
+def known_ids(spark: SparkSession, root: str) -> set[str]:
+    """Ids of stored analyses, from the partitions' names."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return {r["analysis_id"] for r in spark.read.parquet(f"{root}/analyses").select("analysis_id").distinct().collect()}
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return set()
+
+
+def import_folder(spark: SparkSession, pattern: str, root: str, force: bool = False) -> dict[str, list[str]]:
+    """Stores each JSON payload of a folder as the analysis of its file name; known ids are skipped unless forced.
+
+    Returns the ids imported, skipped and failed. A payload that cannot be read as a graph fails alone.
+    """
+    from quillgraph.sources import graph_json
+
+    out: dict[str, list[str]] = {"imported": [], "skipped": [], "failed": []}
+    known = set() if force else known_ids(spark, root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(pattern).select("path").orderBy("path")
+    for path in [r["path"] for r in files.collect()]:
+        own = path.rsplit("/", 1)[-1].removesuffix(".json")
+        if own in known:
+            out["skipped"].append(own)
+            continue
+        payload = graph_json.read(spark, path)
+        if payload.filter(F.col("nodes").isNotNull() & F.col("edges").isNotNull()).isEmpty():
+            out["failed"].append(own)
+            continue
+        save_graph(graph_json.as_graph(graph_json.normalise(payload)), root, own)
+        out["imported"].append(own)
+    return out

@@ -18,7 +18,7 @@ DEFAULT_COLOUR, PATENT_SIZE, DEFAULT_SIZE = "#BAB0AC", 18.0, 18.0
 CONTAINS, FILED, TOGETHER = "包含", "申請了", "共同出現"
 METHODOLOGY = {"cooccurrence_data": ("native", "reconstructed", "unavailable"), "semantic_provenance": ("complete", "partial", "unavailable"), "community_edge_weight": ("support_count", "association_strength")}
 
-PAYLOAD = f"schema_version int, nodes array<struct<{NODES.replace(' string', ':string').replace(' double', ':double').replace(' long', ':bigint').replace(' int', ':int').replace(' array', ':array')}>>, edges array<struct<id:string,kind:string,`from`:string,`to`:string,relation:string,weight:double,support_count:bigint,jaccard:double,confidence:string,reason:string,source_patent:string,source_patents:array<string>>>, methodology map<string,string>"
+PAYLOAD = f"schema_version int, nodes array<struct<{NODES.replace(' string', ':string').replace(' double', ':double').replace(' long', ':bigint').replace(' int', ':int').replace(' array', ':array')}>>, edges array<struct<id:string,kind:string,`from`:string,`to`:string,relation:string,weight:double,support_count:bigint,jaccard:double,confidence:string,reason:string,source_patent:string,source_patents:array<string>,temporal_directed:boolean>>, methodology map<string,string>"
 
 
 @dataclass
@@ -107,3 +107,19 @@ def rebuild(nodes: DataFrame, edges: DataFrame) -> StoredGraph:
     every = structural.unionByName(together, allowMissingColumns=True).unionByName(semantic, allowMissingColumns=True)
     state = "unavailable" if membership.isEmpty() else "reconstructed"
     return StoredGraph(2, n, every, methodology(None, cooccurrence_data=state, semantic_provenance="unavailable" if semantic.isEmpty() else "partial"))
+
+
+def as_graph(stored: StoredGraph):
+    """The facts of a stored graph, for views: what its structural edges say."""
+    from quillgraph.plans.views import Graph, facts_of
+    from quillgraph.operators import temporal
+
+    bare = lambda c, kind: F.regexp_replace(c, f"^{kind}:", "")
+    membership, ownership = facts_of(stored.edges.filter(F.col("kind") == "structural"))
+    patents = stored.nodes.filter(F.col("type") == "patent").select(bare("id", "patent").alias("patent_id"), "year", F.coalesce("source_files", F.array().cast("array<string>")).alias("source_files"), "ipc5")
+    concepts = stored.nodes.filter(F.col("type") == "concept")
+    groups = concepts.select(bare("id", "concept").alias("concept"), "community_id", "community_id_applicants") if {"community_id", "community_id_applicants"} <= set(concepts.columns) else None
+    broken = []
+    if {"temporal_directed"} <= set(stored.edges.columns):
+        broken = temporal.legacy_cycles(stored.edges, concepts.select("id", "median_year"))
+    return Graph(patents, membership, ownership, communities=groups, methodology=stored.methodology, broken_cycles=broken)

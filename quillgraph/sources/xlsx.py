@@ -253,6 +253,13 @@ def ingest(table: DataFrame, dedupe: bool = True, fold: bool = True) -> DataFram
     return resolve.merged(st, resolve.groups(st), fold)
 
 
+def ingest_with_citations(table: DataFrame, dedupe: bool = True, fold: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(patents, citations): ingest(), then references resolved against the final patents, inside and outside of them apart."""
+    from quillgraph.operators import citations
+
+    return citations.with_references(ingest(table, dedupe, fold))
+
+
 def file_summaries(rows: DataFrame) -> DataFrame:
     """(file, rows, with_year, with_ipc) of each file."""
     has_ipc = F.size("ipc5") > 0 if "ipc5" in rows.columns else F.lit(False)

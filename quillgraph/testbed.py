@@ -44,20 +44,20 @@ def raw_code():
 
 
 def coded_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patents with ipc5, the codes of the parts of their first two lines."""
+    """Patents with ipc5, the codes of the parts of their lines."""
     from quillgraph.functions.text import normalize_ipc5
 
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), normalize_ipc5(raw_code()).alias("code"))
-    own = read(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") <= 2).select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").groupBy("patent_id").agg(F.array_sort(F.collect_set("code")).alias("ipc5"))
+    own = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("patent_id"), "l_partkey").join(part, "l_partkey").groupBy("patent_id").agg(F.array_sort(F.collect_set("code")).alias("ipc5"))
     return patents(spark, sf_dir).join(own, "patent_id", "left")
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed relations between the parts of consecutive lines of an order."""
+    """Directed relations between the parts of consecutive lines of an order; in every fifth order the first one's target is no concept of it."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("concept"))
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_quantity", "l_suppkey", "l_extendedprice").join(part, "l_partkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
-    both = line.select(F.col("l_orderkey").alias("patent_id"), F.col("l_linenumber").alias("ordinal"), F.col("concept").alias("source"), F.lead("concept").over(w).alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_quantity").alias("weight"))
+    both = line.select(F.col("l_orderkey").alias("patent_id"), F.col("l_linenumber").alias("ordinal"), F.col("concept").alias("source"), F.concat(F.lead("concept").over(w), F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1), " outside").otherwise("")).alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_quantity").alias("weight"))
     return both.filter(F.col("target").isNotNull()).withColumn("reason", F.col("relation")).withColumn("confidence", F.lit("EXTRACTED"))
 
 
@@ -82,9 +82,13 @@ def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("row_id"),
         F.when(k % 3 != 0, F.concat(F.lit("TWI"), s(F.floor(k / 4)), F.lit("U"))).alias("patent_number"),
         F.when(k % 7 != 0, F.concat(F.lit("tw"), s(F.floor(k / 6)))).alias("application_number"),
-        F.concat(F.lit("title "), s(F.floor(k / 8) % 5)).alias("title"),
+        F.concat(F.lit("title "), s(F.floor(k / 3) % 5)).alias("title"),
         F.concat(F.lit("abstract "), s(k % 11)).alias("abstract"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"),
+        F.date_format(F.date_add("o_orderdate", F.when(k % 9 == 0, -10).otherwise(500)), "yyyy-MM-dd").alias("publication_date"),
+        F.concat(F.lit("P"), s(k % 17)).alias("publication_number"),
+        F.array(F.concat(F.lit("inventor "), s(k % 3)), F.concat(F.lit("inventor "), s(k % 4))).alias("inventors"),
+        F.concat(F.lit("class "), s(k % 5)).alias("design_class"),
         F.array(F.concat(F.lit("applicant "), s(F.col("o_custkey") % 50))).alias("applicants"),
         F.concat(F.lit("applicant "), s(F.col("o_custkey") % 50)).alias("applicant"),
         F.array("o_orderpriority").alias("source_files"),
