@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut before encoding, always just before a blank or line end that follows an ASCII
-letter, digit or one of `.,;:`. No match of the pre-splitting pattern runs from such a character
-into white space, and none looks back, so the ids of the pieces are the ids of the whole text.
+Long texts are cut before encoding, at boundaries that no match of the public pattern spans and none
+looks across: before white space that follows anything else, and between punctuation (but an
+apostrophe) and a letter. So the ids of the pieces are the ids of the whole text. A stretch without
+such a boundary, and a text under any other pattern, stays whole.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from quillgraph.llm.common import slices, table, text_bytes
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 200_000
-_SAFE = re.compile(r"(?<=[A-Za-z0-9.,;:])[ \n]")
+#: Letters of scripts whose ranges no version of Unicode changes any more, and common punctuation.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0904-\u0939\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARK = ".,;:!?()\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u060c\u061f\u0964"
+_SAFE = re.compile(rf"(?<=\S)[ \t-\r\u00a0\u2028\u2029\u3000]|(?<=[{_MARK}])[{_LETTER}]")
 
 
 @cache
@@ -51,10 +55,10 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(enc, text: str) -> list[int]:
-    if len(text) <= PIECE:
+def encode(enc, text: str, size: int = PIECE) -> list[int]:
+    if len(text) <= size or enc._pat_str != default_ranks()[1]:
         return enc.encode_ordinary(text)
-    return [i for p in pieces(text) for i in enc.encode_ordinary(p)]
+    return [i for p in pieces(text, size) for i in enc.encode_ordinary(p)]
 
 
 def tokens(docs: DataFrame, path: str | None = None, pattern: str | None = None, text_column: str = "text") -> DataFrame:

@@ -19,7 +19,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.shared import shared_dir
+from quillgraph.shared import discard, fresh_dir, kept, kept_in
+
+__all__ = ["discard", "fresh_dir", "kept_in"]
 
 #: Bytes of text that the Python side looks at in one go.
 CHUNK = 1 << 20
@@ -31,30 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows as Parquet in the shared folder, read again."""
-    return kept_in(df, fresh_dir(df.sparkSession, what))
-
-
-def kept_in(df: DataFrame, path: str) -> DataFrame:
-    """The rows as Parquet in that folder, read again; shuffles that made them are dropped."""
-    with shuffles_dropped(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(uri: str) -> None:
-    """Deletes a folder of intermediate results; nothing if it is not there."""
-    store, path = open_fs(uri)
-    try:
-        store.delete_dir(path)
-    except FileNotFoundError:
-        pass
+    return kept(df, what)
 
 
 #: Entries (rows, or what `weight` says) of a host table that are broadcast, about 64 bytes each, and the share of all rows from which a host is hot.
@@ -107,18 +88,6 @@ def arrow_batches(spark: SparkSession, rows: int | None = None, size: int = 8 <<
             spark.conf.set(k, v)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when the action inside ends: for results that are written and never computed again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def parts_of(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -33,8 +33,8 @@ def runs(part: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(part)][: len(own)], strict=True))
 
 
-def at_parts(asks: DataFrame, work: Callable[[int, list[str], list[list[np.ndarray]]], Rows]) -> DataFrame:
-    """work(part, slices, their arrays) for every part; what slices keep for themselves (part below 0) goes through."""
+def at_parts(asks: DataFrame, many: int, work: Callable[[int, list[str], list[list[np.ndarray]]], Rows]) -> DataFrame:
+    """work(part, slices, their arrays) for every part, in about `many` tasks; what slices keep for themselves (part below 0) goes through."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         part, chunk = key[0].as_py(), key[1].as_py()
@@ -42,10 +42,10 @@ def at_parts(asks: DataFrame, work: Callable[[int, list[str], list[list[np.ndarr
             return group.select(["part", "chunk", "slice", "blob"])
         return message([(p, chunk, s, b) for p, _, s, b in work(part, group.column("slice").to_pylist(), [unpack(b) for b in group.column("blob").to_pylist()])])
 
-    return asks.groupBy("part", "chunk").applyInArrow(run, ASK)
+    return asks.repartition(max(1, many), "part", "chunk").groupBy("part", "chunk").applyInArrow(run, ASK)
 
 
-def at_slices(answers: DataFrame, work: Callable[[str, list[np.ndarray], list[int], list[list[np.ndarray]]], pa.Table], schema: str = ASK) -> DataFrame:
+def at_slices(answers: DataFrame, many: int, work: Callable[[str, list[np.ndarray], list[int], list[list[np.ndarray]]], pa.Table], schema: str = ASK) -> DataFrame:
     """work(slice, what it kept, parts that answered, their arrays) for every slice; notes, which have no slice, go through."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -57,7 +57,7 @@ def at_slices(answers: DataFrame, work: Callable[[str, list[np.ndarray], list[in
         kept = [unpack(b) for p, b in rows if p < 0]
         return work(name, kept[0] if kept else [], [p for p, _ in rows if p >= 0], [unpack(b) for p, b in rows if p >= 0])
 
-    return answers.groupBy("slice").applyInArrow(run, schema)
+    return answers.repartition(max(1, many), "slice").groupBy("slice").applyInArrow(run, schema)
 
 
 def column(answers: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:

@@ -49,27 +49,33 @@ def _letters(block: int) -> np.ndarray:
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case letters as code points; each run of anything else is one 0, and so are both ends."""
+    """Lower-case letters as code points, 0 for anything else."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     blocks = codes >> 12
-    low = np.zeros(len(codes), np.uint32)
+    low = np.zeros(len(codes), np.uint64)
     for b in np.unique(blocks):
         at = blocks == b
         low[at] = _letters(int(b))[codes[at] & 4095]
-    low = np.concatenate([[0], low, [0]]).astype(np.uint64)
-    return low[np.concatenate([[True], (low[1:] != 0) | (low[:-1] != 0)])]
+    return low
 
 
 def grams(text: str, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams (21 bits a letter, n at most 3) with their counts; only grams with a letter."""
+    """Distinct n-grams (21 bits a letter, n at most 3) with their counts; only grams with a letter.
+
+    Each run of anything but letters is one 0, and so are both ends of the text. A long text is taken
+    in steps that hand on their last n - 1 symbols, so the counts are those of the whole text.
+    """
     keys: list[np.ndarray] = []
+    before = np.zeros(1, np.uint64)
     for a in range(0, max(1, len(text)), STEP):
-        s = letters(text[max(0, a - n + 1) : a + STEP])
+        s = np.concatenate([before, letters(text[a : a + STEP])] + ([np.zeros(1, np.uint64)] if a + STEP >= len(text) else []))
+        s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
         if len(s) >= n:
             key = np.zeros(len(s) - n + 1, np.uint64)
             for j in range(n):
                 key = (key << np.uint64(21)) | s[j : len(s) - n + 1 + j]
             keys.append(key[key != 0])
+        before = s[max(0, len(s) - n + 1) :]
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.unique(np.concatenate(keys), return_counts=True)

@@ -21,8 +21,7 @@ answers. The number of parts follows the tokens, so a part's share is bounded at
 from __future__ import annotations
 
 import uuid
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import discard, fresh_dir, kept_in, mapped, narrow, pack, put_file, slices, steps, table, text_bytes, unpack
+from quillgraph.llm.exchange import ASK, Rows, at_parts, at_slices, chunk_of, column, keep, low_edge, message, part_of_hash, runs, summed_column
 from quillgraph.llm.elias_fano import EliasFano, Level, dump, load
 from quillgraph.llm.scan import mix, words
 
@@ -40,11 +40,9 @@ END = mix(np.array([0x5E0F_7E47], U))[0]
 #: Strength of the priors, in tokens.
 MU2, MU3 = 1000.0, 1.0
 #: Bytes of text in a slice (a longer text is one slice), and n-grams of slices that a part is meant to get.
-SLICE, SHARE = 12 << 20, 2 << 20
+SLICE, SHARE = 6 << 20, 2 << 20
 _PLACE = 40  # bits of a place in level 2, in the parents of spread contexts
 
-ASK = "part int, chunk int, slice string, blob binary"
-
 
 @dataclass(frozen=True)
 class Model:
@@ -83,15 +81,6 @@ class Model:
         return load(data)
 
 
-def part_of_hash(h: np.ndarray, parts: int) -> np.ndarray:
-    return (((h >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-
-
-def low_edge(part: int, parts: int) -> int:
-    """The smallest hash of a part."""
-    return ((part << 32) + parts - 1) // parts << 32
-
-
 def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, each text followed by END, and the tokens of each text."""
     h, n = words(texts)
@@ -143,82 +132,30 @@ class Slice:
 
     def __init__(self, folder: str, name: str) -> None:
         # order: place among the sorted hashes of each of the slice's words, most frequent first
-        self.local, self.n, flags, self.order = (x.astype(np.int64) for x in unpack(opened(folder, f"{name}-text").tobytes()))
-        self.text = np.repeat(np.arange(len(self.n)), self.n)
-        self.train = flags[self.text]
+        local, n, flags, order = unpack(opened(folder, f"{name}-text").tobytes())
+        self.local, self.n, self.order = local.astype(np.int32), n.astype(np.int64), order.astype(np.int64)
+        self.text = np.repeat(np.arange(len(n), dtype=np.int32), self.n)
+        self.train = np.repeat(flags, self.n)
         self.first = np.cumsum(self.n) - self.n
         ahead = np.flatnonzero(self.text[1:] == self.text[:-1])
-        key, number = np.unique(self.local[ahead] * len(self.order) + self.local[ahead + 1], return_inverse=True)
+        key, number = np.unique(self.local[ahead].astype(np.int64) * len(order) + self.local[ahead + 1], return_inverse=True)
         #: words of the distinct bigrams, and each token's bigram with the next one, -1 at a text's end
-        self.first_of, self.second_of = key // len(self.order), key % len(self.order)
-        self.pair = np.full(len(self.local), -1)
+        self.first_of, self.second_of = (key // len(order)).astype(np.int32), (key % len(order)).astype(np.int32)
+        self.pair = np.full(len(local), -1, np.int32)
         self.pair[ahead] = number
-        self.pair_counts = np.bincount(number, weights=self.train[ahead], minlength=len(key)).astype(np.int64)
+        self.pair_counts = np.bincount(number, weights=self.train[ahead], minlength=len(key)).astype(np.int32)
 
     def triples(self) -> None:
         """context, suffix: bigrams of the distinct trigrams; triple: the trigram that ends at each token of `thirds`."""
         at = np.flatnonzero((self.pair[:-1] >= 0) & (self.pair[1:] >= 0))
         many = max(1, len(self.first_of))
-        key, self.triple = np.unique(self.pair[at] * many + self.pair[at + 1], return_inverse=True)
-        self.context, self.suffix, self.thirds = key // many, key % many, at + 2
-        self.triple_counts = np.bincount(self.triple, weights=self.train[at], minlength=len(key)).astype(np.int64)
-
-
-# ---------------------------------------------------------------- messages
-
-
-Rows = list[tuple[int, int, str, bytes]]
-
-
-def message(rows: Rows) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.string(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "chunk", "slice", "blob"])
-
-
-def runs(part: np.ndarray) -> list[tuple[int, int, int]]:
-    """(part, first, place after the last) of sorted parts."""
-    own, first = np.unique(part, return_index=True)
-    return list(zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(part)][: len(own)], strict=True))
-
+        key, triple = np.unique(self.pair[at].astype(np.int64) * many + self.pair[at + 1], return_inverse=True)
+        self.triple_counts = np.bincount(triple, weights=self.train[at], minlength=len(key)).astype(np.int32)
+        self.context, self.suffix = (key // many).astype(np.int32), (key % many).astype(np.int32)
+        self.thirds, self.triple = (at + 2).astype(np.int32), triple.astype(np.int32)
 
-def at_parts(asks: DataFrame, work: Callable[[int, list[str], list[list[np.ndarray]]], Rows]) -> DataFrame:
-    """work(part, slices, their arrays) for every part; what slices keep for themselves (part below 0) goes through."""
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        part, chunk = key[0].as_py(), key[1].as_py()
-        if part < 0:
-            return group.select(["part", "chunk", "slice", "blob"])
-        return message([(p, chunk, s, b) for p, _, s, b in work(part, group.column("slice").to_pylist(), [unpack(b) for b in group.column("blob").to_pylist()])])
-
-    return asks.groupBy("part", "chunk").applyInArrow(run, ASK)
-
-
-def at_slices(answers: DataFrame, work: Callable[[str, list[np.ndarray], list[int], list[list[np.ndarray]]], pa.Table], schema: str = ASK) -> DataFrame:
-    """work(slice, what it kept, parts that answered, their arrays) for every slice; notes, which have no slice, go through."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        name = key[0].as_py()
-        parts, blobs = group.column("part").to_pylist(), group.column("blob").to_pylist()
-        if not name:
-            return message([(-1, 0, "", b) for b in blobs])
-        rows = sorted((p, b) for p, b in zip(parts, blobs, strict=True))
-        kept = [unpack(b) for p, b in rows if p < 0]
-        return work(name, kept[0] if kept else [], [p for p, _ in rows if p >= 0], [unpack(b) for p, b in rows if p >= 0])
-
-    return answers.groupBy("slice").applyInArrow(run, schema)
-
-
-def column(answers: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:
-    return np.concatenate([a[i] for a in answers]).astype(kind) if answers else np.empty(0, kind)
-
-
-def summed_column(answers: list[list[np.ndarray]], i: int, kind=np.int64) -> np.ndarray:
-    return np.concatenate([np.cumsum(a[i], dtype=kind) for a in answers]) if answers else np.empty(0, kind)
-
-
-def keep(model: Model, name: str, *arrays: np.ndarray) -> tuple[int, int, str, bytes]:
-    """What a slice keeps until its next turn."""
-    return (-1 - zlib.crc32(name.encode()) % model.parts, 0, name, pack(*arrays))
+# ---------------------------------------------------------------- files of the model
 
 
 def note(name: str, size: int, n: int = 0, total: int = 0) -> bytes:
@@ -267,10 +204,6 @@ def ask_words(listed: DataFrame, parts: int, chunks: int) -> DataFrame:
     return listed.select("slice", "blob").mapInArrow(run, ASK)
 
 
-def chunk_of(name: str, chunks: int) -> int:
-    return zlib.crc32(name.encode()) % chunks
-
-
 def answer_words(model: Model, training: bool):
     """Writes the words of a part, and answers one more than their ranks by count (0: unknown) and their counts."""
 
@@ -323,7 +256,7 @@ def ask_pairs(model: Model, folder: str, chunks: int):
         prior = model.code(model.log_one(counts[v]))
         chunk = chunk_of(name, chunks)
         rows = [(p, chunk, name, pack(steps(ids[u[a:b]]), *map(narrow, (ids[v[a:b]], own.pair_counts[pairs[a:b]], counts[u[a:b]], prior[a:b])))) for p, a, b in runs(part)]
-        return message([*rows, keep(model, name, narrow(ids + 1), narrow(counts))])
+        return message([*rows, keep(model.parts, name, narrow(ids + 1), narrow(counts))])
 
     return work
 
@@ -424,7 +357,7 @@ def ask_triples(model: Model, folder: str, chunks: int, listed: DataFrame) -> Da
                 q, chunk = Questions(model, folder, name), chunk_of(name, chunks)
                 count, code = q.own.triple_counts[q.asked], q.code[q.own.suffix[q.asked]]
                 rows = [(p, chunk, name, pack(steps(q.parent[a:b]), *map(narrow, (q.child[a:b], code[a:b], count[a:b], q.times[a:b])))) for p, a, b in runs(q.to)]
-                yield from message([*rows, keep(model, name)]).to_batches()
+                yield from message([*rows, keep(model.parts, name)]).to_batches()
 
     return listed.select("slice").mapInArrow(run, ASK)
 
@@ -507,24 +440,26 @@ def exchange(docs: DataFrame, model: Model | None, answers: bool, share: int = S
     many, tokens = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     model = model or Model(folder, max(16, -(-tokens // share)), share=share)
     chunks = 1 if training else max(1, -(-tokens // (model.share * model.parts)))
-    found = kept_in(at_parts(ask_words(listed, model.parts, chunks), answer_words(model, training)), f"{folder}/words")
+    found = kept_in(at_parts(ask_words(listed, model.parts, chunks), model.parts * chunks, answer_words(model, training)), f"{folder}/words")
     if training:
         model = noticed(model, found)
     discard(f"{folder}/listed")
-    asked = at_slices(found.filter("slice <> ''"), ask_pairs(model, folder, chunks))
-    ready = kept_in(at_slices(at_parts(asked, answer_pairs(model, training)), keep_pairs(model, folder)), f"{folder}/ready")
+    asked = at_slices(found.filter("slice <> ''"), many, ask_pairs(model, folder, chunks))
+    pairs = kept_in(at_parts(asked, model.parts * chunks, answer_pairs(model, training)), f"{folder}/pairs")
     if training:
-        model = noticed(model, ready)
+        model = noticed(model, pairs)
     discard(f"{folder}/words")
-    names = ready.filter("slice <> ''").repartition(max(1, many), "slice")
-    scores = kept_in(at_parts(ask_triples(model, folder, chunks, names), answer_triples(model, training, answers)), f"{folder}/scores")
+    ready = kept_in(at_slices(pairs.filter("slice <> ''"), many, keep_pairs(model, folder)), f"{folder}/ready")
+    discard(f"{folder}/pairs")
+    names = ready.repartition(max(1, many), "slice")
+    scores = kept_in(at_parts(ask_triples(model, folder, chunks, names), model.parts * chunks, answer_triples(model, training, answers)), f"{folder}/scores")
     if training:
         model = noticed(model, scores)
     if not answers:
         return model, None
     kept = [f for f in docs.schema.fields if f.name not in ("text", "_train")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens long, n_known long, base_score double, score double"])
-    return model, at_slices(scores.filter("slice <> ''"), answered(model, folder, [f.name for f in kept]), schema)
+    return model, at_slices(scores.filter("slice <> ''"), many, answered(model, folder, [f.name for f in kept]), schema)
 
 
 def noticed(model: Model, messages: DataFrame) -> Model:

@@ -15,8 +15,6 @@ from quillgraph.llm.common import join_hosts, table
 RATIO = 0.1
 #: Pages that a line must be on to be boilerplate: below that it is not repeated.
 LEAST = 2
-#: The size of host from which the SQL counterpart looks for boilerplate; the operator has no such limit.
-MIN_PAGES = 20
 
 
 def _lines(text: Column) -> Column:
@@ -24,42 +22,49 @@ def _lines(text: Column) -> Column:
 
 
 def _hash(line: Column) -> Column:
-    """128 bits of a line without its outer blanks; null for a blank line."""
+    """128 bits of a line without its outer blanks (U+0020; tabs and \r are part of a line); null for a blank line."""
     bare = F.trim(line)
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(7), bare).alias("b")))
+    return F.when(bare != "", F.md5(bare))
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1, host: str = "source") -> DataFrame:
-    """(host, line) hashes above the ratio, gathered by host as `boiler`, an array bounded by (lines a page) / ratio.
+    """(__host, __boiler): hashes above the ratio, an array bounded by (lines a page) / ratio.
 
-    Counting is by distinct page: a line repeated on a page counts once there. Counts are combined
-    before the shuffle, whose key holds the line, so a huge host spreads over all tasks.
+    Counting is by distinct page: a line repeated on a page counts once there. A line exactly at the
+    ratio stays. Counts are combined before the shuffle, whose key holds the line, so a huge host
+    spreads over all tasks.
     """
-    own = pages.select(F.col(host).alias("_host"), F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _hash), lambda h: h.isNotNull())).alias("_h"))
-    totals = pages.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= min_pages)
-    counts = own.select("_host", F.explode("_h").alias("_h")).groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    own = pages.select(F.col(host).alias("__host"), F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _hash), lambda h: h.isNotNull())).alias("h"))
+    totals = pages.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
+    counts = own.select("__host", F.explode("h").alias("h")).groupBy("__host", "h").agg(F.count(F.lit(1)).alias("n"))
     least = max(LEAST, int(ratio * min_pages))
-    frequent = counts.filter(F.col("_n") >= least)
-    joined = frequent.alias("c").join(totals.alias("t"), F.col("c._host").eqNullSafe(F.col("t._host")))
-    return joined.filter(F.col("_n") > F.lit(ratio) * F.col("_pages")).groupBy(F.col("c._host").alias("_host")).agg(F.collect_set("_h").alias("boiler"))
+    frequent = counts.filter(F.col("n") >= least)
+    joined = frequent.alias("c").join(totals.alias("t"), F.col("c.__host").eqNullSafe(F.col("t.__host")))
+    return joined.filter(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy(F.col("c.__host").alias("__host")).agg(F.collect_set("h").alias("__boiler"))
 
 
 def drop_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1, host: str = "source") -> DataFrame:
     """All rows and columns of pages, `text` without its host's boilerplate lines, and `n_lines`, `n_dropped` added.
 
     A line on a single page is never boilerplate; hosts of any size are cleaned unless min_pages says
-    otherwise. On a host of fewer than 2 / ratio pages, two copies of a page lose their lines. Blank lines always stay. A null text stays null with 0 lines; rows with a null host form one host. Columns
-    named n_lines or n_dropped are replaced.
+    otherwise. On a host of fewer than 2 / ratio pages, two copies of a page lose their lines. Blank
+    lines always stay. A null text stays null with 0 lines; rows with a null host form one host.
+    Columns named n_lines or n_dropped are replaced; names that start with two underscores are taken.
     """
     found = boilerplate(pages, ratio, min_pages, host)
     base = pages.drop("n_lines", "n_dropped")
     names = [c for c in base.columns if c != "text"]
-    joined = join_hosts(base, host, found, "left")
+    joined = join_hosts(base, host, found, "left", F.size("__boiler"))
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("boiler").isNull(), lines).otherwise(F.filter(lines, lambda x: F.coalesce(~F.array_contains(F.col("boiler"), F.coalesce(_hash(x), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))), F.lit(True))))
-    out = joined.select(*[base[c] for c in names], F.col("text").alias("_text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), kept.alias("_kept"))
-    n_dropped = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long")
-    return out.select(*names, F.array_join("_kept", "\n").alias("text"), F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
+    # the host's lines are met once a page, by a set; what is left to look up is what the page itself has of them
+    own = F.array_intersect(F.transform(lines, _hash), F.col("__boiler"))
+    bound = joined.select(*[base[c] for c in names], F.col("text").alias("__text"), own.alias("__own"))
+    lines = _lines(F.col("__text"))
+    kept = F.when(F.coalesce(F.size("__own"), F.lit(0)) == 0, lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__own"), _hash(x)), F.lit(False))))
+    out = bound.withColumn("__kept", kept)
+    n_lines = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    n_dropped = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__kept")).cast("long")
+    return out.select(*names, F.array_join("__kept", "\n").alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ SPACE_WORDS = r"'[^\x20\x09-\x0D]+'"
 
 LINES = f"""
 with d as (select row_number() over () as rid, doc_id, source, text, string_split(text, chr(10)) as ls from documents),
-h as (select source, count(*) as pages from d group by 1 having count(*) >= {lines.MIN_PAGES}),
+h as (select source, count(*) as pages from d group by 1),
 e as (select rid, doc_id, source, unnest(ls) as x, generate_subscripts(ls, 1) as i from d),
 c as (select source, trim(x) as line, count(distinct rid) as n from e where trim(x) <> '' group by 1, 2),
-b as (select c.source, line from c join h on h.source is not distinct from c.source where n > {lines.RATIO} * pages),
+b as (select c.source, line from c join h on h.source is not distinct from c.source where n > {lines.RATIO} * pages and n >= {lines.LEAST}),
 k as (select rid, count(*) as n_lines, count(b.line) as n_dropped, coalesce(string_agg(x, chr(10) order by i) filter (b.line is null), '') as t from e left join b on b.source is not distinct from e.source and b.line = trim(x) group by 1)
 select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped, md5(coalesce(t, '')) as kept_md5 from d left join k using (rid)"""
 

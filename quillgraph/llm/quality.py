@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import join_hosts, slices, table, text_bytes
+from quillgraph.llm.common import join_hosts, slices, table, text_bytes, written
 from quillgraph.llm.scan import PLAIN, SPACE, windows, words
 
 #: Characters counted as symbols.
@@ -115,25 +115,33 @@ def host_verdicts(judged: DataFrame, bad_host: float = 0.5) -> DataFrame:
 
 
 def judge(docs: DataFrame, bad_host: float = 0.5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
-    """Rows of (doc_id, source, text) with their counts, base_failed, host_failed_rate and kept.
+    """Rows of (doc_id, source, text) with their counts, base_failed, host_rate and kept; other columns are not looked at.
 
-    kept is false where the document fails by itself, else the verdict on its host. Null or empty
-    texts fail (no words); documents with a null source are judged as one host; an empty table
-    gives no rows. The counts are joined with hosts on null-safe equality, with no text in the rows.
+    kept is false where the document fails by itself, else the verdict on its host; a host exactly at
+    bad_host stays. Null or empty texts fail (no words); documents with a null source are judged as
+    one host; an empty table gives no rows. Texts are read once: the counts, without texts, are
+    written, summed by host and joined with the verdicts.
     """
-    counted = document_features(docs.select("doc_id", "source", "text")).withColumn("base_failed", failed(min_words, repeat_percent))
-    verdicts = host_verdicts(counted, bad_host).select(F.col("source").alias("_source"), F.col("shrunk_rate").alias("host_rate"), "host_kept")
-    joined = counted.join(verdicts, counted["source"].eqNullSafe(verdicts["_source"]), "left")
+    rule = failed(min_words, repeat_percent)
+    counted = written(document_features(docs.select("doc_id", "source", "text")).withColumn("base_failed", rule), "quality-counts")
+    verdicts = host_verdicts(counted, bad_host).select(F.col("source").alias("__host"), F.col("shrunk_rate").alias("host_rate"), "host_kept")
+    joined = join_hosts(counted, "source", verdicts, "left")
     return joined.select("doc_id", "source", *FEATURES, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept"))
 
 
 def keep(docs: DataFrame, bad_host: float = 0.5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
-    """The rows and columns of docs that judge() would keep; hosts are judged in a pass of their own, without texts in a shuffle."""
-    rule = failed(min_words, repeat_percent)
-    hosts = host_verdicts(document_features(docs.select("source", "text")).withColumn("base_failed", rule), bad_host)
-    bad = hosts.filter(~F.col("host_kept")).select(F.col("source").alias("_host"))
-    passed = document_features(docs, keep_text=True).filter(~rule).select(*docs.columns)
-    return join_hosts(passed, "source", bad, "left_anti")
+    """The rows and columns of docs that judge() would keep.
+
+    Texts are read once: what passes by itself is written with its text, the rest without, and rejected
+    hosts are taken out of that.
+    """
+    wrapped = docs.select("source", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__rest"))
+    judged = document_features(wrapped, keep_text=True).withColumn("__failed", failed(min_words, repeat_percent))
+    columns = [F.when(~F.col("__failed"), F.col("text")).alias("text") if c == "text" else F.col("__rest")[c].alias(c) for c in docs.columns]
+    judged = written(judged.select(*columns, "__failed"), "quality-passed")
+    hosts = host_verdicts(judged.select("source", F.col("__failed").alias("base_failed")), bad_host)
+    bad = hosts.filter(~F.col("host_kept")).select(F.col("source").alias("__host"))
+    return join_hosts(judged.filter(~F.col("__failed")).select(*docs.columns), "source", bad, "left_anti")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

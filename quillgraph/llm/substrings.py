@@ -311,12 +311,12 @@ def remove_repeats(docs: DataFrame, keep_spans: bool = True) -> DataFrame:
     rest = [f for f in base.schema.fields if f.name != "text"]
     folder = fresh_dir(spark, "repeats")
     listed = kept_in(cut(base.select("text", *[f"`{f.name}`" for f in rest]), folder), f"{folder}/listed")
-    size = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    many, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     parts = max(16, -(-size // SHARE))
-    asked = at_slices(at_parts(ask_hashes(listed, parts), answer_hashes), ask_surroundings(folder, parts))
-    found = kept_in(at_parts(asked, compared), f"{folder}/offsets")
+    asked = at_slices(at_parts(ask_hashes(listed, parts), parts, answer_hashes), many, ask_surroundings(folder, parts))
+    found = kept_in(at_parts(asked, parts, compared), f"{folder}/offsets")
     discard(f"{folder}/listed")
-    return at_slices(found, marked(folder, keep_spans), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), RESULT]))
+    return at_slices(found, many, marked(folder, keep_spans), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), RESULT]))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

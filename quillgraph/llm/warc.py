@@ -131,12 +131,13 @@ def payload_of(block: bytes) -> bytes:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """Adds refers_to, the largest page_id of the same payload, and n_same, the pages with that payload.
+    """page_id, url, html of every row, and refers_to, the largest page_id of the same payload, and n_same, the pages with that payload.
 
     Only pages whose digest occurs twice find a partner; the digests are combined before their
     shuffle, and both sides of the join are salted, so a payload on a third of all pages is dealt to
     SALTS tasks. Null html is an empty payload.
     """
+    pages = pages.select("page_id", "url", "html")
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     keyed = pages.withColumn("_digest", digest).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     twice = pages.select("page_id", digest.alias("_digest")).groupBy("_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n_same")).filter(F.col("n_same") > 1)
@@ -145,7 +146,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL) -> DataFrame:
-    """Writes a record for each row of (page_id, url, html); returns (path, n_records) of the archives.
+    """Writes a record for each row of (page_id, url, html), other columns aside; returns (path, n_records) of the archives.
+
+    A null or blank url is written as `urn:none`.
 
     Of records with equal payloads of at least least_bytes, the one with the largest page_id is the
     response and the others revisit it (rows that repeat that page_id are responses as well). A null

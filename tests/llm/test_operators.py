@@ -253,8 +253,23 @@ def test_lines_salted_join_is_the_same(spark, monkeypatch):
 
     docs = spark.createDataFrame([(i, f"menu\nline {i}", f"h{i % 3}" if i % 4 else None) for i in range(200)], "doc_id long, text string, source string")
     want = sorted(map(tuple, lines.drop_lines(docs).collect()), key=repr)
-    monkeypatch.setattr(common, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ENTRIES", 0)  # hot hosts are salted
     assert sorted(map(tuple, lines.drop_lines(docs).collect()), key=repr) == want
+    monkeypatch.setattr(common, "BROADCAST_ENTRIES", 3)  # hot hosts are broadcast, the null host among them
+    monkeypatch.setattr(common, "HOT_SHARE", 0.24)
+    assert sorted(map(tuple, lines.drop_lines(docs).collect()), key=repr) == want
+    monkeypatch.setattr(common, "HOT_SHARE", 2)  # no host is hot
+    assert sorted(map(tuple, lines.drop_lines(docs).collect()), key=repr) == want
+
+
+def test_lines_at_the_ratio_tabs_and_clashes(spark):
+    rows = [(i, "\n".join(["ten", *(["eleven"] if i < 11 else []), "\tpad" if i % 2 else "pad"])[(4 if i >= 10 else 0) :], "h") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("boiler", F.lit(1)).withColumn("n_lines", F.lit("x")).withColumn("n_dropped", F.lit("x")).withColumn("h", F.lit(2))
+    got = {r.doc_id: r for r in lines.drop_lines(docs).collect()}
+    assert got[0].text == "ten" and got[0].n_dropped == 2 and got[50].text == "" and got[0].boiler == 1 and got[0].h == 2
+    long = "\n".join(f"own {i}" for i in range(200_000)) + "\nmenu"
+    got = lines.drop_lines(spark.createDataFrame([(1, long, "s"), (2, "menu\nx", "s")], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {1: (200_001, 1), 2: (2, 1)}
 
 
 def brute_hits(text, items, n=10):
@@ -353,6 +368,10 @@ def test_warc_round_trip(spark, tmp_path):
     for i, _, html in rows:
         raw = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), warc.sha1_base32(raw)) and (got[i].payload is None or bytes(got[i].payload) == raw)
+    clash = pages.withColumn("refers_to", F.lit(1)).withColumn("n_same", F.lit(1)).withColumn("_digest", F.lit("x")).withColumn("_salt", F.lit(1))
+    again = warc.write_archives(clash.union(clash.filter("page_id = 5")), f"{folder}2")
+    done = [(r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark.createDataFrame(again.collect(), again.schema), f"{folder}2").collect()]
+    assert Counter(done)[(5, "response", None)] == 2 and len(done) == len(rows) + 1 and (1, "revisit", 5) in done
     none = warc.write_archives(pages.filter("false"), folder)
     assert none.count() == 0
 
@@ -361,8 +380,15 @@ def test_bpe(spark, odd, empty):
     enc = bpe.encoding(*bpe.default_ranks())
     rng = random.Random(6)
     long = "".join(rng.choice(["word ", "don't", "  ", "\n\n", "12345", "é!", " ", "¿"]) for _ in range(4000))
-    for size in (50, 333, 1000):
-        assert [i for p in bpe.pieces(long, size) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(long)
+    unspaced = "".join(rng.choice(["字", "。", "か", "é", ",", "'s", "'", "d", "ll", "한", "!", "7", "\n", "١", "ж", "\u3000", "\x1c"]) for _ in range(6000))
+    for text in (long, unspaced):
+        for size in (1, 50, 333, 1000):
+            assert [i for p in bpe.pieces(text, size) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text) == bpe.encode(enc, text, size)
+    assert max(map(len, bpe.pieces("字。" * 50_000, 1000))) < 1100 and max(map(len, bpe.pieces("字。\n" * 50_000, 1000))) < 1100
+    whole = bpe.encoding(bpe.default_ranks()[0], r"[\s\S]")
+    assert bpe.encode(whole, "字。" * 300, 10) == whole.encode_ordinary("字。" * 300)
+    clash = bpe.tokens(odd.withColumn("token_ids", F.lit(1)).withColumn("decoded", F.lit(1))).collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in clash)
     texts = [t or "" for _, t, *_ in ODD]
     got = bpe.digests(odd).collect()
     assert Counter(r.decoded_sha256 for r in got) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in texts)
@@ -396,6 +422,43 @@ def test_language_vectors():
     assert len(language.grams("123 !!")[0]) == 0
 
 
+def brute_grams(text):
+    s = [0]
+    for c in [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text] + [0]:
+        if c or s[-1]:
+            s.append(c)
+    return Counter((a << 42) | (b << 21) | c for a, b, c in zip(s, s[1:], s[2:], strict=False) if a or b or c)
+
+
+@pytest.mark.parametrize("step", [1, 2, 5, 1 << 18])
+def test_grams_of_long_texts(monkeypatch, step):
+    monkeypatch.setattr(language, "STEP", step)
+    rng = random.Random(step)
+    for text in ["", "a", "!", "a!b", "x" * 40, *("".join(rng.choice("aBé 1!Ω") for _ in range(rng.randint(1, 60))) for _ in range(40))]:
+        keys, n = language.grams(text)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == dict(brute_grams(text))
+
+
+def test_identify_against_plain_sums(spark):
+    """Predictions by the operator's vectors, but with plain sums over every gram of every text."""
+    import numpy as np
+
+    rng = random.Random(12)
+    words = {"aa": ["kala", "mato", "susi"], "bb": ["brzt", "ghul", "yyx"], "cc": ["lorem", "ipsu", "amet"]}
+    rows = [(i, " ".join(rng.choice(words[k] + ["common"]) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate(rng.choice(list(words)) for _ in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
+    got = {r.doc_id: r for r in language.identify(docs, *language.profiles(docs.repartition(3))).collect()}
+    vectors = language.Vectors()
+    plain = lambda t: sum(c * vectors._make(k).astype(float) for k, c in brute_grams(t).items())
+    sums = {k: sum(plain(t) for _, t, own in rows if own == k) for k in words}
+    for i, t, _ in rows:
+        v = plain(t)
+        cosine = {k: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for k, s in sums.items()}
+        assert got[i].lang_pred == max(sorted(cosine), key=cosine.get) and abs(got[i].score - min(1, max(0, cosine[got[i].lang_pred]))) < 1e-6
+    same = spark.createDataFrame([(1, "kala", "bb"), (2, "kala", "aa")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(same, *language.profiles(same)).collect()} == {"aa"}  # ties: first in order
+
+
 def brute_quality(t):
     import re
 
@@ -415,6 +478,12 @@ def test_quality(spark, odd, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
     assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(r.doc_id for r in quality.judge(docs).filter("kept").collect())
+    clash = docs.withColumn("n_words", F.lit("x")).withColumn("host_kept", F.lit("x")).withColumn("_source", F.lit("x")).withColumn("base_failed", F.lit("x"))
+    assert quality.keep(clash).columns == clash.columns and quality.keep(clash).count() == quality.keep(docs).count()
+    even = spark.createDataFrame([(i, "one two three four five six seven eight nine ten" if i % 2 else "", f"s{i // 20}") for i in range(40)], "doc_id long, text string, source string")
+    assert quality.judge(even, bad_host=0.5).filter("kept").count() == 20 and quality.judge(even, bad_host=0.49).filter("kept").count() == 0
+    far = " ".join(f"w{i}" for i in range(300_000)) + " w0 w1 w2 w3 w4"
+    assert [r.n_repeat_words for r in quality.judge(spark.createDataFrame([(1, far, "s")], "doc_id long, text string, source string")).collect()] == [10]
     assert quality.judge(odd).count() == len(ODD) and quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0
 
 
