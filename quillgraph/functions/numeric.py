@@ -136,8 +136,8 @@ def oklab(colour: str) -> list[float]:
 
 
 def _channel(linear: Column) -> Column:
-    v = clamped(linear, 0, 1)
-    return F.lpad(F.hex(F.floor(255 * F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055) + 0.5)), 2, "0")
+    curve = lambda v: F.when(v <= 0.0031308, 12.92 * v).otherwise(1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+    return F.lpad(F.hex(F.floor(255 * F.transform(F.array(clamped(linear, 0, 1)), curve)[0] + 0.5)), 2, "0")
 
 
 def gradient_colour(first_year: Column, window_from: Column, window_to: Column) -> Column:
@@ -152,5 +152,20 @@ def gradient_colour(first_year: Column, window_from: Column, window_to: Column)
     for k in range(3):
         values = F.array(*[F.lit(a[k]) for a in [*anchors, anchors[-1]]])
         lab.append(F.get(values, low) + (F.get(values, low + 1) - F.get(values, low)) * share)
-    rgb = _times(TO_RGB, [x * x * x for x in _times(FROM_LAB, lab)])
-    return F.when(first_year.isNull() | window_from.isNull(), F.lit(UNKNOWN_YEAR)).otherwise(F.concat(F.lit("#"), *[_channel(c) for c in rgb]))
+    # each step is bound once: written out, every channel would repeat all steps before it
+    lms = _bound(lab, lambda v: [x * x * x for x in _times(FROM_LAB, v)])
+    colour = lms(lambda v: F.concat(F.lit("#"), *[_channel(c) for c in _times(TO_RGB, v)]))
+    return F.when(first_year.isNull() | window_from.isNull(), F.lit(UNKNOWN_YEAR)).otherwise(colour)
+
+
+def _bound(values: list[Column], step):
+    """A function that applies `last` to step(values), with the values and step's results evaluated once each."""
+
+    def apply(last) -> Column:
+        def inner(v: Column) -> Column:
+            done = F.array(*step([v[k] for k in range(len(values))]))
+            return F.transform(F.array(done), lambda w: last([w[k] for k in range(len(values))]))[0]
+
+        return F.transform(F.array(F.array(*values)), inner)[0]
+
+    return apply

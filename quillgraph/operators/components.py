@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from quillgraph.shared import discard, fresh_dir, kept_in
 
 
+#: Tasks that a node's neighbours are dealt to.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """Edges with `m`, the least `other` of each `node`.
+
+    A node may have any number of neighbours, so they are dealt to SALTS groups by the other end; a
+    node's least comes back to its groups, at most SALTS rows, and joins there.
+    """
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    groups = dealt.groupBy(node, "s").agg(F.min(other).alias("m"))
+    least = groups.groupBy(node).agg(F.min("m").alias("m"))
+    return dealt.join(groups.select(node, "s").join(least, node), [node, "s"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("m").alias("u"), "v").distinct()
+    return _with_least(both, "u", "v").filter(F.col("v") > F.col("u")).select(F.least("u", "m").alias("u"), "v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = edges.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).filter(F.col("u") < F.col("v"))
-    return moved.union(least.select(F.col("m").alias("u"), "v")).distinct()
+    near = _with_least(edges, "v", "u")
+    each = F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("v").alias("v"))))
+    return near.select(each.alias("e")).select("e.u", "e.v").filter(F.col("u") < F.col("v")).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,14 +47,14 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
 
     Self-links give a node by itself, rows with a null end are left out, an empty table gives no
     rows. Each pass combines minima before its shuffles and is written to the shared folder, so the
-    lineage stays short and no component is ever gathered in one place; the pass before is deleted.
+    lineage stays short and no component is ever gathered in one place; all but the result is deleted.
     A star that does not settle within `most` passes raises an error.
     """
     spark = links.sparkSession
     folder = fresh_dir(spark, "components")
     known = kept_in(links.select("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull()), f"{folder}/links")
     edges = kept_in(known.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/0")
-    before = _mark(edges)
+    before, i = _mark(edges), 0
     for i in range(most if before[0] else 0):
         edges = kept_in(_small_star(_large_star(edges)), f"{folder}/{i + 1}")
         discard(f"{folder}/{i}")
@@ -54,4 +69,7 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
     centres = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     alone = known.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("u").alias("component"))
     linked = stars.union(centres)
-    return linked.union(alone.distinct().join(linked, "node", "left_anti"))
+    out = kept_in(linked.union(alone.distinct().join(linked, "node", "left_anti")), f"{folder}/components")
+    for name in ("links", *map(str, range(i + 2))):
+        discard(f"{folder}/{name}")
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import numeric as N
 from quillgraph.operators import network
-from quillgraph.shared import kept
+from quillgraph.shared import discard, fresh_dir, kept_in
 
 
 def incident_sums(edges: DataFrame, support: str) -> DataFrame:
@@ -39,9 +39,10 @@ def unit_metrics(membership: DataFrame, ownership: DataFrame, total_patents: Dat
     The memberships, what applicants hold and the pairs are read several times and written once each;
     held: the applicants' concepts, if membership and they are written already.
     """
+    folder = fresh_dir(membership.sparkSession, "units")
     if held is None:
-        membership = kept(membership, "membership")
-        held = kept(network.applicant_concepts(membership, ownership), "held")
+        membership = kept_in(membership, f"{folder}/membership")
+        held = kept_in(network.applicant_concepts(membership, ownership), f"{folder}/held")
     edges = network.cooccurrence(membership)
     holders = network.concept_applicants(held)
     shared = network.pairs_by_join(held, "applicant", "concept").withColumnRenamed("support", "support_applicants")
@@ -60,10 +61,12 @@ def unit_metrics(membership: DataFrame, ownership: DataFrame, total_patents: Dat
         N.npmi(share("support", "_np"), share("frequency_a", "_np"), share("frequency_b", "_np")).alias("npmi"),
         N.npmi(share("support_applicants", "_na"), share("applicants_a", "_na"), share("applicants_b", "_na")).alias("npmi_applicants"),
     )
-    edges = kept(edges, "pairs")
+    edges = kept_in(edges, f"{folder}/pairs")
+    discard(f"{folder}/membership")
+    discard(f"{folder}/held")
     # both sums of each concept's edges at once; all edges' sum is half of theirs
     ends = edges.select(F.explode(F.array("a", "b")).alias("concept"), "support", "support_applicants")
-    sums = kept(ends.groupBy("concept").agg(F.sum("support").alias("_s"), F.sum("support_applicants").alias("_t")), "sums")
+    sums = kept_in(ends.groupBy("concept").agg(F.sum("support").alias("_s"), F.sum("support_applicants").alias("_t")), f"{folder}/sums")
     total = sums.agg((F.coalesce(F.sum("_s"), F.lit(0)) / 2).cast("long").alias("_ss"), (F.coalesce(F.sum("_t"), F.lit(0)) / 2).cast("long").alias("_tt"))
     ca, cb = (sums.select(F.col("concept").alias(c), F.col("_s").alias(f"_s{c}"), F.col("_t").alias(f"_t{c}")) for c in ("a", "b"))
     out = edges.join(ca, "a").join(cb, "b").crossJoin(F.broadcast(total))
