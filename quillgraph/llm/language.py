@@ -125,22 +125,22 @@ def profiles(labelled: DataFrame, dim: int = DIM, seed: int = 11) -> tuple[list[
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, counts, sums = Vectors(dim, N, seed), {}, {}
+        vectors, held, size, sums = Vectors(dim, N, seed), {}, {}, {}
 
         def add(lang: str) -> None:
-            own = counts.pop(lang)
-            v = vectors.bundle(np.fromiter(own.keys(), np.uint64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
-            sums[lang] = sums.get(lang, 0) + v
+            keys, back = np.unique(np.concatenate([k for k, _ in held[lang]]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([n for _, n in held.pop(lang)]))
+            sums[lang] = sums.get(lang, 0) + vectors.bundle(keys, counts)
+            size.pop(lang)
 
         for batch in it:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                keys, n = grams(text.as_py())
-                own = counts.setdefault(lang, {})
-                for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-                    own[k] = own.get(k, 0) + c
-                if len(own) > 200_000:
+                own = grams(text.as_py())
+                held.setdefault(lang, []).append(own)
+                size[lang] = size.get(lang, 0) + len(own[0])
+                if size[lang] > 1 << 21:
                     add(lang)
-        for lang in list(counts):
+        for lang in list(held):
             add(lang)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v, pa.float64())], names=["lang", "i", "v"])

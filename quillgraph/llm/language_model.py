@@ -40,7 +40,7 @@ END = mix(np.array([0x5E0F_7E47], U))[0]
 #: Strength of the priors, in tokens.
 MU2, MU3 = 1000.0, 1.0
 #: Bytes of text in a slice (a longer text is one slice), and n-grams of slices that a part is meant to get.
-SLICE, SHARE = 6 << 20, 2 << 20
+SLICE, SHARE = 4 << 20, 1 << 20
 _PLACE = 40  # bits of a place in level 2, in the parents of spread contexts
 
 

@@ -3,7 +3,7 @@
 Documents with equal shingle sets become one representative first, so exact copies cost one row
 each and no pair. Representatives that share a band are candidates. A bucket is not expanded into
 pairs: its members are first compared with the bucket's smallest only (signature estimate, then the
-words' full sets). Where members are then still in different components, alike ones are gathered in
+words' full sets); a large bucket is dealt to groups with centres of their own first. Where members are then still in different components, alike ones are gathered in
 clusters, and a cluster's components are compared on full sets, in blocks of bounded size. All that
 these steps return is links that join components, fewer than there are members.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_batches, slices, table, text_bytes, written
+from quillgraph.llm.common import arrow_batches, discard, fresh_dir, kept_in, slices, table, text_bytes
 from quillgraph.operators.components import components
 from quillgraph.llm.scan import mix, windows, words
 
@@ -28,6 +28,8 @@ ROWS = 5
 MARGIN = 0.16
 #: Members of a bucket, and of a cluster, that one chunk holds; a task compares two chunks.
 BUCKET_ROWS, CLUSTER_ROWS = 10_000, 1_000
+#: Groups that the members of one bucket, cluster or shingle set are dealt to.
+SALTS = 64
 #: Pairs of texts that a worker gets at a time.
 PAIR_ROWS = 256
 
@@ -150,42 +152,55 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long").distinct()
 
 
+def _salt(column: str = "doc_id"):
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _attached(rows: DataFrame, key: str, values: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (doc_id, key, ...) joined with one row a key, by (key, salt): a key on any share of the rows meets its value in SALTS places."""
+    dealt = rows.withColumn("_s", _salt())
+    return dealt.join(dealt.select(key, "_s").distinct().join(values, key), [key, "_s"], how).drop("_s")
+
+
 def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Rows in blocks (key, i, j): a key's rows are dealt to chunks of about `size`, and each pair of chunks is a block.
 
     A block has two chunks at most, whatever the key's size, and every pair of a key's rows meets in a block.
     """
     counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_c"))
-    dealt = rows.join(counts, key).withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.col("_c")).cast("int"))
+    dealt = _attached(rows, key, counts).withColumn("_k", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_c")).cast("int"))
     return dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("i", F.least("_k", "_x")).withColumn("j", F.greatest("_k", "_x")).drop("_c", "_x")
 
 
-class _Forest:
-    """Joins labels; link() tells whether two were apart."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def link(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _spanning(ids: np.ndarray, comp: np.ndarray, hits) -> pa.Table:
-    """Links (u, v) that join components, out of pairs of places; at most one link fewer than there are components."""
-    forest, us, vs = _Forest(), [], []
-    for x, y in hits:
-        if forest.link(int(comp[x]), int(comp[y])):
-            us.append(int(ids[x]))
-            vs.append(int(ids[y]))
+    """Links (u, v) that join components; at most one fewer than there are components.
+
+    hits(label) gives arrays (x, y) of alike places whose labels differ, a stretch at a time. Only one
+    pair for each two labels is looked at, labels follow what is joined, and a block that has become
+    one component is done.
+    """
+    _, label = np.unique(comp, return_inverse=True)
+    label = label.astype(np.int64)
+    many = int(label.max()) + 1 if len(label) else 0
+    us, vs = [], []
+    for x, y in hits(label):
+        _, first = np.unique(np.minimum(label[x], label[y]) * many + np.maximum(label[x], label[y]), return_index=True)
+        root = np.arange(many)
+        for k in first.tolist():
+            a, b = int(label[x[k]]), int(label[y[k]])
+            while root[a] != a:
+                a = int(root[a])
+            while root[b] != b:
+                b = int(root[b])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                us.append(int(ids[x[k]]))
+                vs.append(int(ids[y[k]]))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        label[:] = root[label]
+        if not label.any():  # all places have label 0
+            break
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
@@ -197,14 +212,16 @@ def _alike_components(rest: DataFrame, least: float) -> DataFrame:
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
         step = max(1, (16 << 20) // max(1, sig.size))
 
-        def hits() -> Iterator[tuple[int, int]]:
+        def hits(label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for a in range(0, len(ids), step):
-                apart = comp[a : a + step, None] != comp[None, a:]
-                agree = (sig[a : a + step, None, :] == sig[None, a:, :]).mean(axis=2, dtype=np.float32)
-                x, y = np.nonzero(apart & (agree >= least))
-                yield from zip((x + a).tolist(), (y + a).tolist(), strict=True)
+                apart = label[a : a + step, None] != label[None, a:]
+                if apart.any():
+                    agree = (sig[a : a + step, None, :] == sig[None, a:, :]).mean(axis=2, dtype=np.float32)
+                    x, y = np.nonzero(apart & (agree >= least))
+                    if len(x):
+                        yield x + a, y + a
 
-        return _spanning(ids, comp, hits())
+        return _spanning(ids, comp, hits)
 
     return _blocked(rest, "key", BUCKET_ROWS).groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
@@ -250,13 +267,14 @@ def _exact_components(members: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(x, _U) for x in group.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
 
-        def hits() -> Iterator[tuple[int, int]]:
+        def hits(label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for a, both in intersections(sets):
                 union = size[a : a + 256, None] + size[None, :] - both
-                x, y = np.nonzero((comp[a : a + 256, None] < comp[None, :]) & (both > 0) & (100 * both >= percent * union))
-                yield from zip((x + a).tolist(), y.tolist(), strict=True)
+                x, y = np.nonzero((label[a : a + 256, None] != label[None, :]) & (both > 0) & (100 * both >= percent * union))
+                if len(x):
+                    yield x + a, y
 
-        return _spanning(ids, comp, hits())
+        return _spanning(ids, comp, hits)
 
     return _blocked(members, "cluster", CLUSTER_ROWS).groupBy("cluster", "i", "j").applyInArrow(run, "u long, v long").distinct()
 
@@ -270,41 +288,50 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     document with the links of all of them. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    least = percent / 100 - MARGIN
+    least, folder = percent / 100 - MARGIN, fresh_dir(spark, "near")
+    keep = lambda df, name: kept_in(df, f"{folder}/{name}")
     smallest = -(-percent // (100 - percent))  # a set below this size links with equal sets only
     with arrow_batches(spark):
-        sets = written(signed_sets(docs, n), "near-sets")
-    reps = written(
+        sets = keep(signed_sets(docs, n), "sets")
+    reps = keep(
         sets.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
-        "near-reps",
+        "reps",
     )
-    rows = reps.filter(F.col("n_shingles") >= smallest).select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("key", "centre")
-    members = written(rows.join(shared, "key"), "near-members")
+    rows = reps.filter(F.col("n_shingles") >= smallest).select("doc_id", F.explode("bands").alias("key")).withColumn("sub", _salt())
+    # a bucket's centre, and centres of its SALTS groups, so that no centre is compared with a whole large bucket
+    groups_ = rows.groupBy("key", "sub").agg(F.min("doc_id").alias("local"), F.count(F.lit(1)).alias("n"))
+    shared = groups_.groupBy("key").agg(F.min("local").alias("centre"), F.sum("n").alias("n")).filter(F.col("n") > 1).select("key", "centre")
+    members = keep(rows.join(groups_.select("key", "sub", "local").join(shared, "key"), ["key", "sub"]), "members")
     ids = members.select("doc_id").distinct()
-    signed = written(reps.join(ids, "doc_id", "left_semi").select("doc_id", "signature").distinct(), "near-signed")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes")).join(ids, "doc_id", "left_semi").distinct(), "near-texts")
+    signed = keep(reps.join(ids, "doc_id", "left_semi").select("doc_id", "signature").distinct(), "signed")
+    texts = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("bytes")).join(ids, "doc_id", "left_semi").distinct(), "texts")
 
     with arrow_batches(spark, PAIR_ROWS):  # a batch of pairs holds two texts a row
-        tested = members.filter(F.col("centre") != F.col("doc_id")).select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct()
-        tested = written(_alike(tested, signed, least), "near-pairs")
-        links = written(_linked(tested, texts, n, percent), "near-links")
+        stars = F.explode(F.array(F.struct(F.col("local").alias("u"), F.col("doc_id").alias("v")), F.struct(F.col("centre").alias("u"), F.col("local").alias("v"))))
+        tested = members.select(stars.alias("e")).select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct()
+        tested = keep(_alike(tested, signed, least), "pairs")
+        links = keep(_linked(tested, texts, n, percent), "links")
         found = components(links)
-        named = members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        named = keep(members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "named")
         open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter(F.col("a") != F.col("b")).select("key")
-        rest = named.join(open_keys, "key", "left_semi").join(signed, "doc_id")
-        alike = written(_alike_components(rest, least), "near-alike")
+        rest = _attached(named, "key", open_keys).join(signed, "doc_id")
+        alike = keep(_alike_components(rest, least), "alike")
         if not alike.isEmpty():
             stars = found.select(F.col("component").alias("u"), F.col("node").alias("v"))
             clusters = components(stars.union(alike)).withColumnRenamed("component", "cluster")
             touched = clusters.join(alike.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").select("cluster").distinct()
-            inside = clusters.join(touched, "cluster", "left_semi").join(found, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component"))
-            ready = written(inside.join(_sets_of(texts, n), "doc_id"), "near-clusters")
-            found = components(stars.union(written(_exact_components(ready, percent), "near-more")))
+            inside = _attached(clusters.withColumnRenamed("node", "doc_id"), "cluster", touched).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
+            ready = keep(inside.join(_sets_of(texts, n), "doc_id"), "clusters")
+            found = components(stars.union(keep(_exact_components(ready, percent), "more")))
 
     named = reps.select("set_key", F.col("doc_id").alias("rep")).join(found, F.col("rep") == found["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    done = sets.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    # rows without a key have no component; a set may be that of any share of the rows
+    done = _attached(sets.filter(F.col("set_key").isNotNull()).select("doc_id", "n_shingles", "set_key"), "set_key", named)
+    done = done.select("doc_id", "n_shingles", "component").union(sets.filter(F.col("set_key").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long")))
     # rows that share a doc_id are one document
+    done = keep(done, "done")
+    for name in ("sets", "reps", "members", "signed", "texts", "pairs", "links", "named", "alike", "clusters", "more"):
+        discard(f"{folder}/{name}")
     own = done.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("_other"), F.count(F.lit(1)).alias("_n"))
     split = own.filter((F.col("component") != F.col("_other")) & F.col("doc_id").isNotNull())
     component = F.coalesce("component", "doc_id")

@@ -51,7 +51,7 @@ _P = sharding.PRIME
 SHARDING = f"""
 with recursive tab as (select list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end, i)) as crc),
 c as (select doc_id, strlen(coalesce(text, '')) + 8 as size, case when coalesce(text, '') = '' then 0 else xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: cast('0x' || b as bigint)), lambda a, b: xor(a // 256, crc[cast(xor(a % 256, b) + 1 as bigint)]), 4294967295)) end as text_crc32 from documents cross join tab),
-b as (select *, (((coalesce(doc_id, 0) % {_P}) * 48271 + size % {_P}) % {_P} * 48271 + text_crc32 % {_P}) % {_P} % {sharding.BUCKETS} as bucket from c),
+b as (select *, (((coalesce(doc_id, 0) % {_P}) * 48271 + size % {_P}) % {_P} * 48271 + text_crc32 % {_P}) % {_P} % (select greatest({sharding.BUCKETS}, cast(ceil(count(*) / {sharding.BUCKET_ROWS}.0) as bigint)) from documents) as bucket from c),
 n as (select *, row_number() over (order by bucket, doc_id nulls first, size, text_crc32) - 1 as number, count(*) over () as total, cast(ceil(sqrt(count(*) over ())) as bigint) as side from b),
 w as (select number, total, side, number // side as l, number % side as r, 0 as k from n
  union all

@@ -15,8 +15,8 @@ from quillgraph.llm.common import table
 
 #: Round arithmetic is modulo this prime, so that products of two digits stay below 2**62.
 PRIME = 2_147_483_647
-#: Buckets of the global numbering: one task sorts N / BUCKETS rows at a time.
-BUCKETS = 4096
+#: Buckets of the global numbering, and rows that one is to have at most beyond that many buckets: a task sorts a bucket at a time.
+BUCKETS, BUCKET_ROWS = 4096, 1_000_000
 #: Walks through values of N or more until one below N; the walk is checked to have ended.
 WALK = 128
 
@@ -54,17 +54,22 @@ def permuted(number: Column, total: Column, side: Column, seed: int = 20240229,
     return F.transform(F.array(walked), lambda p: F.when(p < total, p).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long")))[0]
 
 
-def global_numbers(df: DataFrame, order: list[str]) -> DataFrame:
+def buckets_of(n: int) -> int:
+    """Buckets for n rows; the driver's window over them has one row each."""
+    return max(BUCKETS, -(-n // BUCKET_ROWS))
+
+
+def global_numbers(df: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Rows of the `order` columns (integers) with `number`, 0..N-1 by (bucket, order), and `total`, N.
 
     Alike rows are first counted (combined before the shuffle) and take a run of numbers, so a row
     repeated any number of times loads no task. The buckets mix all ordering columns; each is sorted
-    by itself, and the buckets' offsets are an aggregate of at most BUCKETS rows.
+    by itself, and the buckets' offsets are an aggregate of one row each.
     """
     mixed = F.lit(0).cast("long")
     for c in order:
         mixed = (mixed * 48271 + F.pmod(F.coalesce(c, F.lit(0)).cast("long"), F.lit(PRIME))) % PRIME
-    groups = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", mixed % BUCKETS)
+    groups = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", mixed % buckets)
     sizes = groups.groupBy("_bucket").agg(F.sum("_n").alias("_size"))
     every = Window.partitionBy(F.lit(0))
     offsets = sizes.select("_bucket", (F.sum("_size").over(every.orderBy("_bucket")) - F.col("_size")).alias("_offset"), F.sum("_size").over(every).alias("total"))
@@ -79,11 +84,11 @@ def global_numbers(df: DataFrame, order: list[str]) -> DataFrame:
 def shard(docs: DataFrame, n_shards: int = 24, seed: int = 20240229, rounds: int = 6) -> DataFrame:
     """Rows of (doc_id, text) dealt to shards 0..n_shards-1 under the law `rows`: counts at most one apart.
 
-    A null text has size 8 and the checksum of no bytes; an empty table gives no rows; null and
+    Rows equal in doc_id, size and checksum are interchangeable. A null text has size 8 and the checksum of no bytes; an empty table gives no rows; null and
     repeated doc_ids are rows like any other. Other columns of docs are not looked at.
     """
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    numbered = global_numbers(rows, ["doc_id", "size", "text_crc32"])
+    numbered = global_numbers(rows, ["doc_id", "size", "text_crc32"], buckets_of(docs.count()))
     root = F.ceil(F.sqrt(F.col("total").cast("double"))).cast("long")
     side = F.when(root * root < F.col("total"), root + 1).otherwise(root)
     p = numbered.withColumn("_side", side).withColumn("_p", permuted(F.col("number"), F.col("total"), F.col("_side"), seed, rounds))

@@ -81,6 +81,60 @@ def test_near_dedup(spark, monkeypatch, n, percent, chunk):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(near_dedup.shingles_of(t.encode(), n)) for i, t in enumerate(texts)}
 
 
+def test_near_dedup_at_the_threshold_and_long(spark):
+    """Pairs exactly at 85 % link, those just below do not; sets are of whole texts."""
+    base = [f"w{i}" for i in range(102)]  # 100 shingles of 3
+    cut_ = lambda k: " ".join(base[: 102 - k])  # noqa: E731  keeps 100 - k shingles, all of them the base's
+    long = [f"l{i}" for i in range(250_000)]
+    texts = [cut_(0), cut_(15), cut_(16) + "x", " ".join(long), " ".join([*long[:-5], "a", "b"]), " ".join(long[:120_000])]
+    got = {r.doc_id: r for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    assert got[1].n_shingles == 85 and got[1].component_id == 0
+    assert got[2].component_id == brute_components(texts[:3], 3, 85)[2]
+    assert got[3].n_shingles == 249_998 and got[4].component_id == 3 and got[5].component_id == 5
+
+
+def test_near_dedup_finds_all_links_of_the_tables(spark):
+    """Recall against brute force, by shared shingles, over a whole table: every link."""
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test data")
+    rows = [(r.doc_id, r.text or "") for r in table(spark, SMALL, "documents", "doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(table(spark, SMALL, "documents", "doc_id", "text"), 3, 85).collect()}
+    want = brute_components([t for _, t in rows], 3, 85)
+    first = {}
+    for (i, _), c in zip(rows, want, strict=True):
+        first[c] = min(first.get(c, i), i)
+    assert got == {i: first[c] for (i, _), c in zip(rows, want, strict=True)}
+
+
+def test_spanning_links_join_what_is_alike():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(30):
+        n = rng.randint(1, 30)
+        comp = np.array([rng.randint(0, 8) for _ in range(n)]) * 7
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 25))]
+
+        def hits(label, pairs=pairs):
+            for k in range(0, len(pairs), 4):
+                own = [(x, y) for x, y in pairs[k : k + 4] if label[x] != label[y]]
+                if own:
+                    yield tuple(np.array(c) for c in zip(*own, strict=True))
+
+        links = near_dedup._spanning(np.arange(n), comp, hits).to_pydict()
+        up = {int(c): int(c) for c in comp}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        joined = lambda ps: [up.update({max(a, b): min(a, b)}) for x, y in ps for a, b in [(root(int(comp[x])), root(int(comp[y])))] if a != b]
+        made = joined(zip(links["u"], links["v"], strict=True))
+        assert len(made) == len(links["u"])  # no link is spare
+        assert not joined(pairs)  # and none is missing
+
+
 def test_near_dedup_odd(odd, empty):
     got = near_dedup.groups(odd, 3, 85).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 1} == {1} and all(r.n_shingles == 0 and r.kept for r in got if r.doc_id in (2, 3))
@@ -137,6 +191,8 @@ def test_substrings_long_text(spark, monkeypatch):
 
 
 def test_substrings_odd(odd, empty):
+    clash = odd.withColumn("n_bytes", F.lit("x")).withColumn("spans", F.lit("x")).withColumn("kept_sha256", F.lit("x"))
+    assert substrings.remove_repeats(clash).filter("n_removed = 3000").count() == 1
     got = substrings.remove_repeats(odd).collect()
     assert len(got) == len(ODD) and {r.n_removed for r in got if r.doc_id == 5} == {3000} and {r.n_bytes for r in got if r.doc_id in (2, 3)} == {0}
     assert substrings.remove_repeats(empty).count() == 0
@@ -215,6 +271,20 @@ def test_op1_against_counts(spark, tmp_path):
     assert all(abs(r.score - model_score(texts[r.doc_id], p1, p2, p3)) <= 0.05 * r.n_tokens for r in got if r.doc_id in texts and r.doc_id != 7)
 
 
+@needs_data
+def test_op1_counts_of_a_whole_table(spark):
+    docs = [(r.doc_id, (r.text or "").encode().lower().split()) for r in table(spark, SMALL, "documents", "doc_id", "text").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(x for i, w in docs if not held(i) for x in [*w, None])
+    n, v = sum(c.values()), len(c)
+    got = {r.doc_id: r for r in queries.QUERIES["op1_lm"](spark, SMALL).collect()}
+    assert len(got) == len(docs)
+    for i, w in docs:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*w, None]))
+
+
 def test_language_model_odd(odd, empty):
     model = language_model.train_model(odd)
     got = language_model.score(odd, model).collect()
@@ -398,6 +468,16 @@ def test_bpe(spark, odd, empty):
     assert bpe.digests(empty).count() == 0 and bpe.tokens(empty).count() == 0
 
 
+@needs_data
+def test_op5_against_the_library(spark):
+    enc = bpe.encoding(*bpe.default_ranks())
+    texts = {r.doc_id: r.text or "" for r in table(spark, SMALL, "documents", "doc_id", "text").collect()}
+    for r in queries.QUERIES["op5_bpe"](spark, SMALL).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
 @needs_data
 def test_language(spark, odd, empty):
     got = {r.doc_id: r for r in queries.QUERIES["op6_language"](spark, SMALL).collect()}

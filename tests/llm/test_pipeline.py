@@ -53,7 +53,7 @@ def test_rows_that_share_an_id(spark):
 
 
 def test_run_and_odd_tables(spark):
-    odd = spark.createDataFrame([(1, "a b c d e f g h i j k l", "en", "s", 1), (1, "a b c d e f g h i j k l", "en", "s", 1), (None, "p q r s t u v w x y z aa", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit(1))
+    odd = spark.createDataFrame([(1, "a b c d e f g h i j k l", "en", "s", 1), (1, "a b c d e f g h i j k l", "en", "s", 1), (None, "p q r s t u v w x y z aa", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit(1)).withColumn("n_words", F.lit("x")).withColumn("boiler", F.lit("x")).withColumn("token_ids", F.lit("x"))
     for docs in (odd, odd.filter("false")):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, SMALL).cache()
