@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, decontamination, lines, near_dedup, quality
-from quillgraph.llm.common import table, written
+from quillgraph.llm.common import discard, fresh_dir, kept_in, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,9 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", *COLUMNS)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    """All stages in order over the documents; a stage's rows are deleted when the next one's are written."""
+    docs, folder, before = table(spark, sf_dir, "documents", *COLUMNS), fresh_dir(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        docs = kept_in(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if before:
+            discard(f"{folder}/{before}")
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
