@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import js_trim
 
+# fixed values: the first year that counts; base, factor, smallest and largest size of each kind of node
 VALID_YEAR_MIN = 1990
+APPLICANT_SIZE, CONCEPT_SIZE, INSTITUTION_SIZE = (18, 5, 18, 52), (10, 10, 10, 72), (18, 5, 0, 52)
+# fixed values: opacity of an edge without support and what is added at most, strokes of edges: base, factor, most
+OPACITY, PAIR_WIDTH, INSTITUTION_WIDTH = (0.30, 0.70), (1, 7, 8.0), (1, 1.4, 8.0)
 
 
 def excel_serial_to_date(serial: Column) -> Column:
@@ -43,16 +47,20 @@ def clamped(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
 
 
+def _size(n: Column, base: float, factor: float, least: float, most: float) -> Column:
+    return clamped(base + factor * F.sqrt(n), least, most)
+
+
 def applicant_size(n: Column) -> Column:
-    return clamped(18 + 5 * F.sqrt(n), 18, 52)
+    return _size(n, *APPLICANT_SIZE)
 
 
 def concept_size(n: Column) -> Column:
-    return clamped(10 + 10 * F.sqrt(n), 10, 72)
+    return _size(n, *CONCEPT_SIZE)
 
 
 def institution_size(n: Column) -> Column:
-    return F.least(F.lit(52.0), 18 + 5 * F.sqrt(n))
+    return _size(n, *INSTITUTION_SIZE)
 
 
 def npmi(pxy: Column, px: Column, py: Column) -> Column:
@@ -72,16 +80,18 @@ def jaccard(both: Column, a: Column, b: Column) -> Column:
 
 
 def support_opacity(support: Column, tau: float = 5.0) -> Column:
-    return 0.30 + 0.70 * (1 - F.exp(-F.greatest(support, F.lit(0)) / tau))
+    return OPACITY[0] + OPACITY[1] * (1 - F.exp(-F.greatest(support, F.lit(0)) / tau))
 
 
 def cooccurrence_width(measure: Column) -> Column:
     """Stroke width of a share or of an NPMI (floored at 0)."""
-    return F.least(F.lit(8.0), 1 + 7 * F.greatest(F.coalesce(measure, F.lit(0.0)), F.lit(0.0)))
+    base, factor, most = PAIR_WIDTH
+    return F.least(F.lit(most), base + factor * F.greatest(F.coalesce(measure, F.lit(0.0)), F.lit(0.0)))
 
 
 def institution_width(support: Column) -> Column:
-    return F.least(F.lit(8.0), 1 + 1.4 * F.sqrt(support))
+    base, factor, most = INSTITUTION_WIDTH
+    return F.least(F.lit(most), base + factor * F.sqrt(support))
 
 
 def citation_net(forward: Column, reverse: Column) -> Column:

@@ -30,6 +30,7 @@ ORG_TYPES = [
     ("科技資訊", "科技|資訊|電子|通訊|軟體|網路|數位|Technolog|Systems|Software", True),
 ]
 PERSON, OTHER = "個人", "其他"
+# fixed values: words by which a short name is no person's, and those of a university
 CORPORATE_SUFFIX = r"公司|企業|集團|基金會|協會|Corp|Inc|Ltd|LLC|GmbH|Co\."
 UNIVERSITY = ("大學", "大學|科技大學|技術學院|University")
 # fixed values: institution view names of organisation types; whatever else there is becomes ACADEMIC
@@ -57,13 +58,18 @@ def clean_applicant_name(raw: Column) -> Column:
     return js_trim(F.regexp_replace(name, r"[（(][^）)]*[）)]$", ""))
 
 
+# fixed values: company suffixes that a merge key unifies, in this order, and what they become
+COMPANY_SUFFIXES = ["(股份)?有限公司$", r"CO\.?,?\s*LTD\.?$", r"(CORPORATION|CORP\.?|INC\.?|LLC\.?|LIMITED)$"]
+COMPANY = "公司"
+
+
 def normalize_applicant_name(raw: Column, fold: bool = True) -> Column:
     """A merge key, not for display: folded, without white space, upper case, company suffixes unified. fold=False: ASCII input, no UDF."""
     s = F.coalesce(raw, F.lit(""))
     s = F.upper(F.regexp_replace(nfkc(s) if fold else s, f"{WS}+", ""))
-    s = F.regexp_replace(s, "(股份)?有限公司$", "公司")
-    s = F.regexp_replace(s, r"CO\.?,?\s*LTD\.?$", "公司")
-    return F.regexp_replace(s, r"(CORPORATION|CORP\.?|INC\.?|LLC\.?|LIMITED)$", "公司")
+    for suffix in COMPANY_SUFFIXES:
+        s = F.regexp_replace(s, suffix, COMPANY)
+    return s
 
 
 def _identifier(raw: Column, keep: str, strip_u: bool) -> Column:
@@ -99,6 +105,7 @@ def normalize_title_key(raw: Column, fold: bool = True) -> Column:
     return F.upper(F.regexp_replace(s, TITLE_PUNCTUATION, ""))
 
 
+# fixed values: shapes of a full classification code and of a bare subclass
 _FULL = r"^([A-H]\d{2}[A-Z])-?(\d{1,4})/(\d{1,6})$"
 _SUBCLASS = r"^[A-H]\d{2}[A-Z]$"
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.components import components
 from quillgraph.operators.metrics import with_association
+from quillgraph.operators.ranks import ranked
 from quillgraph.shared import kept
 
 
@@ -113,7 +114,7 @@ def detect(concepts: DataFrame, edges: DataFrame, mode: str = "association", res
     found = grouped.groupBy("component").applyInPandas(run, f"concept {kind}, leader {kind}")
     named = concepts.select("concept").distinct().join(found, "concept", "left").select("concept", F.coalesce("leader", "concept").alias("leader"))
     # numbers over the communities' leaders
-    ids = named.select("leader").distinct().withColumn("community_id", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("leader")) - 1).cast("int"))
+    ids = ranked(named.select("leader").distinct(), "community_id", "leader").withColumn("community_id", F.col("community_id").cast("int"))
     return named.join(ids, "leader").select("concept", "community_id")
 
 

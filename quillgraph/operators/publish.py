@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.operators.metrics import node_degrees
+from quillgraph.operators.ranks import ranked
 
 # fixed values: label caps at column widths of 85 and 180 mm, dots per inch, mm per inch
 CAP_NARROW, CAP_WIDE, FULL_LABELS_WIDE, DPI, MM_PER_INCH = 15, 35, 30, 300, 25.4
@@ -50,7 +51,7 @@ def primary_labels(nodes: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
 
 
 def reveal_waves(nodes: DataFrame, waves: int, gap_ms: int, order: str = "id") -> DataFrame:
-    """(id, delay_ms): nodes in `waves` groups by rank. A drawing has a bounded number of nodes."""
-    w = Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(w.orderBy(order)) - 1
-    return nodes.select("id", (F.floor(rank * waves / F.count(F.lit(1)).over(w)) * gap_ms).cast("long").alias("delay_ms"))
+    """(id, delay_ms): nodes in `waves` groups by rank."""
+    count = nodes.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    placed = ranked(nodes.select("id", *{order} - {"id"}), "_rank", order).crossJoin(F.broadcast(count))
+    return placed.select("id", (F.floor(F.col("_rank") * waves / F.col("_all")) * gap_ms).cast("long").alias("delay_ms"))

@@ -17,6 +17,7 @@ from quillgraph.functions import numeric as N
 from quillgraph.functions import text as X
 from quillgraph.operators import citations as C
 from quillgraph.operators import community, compare, ipc, metrics, network, temporal
+from quillgraph.operators.ranks import ranked
 from quillgraph.plans.options import ViewOptions, scope_key, with_panel
 from quillgraph.shared import kept
 
@@ -307,8 +308,7 @@ def graph_stats(g: Graph, placeholder: bool = True) -> DataFrame:
 def applicant_colours(ownership: DataFrame, ordinal: DataFrame, colours: list[str] = COMMUNITY_COLOURS) -> DataFrame:
     """(applicant, colour) by first appearance: the smallest ordinal of an applicant's patents, then the applicant."""
     first = ownership.join(ordinal, "patent_id").groupBy("applicant").agg(F.min("ordinal").alias("o"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o", "applicant")) - 1
-    return first.select("applicant", palette(rank, colours).alias("colour"))
+    return ranked(first, "rank", "o", "applicant").select("applicant", palette(F.col("rank"), colours).alias("colour"))
 
 
 def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
