@@ -438,7 +438,7 @@ def exchange(docs: DataFrame, model: Model | None, answers: bool, share: int = S
     folder = fresh_dir(spark, "ngrams")
     listed = kept_in(cut(docs, folder), f"{folder}/listed")
     many, tokens = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    model = model or Model(folder, max(16, -(-tokens // share)), share=share)
+    model = model or Model(folder, max(4, -(-tokens // share)), share=share)
     chunks = 1 if training else max(1, -(-tokens // (model.share * model.parts)))
     found = kept_in(at_parts(ask_words(listed, model.parts, chunks), model.parts * chunks, answer_words(model, training)), f"{folder}/words")
     if training:

@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, keep_spans: bool = True) -> DataFrame:
     folder = fresh_dir(spark, "repeats")
     listed = kept_in(cut(base.select("text", *[f"`{f.name}`" for f in rest]), folder), f"{folder}/listed")
     many, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    parts = max(16, -(-size // SHARE))
+    parts = max(8, -(-size // SHARE))
     asked = at_slices(at_parts(ask_hashes(listed, parts), parts, answer_hashes), many, ask_surroundings(folder, parts))
     found = kept_in(at_parts(asked, parts, compared), f"{folder}/offsets")
     discard(f"{folder}/listed")
