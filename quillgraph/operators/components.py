@@ -42,23 +42,29 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+#: Links that a file of a pass is to have at least, so that few links make few files and tasks.
+ROWS = 200_000
+
+
 def components(links: DataFrame, most: int = 100) -> DataFrame:
     """(node, component) of all nodes of the links (u, v); component: the smallest node reachable.
 
     Self-links give a node by itself, rows with a null end are left out, an empty table gives no
     rows. Each pass combines minima before its shuffles and is written to the shared folder, so the
-    lineage stays short and no component is ever gathered in one place; all but the result is deleted.
+    lineage stays short and no component is ever gathered in one place; the pass before is deleted.
     A star that does not settle within `most` passes raises an error.
     """
-    spark = links.sparkSession
-    folder = fresh_dir(spark, "components")
-    known = kept_in(links.select("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull()), f"{folder}/links")
-    edges = kept_in(known.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/0")
-    before, i = _mark(edges), 0
+    folder = fresh_dir(links.sparkSession, "components")
+    known = links.select("u", "v").filter(F.col("u").isNotNull() & F.col("v").isNotNull())
+    base = kept_in(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{folder}/links")
+    edges = base.filter(F.col("u") < F.col("v"))
+    before, last = _mark(edges), None
     for i in range(most if before[0] else 0):
-        edges = kept_in(_small_star(_large_star(edges)), f"{folder}/{i + 1}")
-        discard(f"{folder}/{i}")
-        now = _mark(edges)
+        tasks = max(8, before[0] // ROWS)
+        edges = kept_in(_small_star(_large_star(edges)).coalesce(tasks), f"{folder}/{i}")
+        if last is not None:
+            discard(f"{folder}/{last}")
+        now, last = _mark(edges), i
         if now == before:
             break
         before = now
@@ -67,9 +73,6 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
             raise RuntimeError("components did not settle")
     stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     centres = edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    alone = known.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("u").alias("component"))
+    alone = base.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node"), F.col("u").alias("component"))
     linked = stars.union(centres)
-    out = kept_in(linked.union(alone.distinct().join(linked, "node", "left_anti")), f"{folder}/components")
-    for name in ("links", *map(str, range(i + 2))):
-        discard(f"{folder}/{name}")
-    return out
+    return linked.union(alone.join(linked, "node", "left_anti"))
