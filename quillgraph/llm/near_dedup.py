@@ -27,7 +27,7 @@ ROWS = 5
 #: A pair goes on to the exact comparison if its signatures agree in (threshold - MARGIN) of all places: five standard deviations.
 MARGIN = 0.16
 #: Members of a bucket, and of a cluster, that one chunk holds; a task compares two chunks.
-BUCKET_ROWS, CLUSTER_ROWS = 10_000, 1_000
+BUCKET_ROWS, CLUSTER_ROWS = 4_000, 1_000
 #: Groups that the members of one bucket, cluster or shingle set are dealt to.
 SALTS = 64
 #: Pairs of texts that a worker gets at a time.
