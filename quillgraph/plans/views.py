@@ -268,7 +268,8 @@ def export_rows(g: Graph, o: ViewOptions) -> DataFrame:
 def compare_views(g: Graph, o: ViewOptions, scopes: list[list[str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, summary) of the difference of 2 to 6 scopes of source files, an empty one being all files: the scopes' concept views as one.
 
-    Pairs of all scopes are counted in one pass over the patents.
+    Pairs of all scopes are counted in one pass over the patents. Edges are compared by their ends;
+    their ids are hashes of 32 bits, which several of them may share.
     """
     if not 2 <= len(scopes) <= 6:
         raise ValueError("2 to 6 scopes")
@@ -278,9 +279,10 @@ def compare_views(g: Graph, o: ViewOptions, scopes: list[list[str]]) -> tuple[Da
         own = _within(g.membership, cohort(g, with_panel(o, s)))
         nodes.append(network.concept_frequency(own).withColumnRenamed("concept", "id"))
         pairs = every.filter((F.col("panel") == i + 1) & (F.col("support") >= o.min_support))
-        parts.append(pairs.select(X.stable_edge_id("cooccurrence", F.col("a"), F.col("b")).alias("id"), F.col("a").alias("from"), F.col("b").alias("to"), "support"))
+        parts.append(pairs.select(F.struct("a", "b").alias("id"), F.col("a").alias("from"), F.col("b").alias("to"), "support"))
     ids = compare.tagged(nodes)
-    return (*compare.difference(nodes, parts), compare.summary(ids, len(scopes)))
+    every_node, edges = compare.difference(nodes, parts)
+    return every_node, edges.withColumn("id", X.stable_edge_id("cooccurrence", F.col("from"), F.col("to"))), compare.summary(ids, len(scopes))
 
 
 def capability_warnings(methodology: dict[str, str]) -> list[str]:

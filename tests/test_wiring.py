@@ -115,6 +115,17 @@ def test_difference_view_and_first_edges(spark):
     assert sorted(map(tuple, compare.first_by_id(e, "at").collect())) == [("e", 1, "first"), ("f", 3, "only")]
 
 
+def test_difference_keeps_edges_whose_ids_are_equal(spark):
+    # both pairs have the same hash of 32 bits; one is in the first panel, the other in the second
+    pairs = {"p": ("c1061", "c968"), "q": ("c263", "c464")}
+    patents = spark.createDataFrame([("p", 2000, ["f"]), ("q", 2000, ["g"])], "patent_id string, year int, source_files array<string>")
+    m = spark.createDataFrame([(p, c) for p, cs in pairs.items() for c in cs], "patent_id string, concept string")
+    own = spark.createDataFrame([("p", "a"), ("q", "a")], "patent_id string, applicant string")
+    edges = views.compare_views(views.Graph(patents, m, own), options.ViewOptions(min_support=1), [["f"], ["g"]])[1].collect()
+    assert sorted((r["from"], r["to"], r.membership, r.panels) for r in edges) == [("c1061", "c968", "a", [1]), ("c263", "c464", "b", [2])]
+    assert len({r.id for r in edges}) == 1 and edges[0].id.startswith("e:cooccurrence:")
+
+
 def test_references_inside_and_outside(spark):
     p = spark.createDataFrame([("a", "TWI111", ["I222", "US 5/6", "I111"]), ("b", "I222U", None), ("c", "I222", ["I111"]), ("d", None, [])], "patent_id string, patent_number string, references array<string>")
     split, cited = citations.with_references(p)
