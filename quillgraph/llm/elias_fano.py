@@ -11,6 +11,14 @@ _HALF, _PAIR, _NIBBLE = U(0x5555555555555555), U(0x3333333333333333), U(0x0F0F0F
 _IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).reshape(-1)
 
 
+#: Keys or places looked up at a time: their intermediate arrays stay in the processor's cache.
+_AT_ONCE = 1 << 14
+
+
+def _in_pieces(look_up, x: np.ndarray) -> np.ndarray:
+    return look_up(x) if len(x) <= _AT_ONCE else np.concatenate([look_up(x[i : i + _AT_ONCE]) for i in range(0, len(x), _AT_ONCE)])
+
+
 def dump(*arrays: np.ndarray) -> bytes:
     """Arrays one after the other, each with a header and on an 8-byte boundary."""
     out = [len(arrays).to_bytes(8, "little")]
@@ -106,6 +114,9 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the places i."""
+        return _in_pieces(self._get, i)
+
+    def _get(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
         return ((self._select1(i) - i).astype(U) << U(self.l)) | self._low(i)
 
@@ -113,6 +124,9 @@ class EliasFano:
         """Where each key is, by search for its successor among the values with its high bits; -1 if it is not there."""
         if not self.n or not len(keys):
             return np.full(len(keys), -1, np.int64)
+        return _in_pieces(self._find, keys)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.astype(U)
         h = keys >> U(self.l)
         inside = h <= U(self.top)

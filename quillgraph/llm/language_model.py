@@ -87,6 +87,49 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(n), END), n + 1
 
 
+# ---------------------------------------------------------------- orders
+
+
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by keys, the foremost first, all whole numbers from 0.
+
+    As many keys as fit go with the place into words of 64 bits, whose sort is several times faster
+    than one of places; the keys that are left take further rounds, from the last one on.
+    """
+    n, todo, order = len(keys[0]), list(keys), None
+    place = max(1, n - 1).bit_length()
+    while todo:
+        word, used, left = np.arange(n, dtype=U), place, len(todo)
+        while todo and used + (bits := int(todo[-1].max(initial=0)).bit_length()) <= 64:
+            key = todo.pop()
+            word |= (key if order is None else key[order]).astype(U) << U(used)
+            used += bits
+        if len(todo) == left:
+            return np.lexsort(keys[::-1])
+        word.sort()
+        word &= U((1 << place) - 1)
+        order = word.astype(np.int64) if order is None else order[word.astype(np.int64)]
+    return order
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct pair, in order of the pairs; each place's number among the distinct pairs)."""
+    if not len(a):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = order_of(a, b)
+    x, y = a[order], b[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def once_each(find, keys: np.ndarray) -> np.ndarray:
+    """find(keys), asked once for each run of equal keys."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    return find(keys[new])[np.cumsum(new) - 1]
+
+
 # ---------------------------------------------------------------- slices
 
 
@@ -138,20 +181,21 @@ class Slice:
         self.train = np.repeat(flags, self.n)
         self.first = np.cumsum(self.n) - self.n
         ahead = np.flatnonzero(self.text[1:] == self.text[:-1])
-        key, number = np.unique(self.local[ahead].astype(np.int64) * len(order) + self.local[ahead + 1], return_inverse=True)
+        u, v = self.local[ahead], self.local[ahead + 1]
+        first, number = distinct(u, v)
         #: words of the distinct bigrams, and each token's bigram with the next one, -1 at a text's end
-        self.first_of, self.second_of = (key // len(order)).astype(np.int32), (key % len(order)).astype(np.int32)
+        self.first_of, self.second_of = u[first], v[first]
         self.pair = np.full(len(local), -1, np.int32)
         self.pair[ahead] = number
-        self.pair_counts = np.bincount(number, weights=self.train[ahead], minlength=len(key)).astype(np.int32)
+        self.pair_counts = np.bincount(number, weights=self.train[ahead], minlength=len(first)).astype(np.int32)
 
     def triples(self) -> None:
         """context, suffix: bigrams of the distinct trigrams; triple: the trigram that ends at each token of `thirds`."""
         at = np.flatnonzero((self.pair[:-1] >= 0) & (self.pair[1:] >= 0))
-        many = max(1, len(self.first_of))
-        key, triple = np.unique(self.pair[at].astype(np.int64) * many + self.pair[at + 1], return_inverse=True)
-        self.triple_counts = np.bincount(triple, weights=self.train[at], minlength=len(key)).astype(np.int32)
-        self.context, self.suffix = (key // many).astype(np.int32), (key % many).astype(np.int32)
+        x, y = self.pair[at], self.pair[at + 1]
+        first, triple = distinct(x, y)
+        self.triple_counts = np.bincount(triple, weights=self.train[at], minlength=len(first)).astype(np.int32)
+        self.context, self.suffix = x[first], y[first]
         self.thirds, self.triple = (at + 2).astype(np.int32), triple.astype(np.int32)
 
 
@@ -174,21 +218,6 @@ def put(model: Model, name: str, *arrays: np.ndarray) -> tuple[Model, int]:
     return replace(model, files={name: len(data)}), len(data)
 
 
-def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each distinct pair, in order of the pairs; each place's number among the distinct pairs)."""
-    if not len(a):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if a.max() < 1 << 31 and b.max() < 1 << 32:
-        order = np.argsort((a.astype(U) << U(32)) | b.astype(U), kind="stable")
-    else:
-        order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    number = np.empty(len(a), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
-
-
 # ---------------------------------------------------------------- level 1
 
 
@@ -237,10 +266,13 @@ def answer_words(model: Model, training: bool):
 
 def pair_questions(own: Slice, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of the bigrams of known words in the order of questions: by part, first and second id; their parts)."""
-    u, v = ids[own.first_of], ids[own.second_of]
-    known = np.flatnonzero((u >= 0) & (v >= 0))
-    part = part_of_hash(mix(mix(u[known].astype(U)) + v[known].astype(U)), parts)
-    order = np.lexsort((v[known], u[known], part))
+    has = ids >= 0
+    known = np.flatnonzero(has[own.first_of] & has[own.second_of])
+    u, v = own.first_of[known], own.second_of[known]
+    part = part_of_hash(mix(mix(ids.astype(U))[u] + ids.astype(U)[v]), parts)
+    rank = np.empty(len(ids), np.int64)  # of the slice's own words by their ids, which takes fewer bits
+    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = order_of(part, rank[u], rank[v])
     return known[order], part[order]
 
 
@@ -282,7 +314,7 @@ def answer_pairs(model: Model, training: bool):
         hot = hot_count = np.empty(0, np.int64)
         if arrays := own.open(name):
             level, (logs, backs, hot, hot_count) = Level(arrays[: Level.ARRAYS]), arrays[Level.ARRAYS :]
-            rank = level.parents.find(u[first])
+            rank = once_each(level.parents.find, u[first])
             place = level.find(rank, v[first])
             has = place >= 0
             relative[has], log[has], back[has] = level.relative(rank[has], place[has]), logs[place[has]], backs[place[has]]
@@ -346,7 +378,9 @@ class Questions:
         hot = np.flatnonzero(times)  # contexts that are dealt over further parts
         parent[hot] |= part[hot] << _PLACE
         part[hot] = model.parts + part_of_hash(mix(mix(parent[hot].astype(U)) + child[hot].astype(U)), model.parts)
-        order = np.lexsort((parent, part))
+        turn = np.zeros(many, np.int64)  # questions stand by part and place, and so by parent within the part that a trigram goes to
+        turn[at] = np.arange(len(at))
+        order = order_of(part, turn[x])
         self.asked, self.to, self.parent, self.child, self.times = asked[order], part[order], parent[order], child[order], times[order]
 
 
@@ -385,7 +419,7 @@ def answer_triples(model: Model, training: bool, answers: bool):
         value = np.full(len(first), -1)
         if arrays := own.open(name):
             level = Level(arrays[: Level.ARRAYS])
-            place = level.find(level.parents.find(parent[first]), child[first])
+            place = level.find(once_each(level.parents.find, parent[first]), child[first])
             value[place >= 0] = arrays[Level.ARRAYS][place[place >= 0]]
         value = value[number]
         rest = np.flatnonzero(value < 0)

@@ -9,10 +9,11 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, decontamination, language, language_model, lines, near_dedup, quality, queries, scan, sharding, substrings, warc
+from quillgraph.llm import bpe, decontamination, elias_fano, language, language_model, lines, near_dedup, quality, queries, scan, sharding, substrings, warc
 from quillgraph.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
@@ -235,6 +236,26 @@ def test_language_model(spark, share):
         assert sum(p3(a.encode(), b.encode(), x[0]) for x in c1) + p3(a.encode(), b.encode(), b"never") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("tops", [(3, 5), (1 << 20, 1 << 21), (40, 1 << 40, 1 << 35), (1 << 63, 4), (0, 0)])  # one word of 64 bits, two rounds, too wide
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_order_of_keys_and_places(tops, n):
+    rng = np.random.default_rng(n)
+    keys = [rng.integers(0, top, n, np.uint64, endpoint=True) for top in tops]
+    assert language_model.order_of(*keys).tolist() == np.lexsort(keys[::-1]).tolist()
+    first, number = language_model.distinct(keys[0], keys[1])
+    pairs = list(zip(keys[0].tolist(), keys[1].tolist(), strict=True))
+    assert [pairs[i] for i in first] == sorted(set(pairs)) and [pairs[first[i]] for i in number] == pairs
+
+
+def test_sequence_longer_than_a_piece():
+    values = np.cumsum(np.random.default_rng(1).integers(1, 1000, 40_000)).astype(np.uint64)
+    held = elias_fano.EliasFano.of(values)
+    assert (held.get(np.arange(len(values))) == values).all()
+    asked = np.concatenate([values, values + np.uint64(1)])
+    at = dict(zip(values.tolist(), range(len(values)), strict=True))
+    assert held.find(asked).tolist() == [at.get(x, -1) for x in asked.tolist()]
+
+
 def test_language_model_lost_file(spark):
     model = language_model.train_model(spark.createDataFrame([("one two three four",), ("two three four five",)], "text string"))
     docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
