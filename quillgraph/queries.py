@@ -91,8 +91,8 @@ def _(spark, d):
 @query("semantic_evidence", FACTS + RELS + "select source, target, relation, 'EXTRACTED' as confidence, md5(string_agg(cast(patent_id as varchar) || ':' || cast(cast(weight as integer) as varchar), ',' order by patent_id, ordinal)) as evidence from rel group by 1, 2, 3")
 def _(spark, d):
     e = network.semantic_edges(network.admissible(T.relations(spark, d), T.membership(spark, d)))
-    told = F.transform("evidence", lambda x: F.concat_ws(":", x["patent_id"].cast("string"), x["weight"].cast("int").cast("string")))
-    return e.select("source", "target", "relation", "confidence", F.md5(F.array_join(told, ",")).alias("evidence"))
+    told = F.transform("evidence", lambda x: F.concat(x["patent_id"].cast("string"), F.lit(":"), F.rint(x["weight"]).cast("int").cast("string")))
+    return e.select("source", "target", "relation", "confidence", F.md5(F.nullif(F.array_join(told, ","), F.lit(""))).alias("evidence"))
 
 
 @query("relation_admissibility", FACTS + RELS + "select relation, count(*) as n, count(distinct patent_id) as patents from rel group by 1")

@@ -34,3 +34,19 @@ def test_query(spark, duck, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in done.fetchall()), key=repr)
+
+
+def test_evidence_of_fractional_and_missing_weights(spark, tmp_path):
+    """Weights are rounded as SQL rounds them, halves to even; evidence without a weight is left out, which may leave none."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values (1, 'a'), (2, 'b'), (3, 'c')) t(p_partkey, p_name)) to '{tmp_path}/part.parquet'")
+    con.execute(f"copy (select * from '{DATA}/orders.parquet' limit 1) to '{tmp_path}/orders.parquet'")
+    line = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag"
+    rows = "(1, 1, 1, 1, 17.6, 1.0, 'A'), (1, 2, 1, 2, null, 1.0, 'A'), (1, 3, 1, 3, 4.0, 1.0, 'A'), (2, 1, 1, 1, 2.5, 1.0, 'A'), (2, 2, 1, 2, 3.0, 1.0, 'A'), (3, 1, 1, 1, null, 1.0, 'A'), (3, 2, 1, 2, 3.0, 1.0, 'A')"
+    con.execute(f"copy (select l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity as double) as l_quantity, l_extendedprice, l_returnflag from (values {rows}) t({line})) to '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = {tuple(r) for r in queries.QUERIES["semantic_evidence"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(queries.ORACLE_SQL["semantic_evidence"]).fetchall())
+    told = con.execute("select md5('1:18,2:2')").fetchone()[0]
+    assert got == {("a", "b", "A", "EXTRACTED", told), ("b", "c", "A", "EXTRACTED", None)}
