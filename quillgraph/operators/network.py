@@ -138,13 +138,14 @@ def semantic_edges(rels: DataFrame, with_evidence: bool = True) -> DataFrame:
     """(source, target, relation, support, weight, reason, confidence[, evidence]) of directed relations.
 
     support: distinct patents; weight: mean of the finite weights; reason and confidence: of the
-    first evidence by (patent_id, ordinal).
+    first evidence by (patent_id, ordinal), a missing ordinal after all others of its patent.
     """
     finite = F.when(~F.isnan("weight") & (F.abs("weight") < float("inf")), F.col("weight"))
-    first = F.struct("patent_id", "ordinal")
+    place = ["patent_id", F.col("ordinal").isNull().alias("unplaced"), "ordinal"]
+    first = F.struct(*place)
     aggs = [F.count_distinct("patent_id").alias("support"), F.avg(finite).alias("weight"), F.min_by("reason", first).alias("reason"), F.min_by("confidence", first).alias("confidence")]
     if with_evidence:
-        aggs.append(F.transform(F.sort_array(F.collect_list(F.struct("patent_id", "ordinal", "weight", "reason", "confidence"))), lambda e: F.struct(e["patent_id"].alias("patent_id"), e["weight"].alias("weight"), e["reason"].alias("reason"), e["confidence"].alias("confidence"))).alias("evidence"))
+        aggs.append(F.transform(F.sort_array(F.collect_list(F.struct(*place, "weight", "reason", "confidence"))), lambda e: F.struct(e["patent_id"].alias("patent_id"), e["weight"].alias("weight"), e["reason"].alias("reason"), e["confidence"].alias("confidence"))).alias("evidence"))
     return rels.groupBy("source", "target", "relation").agg(*aggs)
 
 

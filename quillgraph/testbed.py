@@ -56,7 +56,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed relations between the parts of consecutive lines of an order; in every fifth order the first one's target is no concept of it."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("concept"))
     line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_quantity", "l_suppkey", "l_extendedprice").join(part, "l_partkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    w = Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_linenumber"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     both = line.select(F.col("l_orderkey").alias("patent_id"), F.col("l_linenumber").alias("ordinal"), F.col("concept").alias("source"), F.concat(F.lead("concept").over(w), F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_linenumber") == 1), " outside").otherwise("")).alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_quantity").alias("weight"))
     return both.filter(F.col("target").isNotNull()).withColumn("reason", F.col("relation")).withColumn("confidence", F.lit("EXTRACTED"))
 

@@ -50,3 +50,18 @@ def test_evidence_of_fractional_and_missing_weights(spark, tmp_path):
     assert got == set(con.execute(queries.ORACLE_SQL["semantic_evidence"]).fetchall())
     told = con.execute("select md5('1:18,2:2')").fetchone()[0]
     assert got == {("a", "b", "A", "EXTRACTED", told), ("b", "c", "A", "EXTRACTED", None)}
+
+
+def test_evidence_of_lines_without_a_number(spark, tmp_path):
+    """Lines without a number come after the others of their order, as in SQL, and so does their evidence."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values (1, 'a'), (2, 'b')) t(p_partkey, p_name)) to '{tmp_path}/part.parquet'")
+    con.execute(f"copy (select * from '{DATA}/orders.parquet' limit 1) to '{tmp_path}/orders.parquet'")
+    line = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag"
+    con.execute(f"copy (select * from (values (1, 1, 1, 1, 9.0::double, 1.0::double, 'A'), (1, 2, 1, 2, 8, 1, 'A'), (1, 1, 1, null, 3, 1, 'A'), (1, 2, 1, null, 2, 1, 'A')) t({line})) to '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = {tuple(r) for r in queries.QUERIES["semantic_evidence"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(queries.ORACLE_SQL["semantic_evidence"]).fetchall())
+    ab, ba = con.execute("select md5('1:9,1:3'), md5('1:8')").fetchone()
+    assert got == {("a", "b", "A", "EXTRACTED", ab), ("b", "a", "A", "EXTRACTED", ba)}
